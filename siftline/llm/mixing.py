@@ -65,8 +65,8 @@ def rates(docs: DataFrame, source: str = "source", weights: dict | None = None,
     sums = weighted.agg(F.sum("weight").alias("all_weight"), F.sum("size").alias("all_size"))
     wanted = F.col("all_size").cast("double") if total is None else F.lit(float(total))
     rate = F.col("weight") * wanted / (F.col("all_weight") * F.col("size"))
-    out = weighted.filter(F.col("weight") > 0).join(F.broadcast(sums)).select("_mix_source", rate.alias("rate"))
-    return out.select("_mix_source", "rate", poisson_cdf(F.col("rate")).alias("_mix_cdf"))
+    out = weighted.filter(F.col("weight") > 0).join(F.broadcast(sums)).select("_mix_source", rate.alias("_mix_rate"))
+    return out.select("_mix_source", "_mix_rate", poisson_cdf(F.col("_mix_rate")).alias("_mix_cdf"))
 
 
 def mix(
@@ -89,8 +89,8 @@ def mix(
         table = F.broadcast(table)
     u = uniform(seed, F.col(key))
     drawn = docs.select(*own).join(table, F.col(source).eqNullSafe(F.col("_mix_source"))).withColumn("_mix_u", u)
-    counted = drawn.withColumn("n_copies", F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_u"))))
-    copies = counted.filter("n_copies > 0").select(*own, "n_copies", F.explode(F.sequence(F.lit(1), F.col("n_copies"))).alias("copy"))
+    counted = drawn.withColumn("_mix_n", F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_u"))))
+    copies = counted.filter("_mix_n > 0").select(*own, F.col("_mix_n").alias("n_copies"), F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("copy"))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("copy").cast("string")).cast("binary"))
     shuffled = copies.withColumn("shuffle_key", order)
     return shuffled.repartition(F.col("shuffle_key")).sortWithinPartitions("shuffle_key")
