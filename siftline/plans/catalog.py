@@ -1,6 +1,489 @@
-"""Named queries over the driver tables, each with its SQL twin."""
+"""Named queries over the driver tables, each with its SQL twin.
+
+The judge's answers are synthesised from ``doc_id`` on the half-point grid, so that no engine's
+rounding shows.  ``labels`` is the set of papers that are done.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftline.functions import errors, scores
+from siftline.functions import text as tx
+from siftline.operators import judge, portal, ranking, rules
+from siftline.sources.tables import TITLE_CHARS, papers, table
+
+POSITIVE = ("the and", "tion", "of the", "inon", "er the", "queé", "und der", "ation")
+NEGATIVE = ("worthless", "der die", "lorem", "http")
+YEARS = (2020, 2023)
+TARGET, MIN_SCORE = 100, 1.0
+DIMENSIONS = {"transfer_value": 2.0, "method_novelty": 1.2, "feasibility": 1.0}
+NOTE_WORDS = 240
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+# -- SQL building blocks ------------------------------------------------------------------
+
+_WHITE = r"[\s\x1c-\x1f\x85\pZ]+"
+_CLEAN = f"trim(regexp_replace(coalesce(%s, ''), '{_WHITE}', ' ', 'g'))"
+_PAPERS = f"""
+papers AS (
+  SELECT doc_id, substr({_CLEAN % "text"}, 1, {TITLE_CHARS}) AS title, text AS abstract, lang AS keywords,
+    source AS venue, (2018 + doc_id % 8)::INTEGER AS year, 'https://papers.example/' || (doc_id % 700) AS url
+  FROM documents)"""
+_BLOB = f"""
+blobs AS (
+  SELECT *, lower({_CLEAN % "title"} || ' ' || {_CLEAN % "abstract"} || ' ' || {_CLEAN % "keywords"}) AS blob FROM papers)"""
+
+
+def _points_sql(words: tuple[str, ...]) -> str:
+    return " + ".join(f"CASE WHEN contains(blob, '{w}') THEN {1.0 if ' ' in w else 1.5} ELSE 0 END" for w in words)
+
+
+def _hits_sql(words: tuple[str, ...]) -> str:
+    return "concat_ws('|', " + ", ".join(f"CASE WHEN contains(blob, '{w}') THEN '{w}' END" for w in words) + ")"
+
+
+_SCORED = f"""{_PAPERS},{_BLOB},
+points AS (
+  SELECT *, ({_points_sql(POSITIVE)})::DOUBLE AS rule_positive_score, ({_points_sql(NEGATIVE)})::DOUBLE AS rule_negative_score,
+    {_hits_sql(POSITIVE)} AS positive_hits, {_hits_sql(NEGATIVE)} AS negative_hits FROM blobs),
+scored AS (SELECT *, round(rule_positive_score - 1.25 * rule_negative_score, 4) AS rule_score FROM points)"""
+
+_FIT, _NOVELTY = "((doc_id * 7) % 21) / 2.0", "((doc_id * 11) % 20) / 2.0"
+_DIM_SQL = {"transfer_value": "((doc_id * 13) % 19) / 2.0", "method_novelty": "((doc_id * 17) % 21) / 2.0", "feasibility": "((doc_id * 5) % 18) / 2.0"}
+_MEAN_SQL = "(" + " + ".join(f"{_DIM_SQL[k]} * {w}" for k, w in DIMENSIONS.items()) + f") / {sum(DIMENSIONS.values())}"
+_RAW_PRIORITY = "CASE doc_id % 5 WHEN 0 THEN ' KEEP ' WHEN 1 THEN 'maybe' WHEN 2 THEN 'Drop' WHEN 3 THEN 'later' END"
+_PRIORITY = f"CASE WHEN lower(trim({_RAW_PRIORITY})) IN ('keep', 'maybe', 'drop') THEN lower(trim({_RAW_PRIORITY})) ELSE 'maybe' END"
+_JUDGED = f"""{_PAPERS},
+judged AS (
+  SELECT *, ({_FIT})::DOUBLE AS score_overall_fit, ({_NOVELTY})::DOUBLE AS score_theory_novelty,
+    {", ".join(f"({s})::DOUBLE AS score_{k}" for k, s in _DIM_SQL.items())},
+    {_PRIORITY} AS priority,
+    round(0.45 * ({_FIT})::DOUBLE + 0.40 * ({_MEAN_SQL})::DOUBLE + 0.15 * ({_NOVELTY})::DOUBLE, 4) AS rank_score,
+    'idea ' || (doc_id % 97) AS idea_core, CASE WHEN doc_id % 3 = 0 THEN '' ELSE 'mechanism ' || (doc_id % 31) END AS transferable_mechanism,
+    CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'fits ' || (doc_id % 13) END AS fit_reason, 'risk ' || (doc_id % 7) AS risk_or_limitation
+  FROM papers)"""
+_ARTICLES = f"""{_JUDGED},
+articles AS (
+  SELECT doc_id + 1 AS id, title, coalesce(abstract, '') AS abstract, coalesce(venue, '') AS venue, year, url, '' AS authors, priority,
+    '' AS profile_name, idea_core, transferable_mechanism, coalesce(fit_reason, '') AS fit_reason, risk_or_limitation,
+    rank_score, score_overall_fit, score_theory_novelty, score_transfer_value, score_method_novelty, score_feasibility
+  FROM judged)"""
+
+
+def query(name: str, sql: str):
+    """Register a query and its twin."""
+
+    def register(f):
+        QUERIES[name] = f
+        ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.score(papers(spark, sf_dir), POSITIVE, NEGATIVE)
+
+
+def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers with a judge's cleaned, blended answers."""
+    rows = papers(spark, sf_dir)
+    half = lambda k, m: (F.col("doc_id") * k % m / 2.0).cast("double")
+    dims = {"transfer_value": half(13, 19), "method_novelty": half(17, 21), "feasibility": half(5, 18)}
+    raw = F.element_at(F.array(*(F.lit(p) for p in (" KEEP ", "maybe", "Drop", "later", None))), (F.col("doc_id") % 5 + 1).cast("int"))
+    rows = rows.withColumns(
+        {
+            "score_overall_fit": scores.clamp(half(7, 21)),
+            "score_theory_novelty": scores.clamp(half(11, 20)),
+            **{f"score_{k}": scores.clamp(c) for k, c in dims.items()},
+            "priority": scores.priority(raw),
+            "idea_core": F.concat(F.lit("idea "), (F.col("doc_id") % 97).cast("string")),
+            "transferable_mechanism": F.when(F.col("doc_id") % 3 == 0, "").otherwise(F.concat(F.lit("mechanism "), (F.col("doc_id") % 31).cast("string"))),
+            "fit_reason": F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("fits "), (F.col("doc_id") % 13).cast("string"))),
+            "risk_or_limitation": F.concat(F.lit("risk "), (F.col("doc_id") % 7).cast("string")),
+        }
+    )
+    own = {k: F.col(f"score_{k}") for k in DIMENSIONS}
+    mean = scores.weighted_mean(own, DIMENSIONS)
+    return rows.withColumns(
+        {
+            "scores": F.create_map(*(x for k, c in own.items() for x in (F.lit(k), c))),
+            "rank_score": scores.rank_score(F.col("score_overall_fit"), mean, F.col("score_theory_novelty")),
+        }
+    )
+
+
+def _articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return portal.articles(_judged(spark, sf_dir))
+
+
+# -- text and keys ------------------------------------------------------------------------
+
+
+@query("clean_text", f"SELECT doc_id, {_CLEAN % 'text'} AS clean FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.clean_text(F.col("text")).alias("clean"))
+
+
+@query(
+    "clean_text_truncated",
+    f"SELECT doc_id, CASE WHEN length(c) > 240 THEN substr(c, 1, 240) || ' ...' ELSE c END AS clean FROM (SELECT doc_id, {_CLEAN % 'text'} AS c FROM documents)",
+)
+def _(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", tx.clean_text(F.col("text"), 240).alias("clean"))
+
+
+_KEY_SQL = "CASE WHEN doc_id % 3 = 0 THEN 'url::' || url ELSE 'sha1::' || sha1(title || '::' || venue || '::' || year) END"
+
+
+@query("paper_key", f"WITH {_PAPERS} SELECT doc_id, {_KEY_SQL} AS paper_key FROM papers")
+def _(spark, sf):
+    return _keyed(papers(spark, sf)).select("doc_id", "paper_key")
+
+
+def _keyed(rows: DataFrame) -> DataFrame:
+    """Two papers of three have no url and are keyed by digest."""
+    part = rows.withColumn("url", F.when(F.col("doc_id") % 3 == 0, F.col("url")))
+    return part.withColumn("paper_key", tx.paper_key(part.columns, F.col("title"), F.col("venue"), F.col("year")))
+
+
+# -- rule filter --------------------------------------------------------------------------
+
+
+@query("rule_score", f"WITH {_SCORED} SELECT doc_id, rule_positive_score, rule_negative_score, rule_score FROM scored")
+def _(spark, sf):
+    return _scored(spark, sf).select("doc_id", "rule_positive_score", "rule_negative_score", "rule_score")
+
+
+@query("rule_hits", f"WITH {_SCORED} SELECT doc_id, positive_hits, negative_hits FROM scored")
+def _(spark, sf):
+    return _scored(spark, sf).select("doc_id", F.concat_ws("|", "rule_positive_hits").alias("positive_hits"), F.concat_ws("|", "rule_negative_hits").alias("negative_hits"))
+
+
+@query("year_filter", f"WITH {_PAPERS} SELECT doc_id, year FROM papers WHERE year IN {YEARS}")
+def _(spark, sf):
+    return rules.in_years(papers(spark, sf), YEARS).select("doc_id", "year")
+
+
+@query("min_score_keep", f"WITH {_SCORED} SELECT doc_id, rule_score FROM scored WHERE rule_score >= {MIN_SCORE}")
+def _(spark, sf):
+    return rules.kept(_scored(spark, sf), MIN_SCORE).select("doc_id", "rule_score")
+
+
+@query("min_score_reject", f"WITH {_SCORED} SELECT doc_id, rule_score FROM scored WHERE NOT rule_score >= {MIN_SCORE}")
+def _(spark, sf):
+    return rules.rejected(_scored(spark, sf), MIN_SCORE).select("doc_id", "rule_score")
+
+
+@query("dedup_first_wins", "SELECT min(doc_id) AS doc_id, sha1(text) AS content_key FROM documents GROUP BY sha1(text)")
+def _(spark, sf):
+    keyed = table(spark, sf, "documents").select("doc_id", F.sha1("text").alias("content_key"))
+    return rules.first_wins(keyed, "content_key", "doc_id").select("doc_id", "content_key")
+
+
+@query(
+    "dedup_by_paper_key",
+    f"""WITH {_PAPERS}, k AS (SELECT doc_id, {_KEY_SQL} AS paper_key FROM papers)
+SELECT min(doc_id) AS doc_id, paper_key FROM k GROUP BY paper_key""",
+)
+def _(spark, sf):
+    return rules.first_wins(_keyed(papers(spark, sf)), "paper_key", "doc_id").select("doc_id", "paper_key")
+
+
+_PLACED = f"""{_SCORED},
+placed AS (SELECT *, row_number() OVER (ORDER BY rule_score DESC, title DESC, doc_id) AS place FROM scored WHERE rule_score >= {MIN_SCORE})"""
+
+
+@query("filter_top_n", f"WITH {_PLACED} SELECT doc_id, title, rule_score FROM placed WHERE place <= {TARGET}")
+def _(spark, sf):
+    return rules.kept(_scored(spark, sf), MIN_SCORE, TARGET).select("doc_id", "title", "rule_score")
+
+
+@query(
+    "filter_overflow_union",
+    f"""WITH {_PLACED} SELECT doc_id, rule_score, 'overflow' AS part FROM placed WHERE place > {TARGET}
+UNION ALL SELECT doc_id, rule_score, 'below' FROM scored WHERE NOT rule_score >= {MIN_SCORE}""",
+)
+def _(spark, sf):
+    return rules.rejected(_scored(spark, sf), MIN_SCORE, TARGET).select("doc_id", "rule_score", "part")
+
+
+@query(
+    "filter_summary",
+    f"""WITH {_SCORED}, n AS (SELECT count(*) AS n, least(count(*) FILTER (rule_score >= {MIN_SCORE}), {TARGET}) AS k FROM scored)
+SELECT 'catalog' AS profile, k::BIGINT AS kept, (n - k)::BIGINT AS rejected FROM n""",
+)
+def _(spark, sf):
+    return rules.summary(_scored(spark, sf), "catalog", MIN_SCORE, TARGET)
+
+
+@query("venue_year_counts", f"WITH {_PLACED} SELECT venue || '::' || year AS venue_year, count(*) AS n FROM placed WHERE place <= {TARGET} GROUP BY 1")
+def _(spark, sf):
+    return rules.venue_years(rules.kept(_scored(spark, sf), MIN_SCORE, TARGET))
+
+
+@query("resume_anti_join", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def _(spark, sf):
+    done = table(spark, sf, "labels").select("doc_id").distinct()
+    return table(spark, sf, "documents").select("doc_id").join(done, "doc_id", "left_anti")
+
+
+@query("head_limit", f"WITH {_PAPERS} SELECT doc_id, year FROM papers WHERE year IN {YEARS} ORDER BY doc_id LIMIT 50")
+def _(spark, sf):
+    return rules.in_years(papers(spark, sf), YEARS).orderBy("doc_id").limit(50).select("doc_id", "year")
+
+
+@query(
+    "keyword_cross",
+    f"""WITH {_PAPERS},{_BLOB}, k(keyword) AS (VALUES {", ".join(f"('{w}')" for w in POSITIVE + NEGATIVE)})
+SELECT keyword, count(*) AS n_papers FROM k, blobs WHERE contains(blob, keyword) GROUP BY keyword""",
+)
+def _(spark, sf):
+    return rules.keyword_counts(papers(spark, sf), POSITIVE + NEGATIVE)
+
+
+# -- judge --------------------------------------------------------------------------------
+
+
+@query(
+    "prompt_payload",
+    f"""WITH {_SCORED}, c AS (SELECT *, {_CLEAN % "abstract"} AS a FROM scored)
+SELECT doc_id, trim(title) || '|' || (CASE WHEN length(a) > 3000 THEN substr(a, 1, 3000) || ' ...' ELSE a END) || '|' || venue || '|' || year || '|' || url AS payload, rule_score FROM c""",
+)
+def _(spark, sf):
+    rows = _scored(spark, sf)
+    fields = judge.prompt_paper(rows.columns)
+    return rows.select("doc_id", F.concat_ws("|", *(fields[n] for n in ("title", "abstract", "venue", "year", "url"))).alias("payload"), fields["rule_score"].alias("rule_score"))
+
+
+@query(
+    "extract_json",
+    """SELECT doc_id, CASE WHEN doc_id % 4 = 3 THEN NULL ELSE doc_id % 11 END AS fit,
+  CASE WHEN doc_id % 4 = 3 THEN NULL ELSE 'n' || (doc_id % 5) END AS note FROM documents""",
+)
+def _(spark, sf):
+    n = F.col("doc_id")
+    body = F.concat(F.lit('{"fit": '), (n % 11).cast("string"), F.lit(', "note": "n'), (n % 5).cast("string"), F.lit('"}'))
+    noisy = F.when(n % 4 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(n % 4 == 1, F.concat(F.lit("Well { so: "), body, F.lit(" bye"))).when(n % 4 == 2, F.concat(F.lit("["), body, F.lit("]"))).otherwise(F.lit("no { object"))
+    v = tx.first_json_object(noisy)
+    found = table(spark, sf, "documents").select("doc_id", v.alias("v"))
+    return found.select("doc_id", F.try_variant_get("v", "$.fit", "bigint").alias("fit"), F.try_variant_get("v", "$.note", "string").alias("note"))
+
+
+_RAW_SCORE = "CASE doc_id % 6 WHEN 0 THEN '12.5' WHEN 1 THEN '-3' WHEN 2 THEN '8/10' WHEN 3 THEN NULL WHEN 4 THEN '7.25' ELSE 'nan' END"
+
+
+@query(
+    "clamp_scores",
+    "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 10.0 WHEN 1 THEN 0.0 WHEN 2 THEN 0.0 WHEN 3 THEN 0.0 WHEN 4 THEN 7.25 ELSE 10.0 END::DOUBLE AS score FROM documents",
+)
+def _(spark, sf):
+    raw = F.element_at(F.array(*(F.lit(x) for x in ("12.5", "-3", "8/10", None, "7.25", "nan"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", scores.clamp(tx.to_double(raw, None)).alias("score"))
+
+
+@query("normalize_priority", f"SELECT doc_id, {_PRIORITY} AS priority FROM documents")
+def _(spark, sf):
+    return _judged(spark, sf).select("doc_id", "priority")
+
+
+@query(
+    "truthy_flag",
+    "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN false WHEN 5 THEN true ELSE false END AS is_suitable FROM documents",
+)
+def _(spark, sf):
+    raw = F.element_at(F.array(*(F.lit(x) for x in ("true", "false", '"false"', '""', "0", "2.5", None))), (F.col("doc_id") % 7 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", tx.truthy_text(raw).alias("is_suitable"))
+
+
+@query("weighted_profile_score", f"SELECT doc_id, round(({_MEAN_SQL})::DOUBLE, 4) AS profile_score FROM documents")
+def _(spark, sf):
+    own = {k: F.col(f"score_{k}") for k in DIMENSIONS}
+    return _judged(spark, sf).select("doc_id", F.round(scores.weighted_mean(own, DIMENSIONS), 4).alias("profile_score"))
+
+
+@query("rank_score", f"WITH {_JUDGED} SELECT doc_id, score_overall_fit, score_theory_novelty, rank_score FROM judged")
+def _(spark, sf):
+    return _judged(spark, sf).select("doc_id", "score_overall_fit", "score_theory_novelty", "rank_score")
+
+
+@query("flatten_scores", f"WITH {_JUDGED} SELECT doc_id, {', '.join(f'score_{k}' for k in DIMENSIONS)} FROM judged")
+def _(spark, sf):
+    rows = _judged(spark, sf).select("doc_id", "scores")
+    return rows.select("doc_id", *(F.col("scores")[k].alias(f"score_{k}") for k in DIMENSIONS))
+
+
+_MESSAGES = ("HTTP 401 Unauthorized; quota", "Rate limit reached", "Too Many Requests", "segmentation fault", "please log in again", "try again later", "")
+_CLASSES = ("auth", "quota", "quota", "other", "auth", "quota", "other")
+
+
+@query("error_classify", "SELECT doc_id, CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CLASSES)) + " END AS error_class FROM documents")
+def _(spark, sf):
+    text = F.element_at(F.array(*(F.lit(m) for m in _MESSAGES)), (F.col("doc_id") % 7 + 1).cast("int"))
+    return table(spark, sf, "documents").select("doc_id", errors.classify(text).alias("error_class"))
+
+
+# -- export and progress ------------------------------------------------------------------
+
+_EXPORT = ("doc_id", "title", "venue", "year", "priority", "rank_score", "score_overall_fit", "score_theory_novelty", *(f"score_{k}" for k in DIMENSIONS))
+
+
+@query(
+    "export_topk",
+    f"""WITH {_JUDGED} SELECT row_number() OVER (ORDER BY rank_score DESC, score_overall_fit DESC, score_theory_novelty DESC, doc_id)::INTEGER AS rank,
+  {", ".join(_EXPORT)} FROM judged QUALIFY rank <= 100""",
+)
+def _(spark, sf):
+    return ranking.export(_judged(spark, sf), _EXPORT)
+
+
+@query(
+    "portal_ready",
+    f"""WITH {_JUDGED} SELECT doc_id, rank_score AS final_score, score_theory_novelty AS theory_novelty, score_overall_fit AS submission_value,
+  idea_core AS theory_analysis_zh_md, transferable_mechanism AS recommendation_zh, coalesce(fit_reason, '') AS fit_reason, risk_or_limitation FROM judged""",
+)
+def _(spark, sf):
+    return ranking.portal_ready(_judged(spark, sf)).select("doc_id", "final_score", "theory_novelty", "submission_value", "theory_analysis_zh_md", "recommendation_zh", "fit_reason", "risk_or_limitation")
+
+
+@query("progress_priority", f"SELECT coalesce(p, 'UNKNOWN') AS priority, count(*) AS n FROM (SELECT nullif({_PRIORITY}, 'drop') AS p FROM documents) GROUP BY 1")
+def _(spark, sf):
+    rows = _judged(spark, sf).select(F.when(F.col("priority") != "drop", F.col("priority")).alias("priority"))
+    return ranking.priority_counts(rows)
+
+
+@query(
+    "progress_venue_year_top20",
+    f"WITH {_PAPERS} SELECT venue, year, count(*) AS n, min(doc_id) AS first_seen FROM papers GROUP BY venue, year ORDER BY n DESC, first_seen LIMIT 20",
+)
+def _(spark, sf):
+    return ranking.top_groups(papers(spark, sf), ("venue", "year"))
+
+
+@query(
+    "progress_averages",
+    f"WITH {_JUDGED} SELECT round(avg(rank_score), 3) AS avg_rank_score, round(avg(score_overall_fit), 3) AS avg_score_overall_fit, round(avg(score_theory_novelty), 3) AS avg_score_theory_novelty FROM judged",
+)
+def _(spark, sf):
+    return ranking.averages(_judged(spark, sf))
+
+
+@query("last_item", f"WITH {_PAPERS} SELECT title FROM papers ORDER BY doc_id DESC LIMIT 1")
+def _(spark, sf):
+    return ranking.last_value(papers(spark, sf), "title")
+
+
+# -- portal -------------------------------------------------------------------------------
+
+_ARTICLE = ("id", "title", "abstract", "venue", "year", "url", "authors", "priority", "profile_name", "idea_core", "transferable_mechanism", "fit_reason", "risk_or_limitation", "rank_score", "score_overall_fit", "score_theory_novelty")
+_LISTED = ("id", "title", "priority", "year", "rank_score", "score_overall_fit", "score_theory_novelty")
+
+
+@query("import_articles", f"WITH {_ARTICLES} SELECT {', '.join(_ARTICLE)} FROM articles")
+def _(spark, sf):
+    return _articles(spark, sf).select(*_ARTICLE)
+
+
+@query(
+    "portal_home",
+    f"WITH {_ARTICLES} SELECT count(*) AS total, count(*) FILTER (priority = 'keep') AS keep, round(coalesce(avg(rank_score), 0), 4) AS avg_rank, coalesce(max(rank_score), 0) AS max_rank FROM articles",
+)
+def _(spark, sf):
+    return portal.home(_articles(spark, sf)).withColumn("avg_rank", F.round("avg_rank", 4))
+
+
+@query("portal_top8", f"WITH {_ARTICLES} SELECT id, title, rank_score FROM articles ORDER BY rank_score DESC, id LIMIT 8")
+def _(spark, sf):
+    return portal.top_papers(_articles(spark, sf)).select("id", "title", "rank_score")
+
+
+_LONG = " UNION ALL ".join(f"SELECT id, '{k}' AS key, score_{k} AS value FROM articles" for k in sorted(DIMENSIONS))
+_LABELS = "CASE key " + " ".join(f"WHEN '{k}' THEN '{k.replace('_', ' ').title()}'" for k in DIMENSIONS) + " END"
+
+
+@query(
+    "dimension_stats",
+    f"WITH {_ARTICLES}, v AS ({_LONG}) SELECT key, {_LABELS} AS label, round(avg(value), 4) AS avg, count(*) FILTER (value >= 7) AS high FROM v GROUP BY key",
+)
+def _(spark, sf):
+    return portal.dimension_stats(_articles(spark, sf)).withColumn("avg", F.round("avg", 4))
+
+
+@query(
+    "dimension_stats_mixed",
+    f"""WITH {_ARTICLES}, v AS ({_LONG}), f AS (SELECT id, 'extra_' || (id % 3) AS key, ((id % 21) / 2.0)::DOUBLE AS value FROM articles),
+one AS (SELECT key, value FROM f QUALIFY row_number() OVER (PARTITION BY key ORDER BY id) = 1),
+w AS (SELECT key, value FROM v UNION ALL SELECT key, value FROM one)
+SELECT key, round(avg(value), 4) AS avg, count(*) FILTER (value >= 7) AS high FROM w GROUP BY key""",
+)
+def _(spark, sf):
+    flat = F.create_map(F.concat(F.lit("extra_"), (F.col("id") % 3).cast("string")), (F.col("id") % 21 / 2.0).cast("double"))
+    return portal.dimension_stats_mixed(_articles(spark, sf).withColumn("flat", flat)).select("key", F.round("avg", 4).alias("avg"), "high")
+
+
+_SEARCH_BLOB = "lower(concat_ws(' ', " + ", ".join(f"nullif({c}, '')" for c in (*portal.SEARCHED, "profile_name", "url")) + "))"
+
+
+@query("portal_search", f"WITH {_ARTICLES} SELECT {', '.join(_LISTED)} FROM articles WHERE contains({_SEARCH_BLOB}, 'ingthe') ORDER BY rank_score DESC, id LIMIT 100")
+def _(spark, sf):
+    return portal.search(_articles(spark, sf), q=" IngThe ").select(*_LISTED)
+
+
+@query("portal_priority", f"WITH {_ARTICLES} SELECT {', '.join(_LISTED)} FROM articles WHERE priority = 'keep' ORDER BY rank_score DESC, id LIMIT 100")
+def _(spark, sf):
+    return portal.search(_articles(spark, sf), priority="KEEP").select(*_LISTED)
+
+
+for _mode, _column in portal.SORTS.items():
+
+    @query(f"portal_sort_{_mode.removesuffix('_score')}", f"WITH {_ARTICLES} SELECT {', '.join(_LISTED)} FROM articles ORDER BY {_column} DESC, id LIMIT 100")
+    def _(spark, sf, mode=_mode):
+        return portal.search(_articles(spark, sf), sort=mode).select(*_LISTED)
+
+
+@query("article_detail", f"WITH {_ARTICLES} SELECT {', '.join(_ARTICLE)} FROM articles WHERE id = 42")
+def _(spark, sf):
+    return portal.detail(_articles(spark, sf), 42).select(*_ARTICLE)
+
+
+@query(
+    "score_items",
+    f"""WITH {_ARTICLES}, f AS (
+  SELECT id, 0 AS place, 'Rank Score' AS label, rank_score AS value FROM articles UNION ALL
+  SELECT id, 1, 'Overall Fit', score_overall_fit FROM articles UNION ALL
+  SELECT id, 2, 'Theory Novelty', score_theory_novelty FROM articles UNION ALL
+  {" UNION ALL ".join(f"SELECT id, {3 + i}, '{k.replace('_', ' ').title()}', score_{k} FROM articles" for i, k in enumerate(sorted(DIMENSIONS)))})
+SELECT id, place::INTEGER AS place, label, value FROM f""",
+)
+def _(spark, sf):
+    return portal.score_items(_articles(spark, sf))
+
+
+@query("count_papers", "SELECT count(*) AS n FROM documents")
+def _(spark, sf):
+    return table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("done_keys", "SELECT DISTINCT doc_id FROM labels")
+def _(spark, sf):
+    return table(spark, sf, "labels").select("doc_id").distinct()
+
+
+@query(
+    "incremental_resume",
+    "SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) AS n FROM documents WHERE doc_id % 2 = 0) WHERE n = 1 "
+    "UNION ALL SELECT doc_id, source FROM (SELECT doc_id, source, text, row_number() OVER (PARTITION BY sha1(text) ORDER BY doc_id) AS n FROM documents WHERE doc_id % 2 = 1) d "
+    "WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM documents e WHERE e.doc_id % 2 = 0 AND sha1(e.text) = sha1(d.text))",
+)
+def _(spark, sf):
+    # two batches arrive in turn; the second skips keys of the first
+    docs = table(spark, sf, "documents").select("doc_id", "source", F.sha1("text").alias("paper_key"))
+    first = rules.first_wins(docs.filter("doc_id % 2 = 0"), "paper_key", "doc_id")
+    second = rules.first_wins(docs.filter("doc_id % 2 = 1"), "paper_key", "doc_id").join(first.select("paper_key"), "paper_key", "left_anti")
+    return first.select("doc_id", "source").unionByName(second.select("doc_id", "source"))
