@@ -186,7 +186,9 @@ def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str)
     sets = common.materialize(sets, f"neardup-sets-{name}")
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return common.materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), f"neardup-links-{name}")
+    out = common.materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), f"neardup-links-{name}")
+    common.discard(sets)
+    return out
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -212,7 +214,8 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     edges = common.materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc")
     state = None
     for _ in range(rounds):
-        edges = common.materialize(step(step(edges, True), False), "cc")
+        before, edges = edges, common.materialize(step(step(edges, True), False), "cc")
+        common.discard(before)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
         if now == state:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("label")).union(edges.select(F.col("a"), F.col("a")).distinct())
@@ -234,10 +237,13 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     labels = components(links)
     rest = open_pairs(lists, labels).join(first, ["a", "b"], "left_anti")
     rest = common.materialize(estimated(rest, classes), "neardup-open")
+    common.discard(lists, first)
     if rest.take(1):
         more = confirmed(rest, classes, rows, "open")
         if more.take(1):
             labels = components(links.union(more))
+        common.discard(more)
+    common.discard(rest)
 
     labelled = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
