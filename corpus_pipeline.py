@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 
 from siftline.llm import common, cotrain, langid, mixing, neardup, packing, registry, wordtok
 
-#: Least pooled probability of the predicted language.
-LANGUAGE_SCORE = 0.5
+#: Least pooled probability of the predicted language: very short texts stay in doubt, and stay.
+LANGUAGE_SCORE = 0.3
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without a language more likely than not, go."""
+    """Documents without a letter, or with hardly a trace of any language, go."""
     found = langid.identify(docs)
     return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select(*docs.columns)
 

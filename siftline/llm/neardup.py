@@ -8,12 +8,17 @@
    rare to common, two such classes meet in the first ``size - OVERLAP + 1`` of them.  Only
    these go into the inverted lists; a passage that many documents share stands last and
    stays out.
-3. Each list first proposes its members against two leaders, which is linear in the list.
-   The union sketch of a pair estimates its similarity and drops hopeless pairs; the full
-   sets decide.  Linked classes merge into components.
-4. Then each list proposes every pair whose members are still in different components: no
-   link between components is missed, and a list inside one component proposes nothing.
-   Links of both rounds give the components.
+3. Each list first proposes its members against two leaders, the one that shares most with
+   others and the smallest, which is linear in the list.  The union sketch of a pair estimates
+   its similarity and drops hopeless pairs; the full sets decide.  Linked classes merge into
+   components.
+4. Short lists then propose every pair whose members are still in different components.  The
+   classes of longer lists with more than one component get lists anew, exact ones: over all
+   their shingles, ordered from rare to common, linked sets meet in the rarest quarter.  A copy
+   that was changed beyond the threshold has a rarest quarter of its own and is out; so is a
+   page that shares but a passage.
+5. These lists propose leaders, then all pairs still in different components.  No link between
+   components is missed, and a list inside one component proposes nothing.
 
 Joins and partial aggregates carry all of it, so Spark can split a hot list or class, and no
 task holds a whole group.
@@ -32,7 +37,7 @@ from hashlib import blake2b
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,6 +49,8 @@ K = 64
 OVERLAP = 26
 #: Similarity from which documents are linked, in hundredths.
 SIMILARITY = 75
+#: Lists up to this length propose all their open pairs at once.
+SHORT = 16
 MAX_WORDS = 500_000
 
 SETS = T.StructType(
@@ -133,37 +140,58 @@ def _similar_sizes(n: str, m: str):
     return (F.col(n) * 100 >= F.col(m) * SIMILARITY) & (F.col(m) * 100 >= F.col(n) * SIMILARITY)
 
 
-def inverted_lists(classes: DataFrame) -> DataFrame:
-    """(value, node, n): each class in the lists of its rarest retained values."""
-    entries = classes.select("node", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
+def _rarest(entries: DataFrame, least: Column) -> DataFrame:
+    """(value, node, n, weight): each node's entries that a partner with ``least`` shared values
+    cannot all avoid, the rarest first; ``weight`` sums how common a node's values are.
+
+    ``entries``: (node, n, held, value), ``held`` values for each node.
+    """
     shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    held = entries.join(shared, "value").groupBy("node", "n", "held").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"))
-    # values that no other class retains are the rarest, and use up places of the prefix
-    least = F.least(F.ceil(F.col("n") * SIMILARITY / 100), F.lit(OVERLAP))
+    held = entries.join(shared, "value").groupBy("node", "n", "held").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"), F.sum("df").alias("weight"))
+    # values that no other node has are the rarest, and use up places of the prefix
     places = F.col("held") - least + 1 - (F.col("held") - F.size("common"))
-    return held.withColumn("places", places.cast("int")).filter("places > 0").select("node", "n", F.explode(F.slice("common", F.lit(1), F.col("places"))).alias("c")).select(F.col("c.value").alias("value"), "node", "n")
+    held = held.withColumn("places", places.cast("int")).filter("places > 0")
+    return held.select("node", "n", "weight", F.explode(F.slice("common", F.lit(1), F.col("places"))).alias("c")).select(F.col("c.value").alias("value"), "node", "n", "weight")
+
+
+def sketch_lists(classes: DataFrame) -> DataFrame:
+    """Each class in the lists of its rarest retained values."""
+    entries = classes.select("node", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
+    return _rarest(entries, F.least(F.ceil(F.col("n") * SIMILARITY / 100), F.lit(OVERLAP)))
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in common.slices(batches, "shingles"):
+        for node, found in zip(batch.column("node").to_pylist(), common.as_bytes(batch.column("shingles")), strict=True):
+            values = np.frombuffer(found, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), node)), pa.array(np.full(len(values), len(values))), pa.array(values)], ["node", "n", "value"])
+
+
+def full_lists(nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Each of ``nodes`` in the lists of its rarest shingles, counted among these nodes."""
+    values = sets.join(nodes, "node", "left_semi").mapInArrow(_unpacked, "node long, n long, value long")
+    return _rarest(values.withColumn("held", F.col("n")), F.ceil(F.col("n") * SIMILARITY / 100))
 
 
 def leader_pairs(lists: DataFrame) -> DataFrame:
-    """Each member of a list against the list's smallest and largest member."""
-    ends = lists.groupBy("value").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    size = lists.select("value", F.col("node").alias("other"), F.col("n").alias("m"))
-    out = None
-    for end in ("low", "high"):
-        leader = ends.join(size, (ends["value"] == size["value"]) & (ends[end] == size["other"])).select(ends["value"], "other", "m")
-        pairs = lists.join(leader, "value").filter((F.col("node") != F.col("other")) & _similar_sizes("n", "m"))
-        pairs = pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-        out = pairs if out is None else out.union(pairs)
-    return out.distinct()
-
-
-def open_pairs(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of list members that are in different components so far."""
+    """Each member of a list against its member of most weight and its smallest one."""
+    ends = lists.groupBy("value").agg(F.max(F.struct("weight", "node", "n")).alias("w"), F.min(F.struct("n", "node")).alias("s"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    leaders = ends.select("value", F.explode(F.array(F.struct(F.col("w.node"), F.col("w.n")), F.struct(F.col("s.node"), F.col("s.n")))).alias("e")).select("value", F.col("e.node").alias("other"), F.col("e.n").alias("m")).distinct()
+    pairs = lists.join(leaders, "value").filter((F.col("node") != F.col("other")) & _similar_sizes("n", "m"))
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
+def mixed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
+    """The entries of lists with more than one component: value, node, n, label, size."""
     placed = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = placed.groupBy("value").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l < h").select("value")
-    left = placed.join(mixed, "value")
-    right = left.select("value", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"))
-    pairs = left.join(right, "value").filter((F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & _similar_sizes("n", "m"))
+    mixed = placed.groupBy("value").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("size")).filter("l < h").select("value", "size")
+    return placed.join(mixed, "value").select("value", "node", "n", "label", "size")
+
+
+def open_pairs(mixed: DataFrame) -> DataFrame:
+    """All pairs of list members that are in different components so far."""
+    right = mixed.select("value", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"))
+    pairs = mixed.join(right, "value").filter((F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & _similar_sizes("n", "m"))
     return pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
@@ -177,18 +205,18 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").withColumn("union", union).withColumn("both", both).filter(enough).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs that are linked by the full sets of their documents."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = ends.join(classes.select("node", "rep"), "node").select(F.col("rep")).distinct()
+def full_sets(nodes: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, shingles) of the given nodes, from the text of one document each."""
+    wanted = nodes.select("node").distinct().join(classes.select("node", "rep"), "node").select("rep").distinct()
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    sets = texts.mapInArrow(_full_sets, FULL).groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = common.materialize(sets, f"neardup-sets-{name}")
+    return texts.mapInArrow(_full_sets, FULL).groupBy("node").agg(F.first("shingles").alias("shingles"))
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs that are linked by their full sets."""
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    out = common.materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), f"neardup-links-{name}")
-    common.discard(sets)
-    return out
+    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
@@ -223,6 +251,16 @@ def components(links: DataFrame, rounds: int = 50) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
+def _merged(labels: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Labels after the links among ``pairs`` too."""
+    if not pairs.take(1):
+        return labels
+    links = common.materialize(confirmed(pairs, sets), "neardup-links")
+    out = components(links.union(labels.filter("node <> label").select(F.col("label").alias("a"), F.col("node").alias("b")))) if links.take(1) else labels
+    common.discard(links)
+    return out
+
+
 def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest key reachable by links, its own
     included) and kept (it has that key)."""
@@ -230,20 +268,27 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     sets = common.materialize(rows.mapInArrow(_sketches, SETS), "neardup-sketches")
     classes = sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = common.materialize(classes, "neardup-classes")
-    lists = common.materialize(inverted_lists(classes), "neardup-lists")
+    lists = common.materialize(sketch_lists(classes), "neardup-lists")
+    sets_of = common.materialize(full_sets(lists, classes, rows), "neardup-sets")
 
-    first = common.materialize(estimated(leader_pairs(lists), classes), "neardup-leaders")
-    links = confirmed(first, classes, rows, "leaders")
+    first = common.materialize(estimated(leader_pairs(lists), classes), "neardup-pairs")
+    links = common.materialize(confirmed(first, sets_of), "neardup-links")
     labels = components(links)
-    rest = open_pairs(lists, labels).join(first, ["a", "b"], "left_anti")
-    rest = common.materialize(estimated(rest, classes), "neardup-open")
-    common.discard(lists, first)
-    if rest.take(1):
-        more = confirmed(rest, classes, rows, "open")
-        if more.take(1):
-            labels = components(links.union(more))
-        common.discard(more)
-    common.discard(rest)
+
+    mixed = common.materialize(mixed_lists(lists, labels), "neardup-mixed")
+    pairs = open_pairs(mixed.filter(F.col("size") <= SHORT))
+    exact = None
+    if mixed.filter(F.col("size") > SHORT).take(1):
+        exact = common.materialize(full_lists(mixed.filter(F.col("size") > SHORT), sets_of), "neardup-exact")
+        pairs = pairs.union(leader_pairs(exact)).distinct()
+    second = common.materialize(estimated(pairs.join(first, ["a", "b"], "left_anti"), classes), "neardup-pairs")
+    labels = _merged(labels, second, sets_of)
+    if exact is not None:
+        pairs = open_pairs(mixed_lists(exact, labels)).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
+        third = common.materialize(estimated(pairs, classes), "neardup-pairs")
+        labels = _merged(labels, third, sets_of)
+        common.discard(exact, third)
+    common.discard(lists, sets_of, first, mixed, second)
 
     labelled = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))

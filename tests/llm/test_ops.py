@@ -162,7 +162,7 @@ def test_forward_sums_all_segmentations(word):
     logp = lattice.normal(np.arange(pieces.size) % 97)
     assert lattice.word_score(word, pieces, logp) == pytest.approx(brute_word(word, pieces, logp), rel=1e-9)
     uses = [0.0] * pieces.size
-    lattice.expect(word, 2.0, pieces, logp, uses)
+    lattice.expect(word, 2.0, pieces, np.exp(logp).tolist(), uses)
     # expected uses are the derivative of the weighted log probability
     top = int(np.argmax(uses))
     moved = list(logp)
@@ -170,6 +170,16 @@ def test_forward_sums_all_segmentations(word):
     assert uses[top] == pytest.approx(2 * (lattice.word_score(word, pieces, moved) - lattice.word_score(word, pieces, logp)) / 1e-6, rel=1e-3)
 
 
+def test_expected_uses_of_a_very_long_word():
+    pieces = lattice.pieces_at(PIECES)
+    p = np.exp(lattice.normal(np.zeros(pieces.size))).tolist()
+    uses = [0.0] * pieces.size
+    lattice.expect("xyz" * 400, 1.0, pieces, p, uses)
+    # every path spells the whole word
+    size = {k: len(t) for t, k in pieces.arcs.items() if k >= 0}
+    assert sum(u * size[k] for k, u in enumerate(uses) if u) == pytest.approx(1201, rel=1e-6)
+
+
 def test_scores_of_the_documents(spark):
     docs = duckdb.sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet'").fetchall()
     words = {d: (t or "").encode().lower().split() for d, t in docs}
@@ -189,7 +199,7 @@ def test_scores_of_the_documents(spark):
     for _ in range(lattice.ROUNDS):
         uses = [0.0] * pieces.size
         for w, c in train.items():
-            lattice.expect(w.decode(), c, pieces, logp, uses)
+            lattice.expect(w.decode(), c, pieces, np.exp(logp).tolist(), uses)
         uses[pieces.end] = ends
         logp = lattice.normal(np.array(uses))
     head = set(sorted(train, key=lambda w: (-train[w], w))[:50])

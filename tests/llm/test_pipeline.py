@@ -41,7 +41,7 @@ def test_columns(stages):
 def test_language(spark, stages):
     before, after = stages["language"]
     found = langid.identify(before).collect()
-    assert ids(after) == Counter(r.doc_id for r in found if r.lang_pred != "und" and r.score >= 0.5)
+    assert ids(after) == Counter(r.doc_id for r in found if r.lang_pred != "und" and r.score >= corpus_pipeline.LANGUAGE_SCORE)
     clean = duckdb.sql(f"SELECT doc_id FROM '{SF}/labels.parquet' WHERE quality = 1").fetchall()
     assert sum(ids(after)[d] for (d,) in clean) >= 0.98 * len(clean)
 
