@@ -50,25 +50,27 @@ def in_years(papers: DataFrame, years: Sequence[int], year: str = "year") -> Dat
 
 
 def first_wins(papers: DataFrame, key: str | Column, order: str | Column) -> DataFrame:
-    """The first row of each key in input order; equal orders are settled by the whole row's hash."""
+    """The first row of each key in input order; ``order`` is expected to be unique."""
     order = F.col(order) if isinstance(order, str) else order
     w = Window.partitionBy(key).orderBy(order.asc())
     return papers.withColumn("_first", F.row_number().over(w)).filter("_first = 1").drop("_first")
 
 
-def ranked(scored: DataFrame, min_score: float = 1.0, title: str = "title", order: str = "doc_id") -> DataFrame:
-    """Rows at or above the threshold with their place, by score and title descending."""
-    # the sort is global; places come from per-partition counts only where they are asked for
-    w = Window.orderBy(F.desc("rule_score"), F.desc(title), F.asc(order))
-    return scored.filter(F.col("rule_score") >= min_score).withColumn("place", F.row_number().over(w))
-
-
 def kept(scored: DataFrame, min_score: float = 1.0, target_total: int = 0, title: str = "title", order: str = "doc_id") -> DataFrame:
     """Rows at or above the threshold in keep order, at most ``target_total`` if positive."""
     out = scored.filter(F.col("rule_score") >= min_score).orderBy(F.desc("rule_score"), F.desc(title), F.asc(order))
     return out.limit(target_total) if target_total > 0 else out
 
 
+def ranked(scored: DataFrame, top: int, min_score: float = 1.0, title: str = "title", order: str = "doc_id") -> DataFrame:
+    """The first ``top`` kept rows with their place, from 1.
+
+    Only those rows are numbered, so the window that needs them in one task is bounded by ``top``.
+    """
+    w = Window.orderBy(F.desc("rule_score"), F.desc(title), F.asc(order))
+    return kept(scored, min_score, top, title, order).withColumn("place", F.row_number().over(w))
+
+
 def rejected(scored: DataFrame, min_score: float = 1.0, target_total: int = 0, title: str = "title", order: str = "doc_id") -> DataFrame:
     """What ``kept`` leaves, with the part it comes from: overflow of the cap first, then below."""
     below = scored.filter(~(F.col("rule_score") >= min_score)).withColumn("part", F.lit("below"))

@@ -50,7 +50,7 @@ def test_first_wins_and_split(papers):
     assert [r.doc_id for r in rules.kept(unique).collect()] == [0, 4, 2]
     assert [(r.doc_id, r.part) for r in rules.rejected(unique, target_total=2).orderBy("doc_id").collect()] == [(1, "below"), (2, "overflow")]
     assert rules.summary(unique, "p", target_total=2).first() == ("p", 2, 2)
-    assert [r.place for r in rules.ranked(unique).orderBy("place").collect()] == [1, 2, 3]
+    assert [r.place for r in rules.ranked(unique, 10).orderBy("place").collect()] == [1, 2, 3]
     assert {r.venue_year: r.n for r in rules.venue_years(unique).collect()} == {"V::2026": 2, "V::2025": 1, "None::2025.0": 1}
 
 
