@@ -136,28 +136,36 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _similar_sizes(n: str, m: str):
-    return (F.col(n) * 100 >= F.col(m) * SIMILARITY) & (F.col(m) * 100 >= F.col(n) * SIMILARITY)
+def _possible() -> Column:
+    """Whether (n, most) and (m, most_other) leave room for the values a link needs in common."""
+    return F.least("most", "most_other") * (100 + SIMILARITY) >= (F.col("n") + F.col("m")) * SIMILARITY
 
 
-def _rarest(entries: DataFrame, least: Column) -> DataFrame:
-    """(value, node, n, weight): each node's entries that a partner with ``least`` shared values
-    cannot all avoid, the rarest first; ``weight`` sums how common a node's values are.
+def _rarest(entries: DataFrame, least: Column, whole: Column) -> DataFrame:
+    """(value, node, n, weight, most): each node's entries that a partner with ``least`` shared
+    values cannot all avoid, the rarest first; ``weight`` sums how common a node's values are, and
+    ``most`` bounds the values that a partner can share that is met here and not in a rarer list.
 
-    ``entries``: (node, n, held, value), ``held`` values for each node.
+    ``entries``: (node, n, held, value), ``held`` values for each node.  ``whole``: a node and
+    all its possible partners have all their shingles here; else ``most`` is the node's size.
     """
     shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     held = entries.join(shared, "value").groupBy("node", "n", "held").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"), F.sum("df").alias("weight"))
     # values that no other node has are the rarest, and use up places of the prefix
     places = F.col("held") - least + 1 - (F.col("held") - F.size("common"))
     held = held.withColumn("places", places.cast("int")).filter("places > 0")
-    return held.select("node", "n", "weight", F.explode(F.slice("common", F.lit(1), F.col("places"))).alias("c")).select(F.col("c.value").alias("value"), "node", "n", "weight")
+    held = held.withColumn("frequent", F.size(F.filter("common", lambda c: c["df"] > SHORT)))
+    entries = held.select("node", "n", "weight", "held", "frequent", F.size("common").alias("any"), F.explode(F.slice("common", F.lit(1), F.col("places"))).alias("c"))
+    # a node with a frequent value in its prefix has all its rarer ones there: partners that
+    # share one of those meet there, so here only frequent values can be shared
+    most = F.when(whole, F.when(F.col("c.df") > SHORT, F.col("frequent")).otherwise(F.col("any")).cast("long")).otherwise(F.col("n"))
+    return entries.select(F.col("c.value").alias("value"), "node", "n", "weight", most.alias("most"))
 
 
 def sketch_lists(classes: DataFrame) -> DataFrame:
     """Each class in the lists of its rarest retained values."""
     entries = classes.select("node", "n", F.size("sketch").alias("held"), F.explode("sketch").alias("value"))
-    return _rarest(entries, F.least(F.ceil(F.col("n") * SIMILARITY / 100), F.lit(OVERLAP)))
+    return _rarest(entries, F.least(F.ceil(F.col("n") * SIMILARITY / 100), F.lit(OVERLAP)), F.col("n") * 100 <= K * SIMILARITY)
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,28 +178,29 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def full_lists(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Each of ``nodes`` in the lists of its rarest shingles, counted among these nodes."""
     values = sets.join(nodes, "node", "left_semi").mapInArrow(_unpacked, "node long, n long, value long")
-    return _rarest(values.withColumn("held", F.col("n")), F.ceil(F.col("n") * SIMILARITY / 100))
+    return _rarest(values.withColumn("held", F.col("n")), F.ceil(F.col("n") * SIMILARITY / 100), F.lit(True))
 
 
 def leader_pairs(lists: DataFrame) -> DataFrame:
     """Each member of a list against its member of most weight and its smallest one."""
-    ends = lists.groupBy("value").agg(F.max(F.struct("weight", "node", "n")).alias("w"), F.min(F.struct("n", "node")).alias("s"), F.count(F.lit(1)).alias("size")).filter("size > 1")
-    leaders = ends.select("value", F.explode(F.array(F.struct(F.col("w.node"), F.col("w.n")), F.struct(F.col("s.node"), F.col("s.n")))).alias("e")).select("value", F.col("e.node").alias("other"), F.col("e.n").alias("m")).distinct()
-    pairs = lists.join(leaders, "value").filter((F.col("node") != F.col("other")) & _similar_sizes("n", "m"))
+    ends = lists.groupBy("value").agg(F.max(F.struct("weight", "node", "n", "most")).alias("w"), F.min(F.struct("n", "node", "most")).alias("s"), F.count(F.lit(1)).alias("size")).filter("size > 1")
+    leaders = ends.select("value", F.explode(F.array(*(F.struct(*(F.col(f"{e}.{c}") for c in ("node", "n", "most"))) for e in "ws"))).alias("e"))
+    leaders = leaders.select("value", F.col("e.node").alias("other"), F.col("e.n").alias("m"), F.col("e.most").alias("most_other")).distinct()
+    pairs = lists.join(leaders, "value").filter((F.col("node") != F.col("other")) & _possible())
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
 def mixed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The entries of lists with more than one component: value, node, n, label, size."""
+    """The entries of lists with more than one component: value, node, n, most, label, size."""
     placed = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("value").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("size")).filter("l < h").select("value", "size")
-    return placed.join(mixed, "value").select("value", "node", "n", "label", "size")
+    return placed.join(mixed, "value").select("value", "node", "n", "most", "label", "size")
 
 
 def open_pairs(mixed: DataFrame) -> DataFrame:
     """All pairs of list members that are in different components so far."""
-    right = mixed.select("value", F.col("node").alias("other"), F.col("n").alias("m"), F.col("label").alias("other_label"))
-    pairs = mixed.join(right, "value").filter((F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & _similar_sizes("n", "m"))
+    right = mixed.select("value", F.col("node").alias("other"), F.col("n").alias("m"), F.col("most").alias("most_other"), F.col("label").alias("other_label"))
+    pairs = mixed.join(right, "value").filter((F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & _possible())
     return pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
