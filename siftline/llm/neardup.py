@@ -144,7 +144,7 @@ def _possible() -> Column:
 def _rarest(entries: DataFrame, least: Column, whole: Column) -> DataFrame:
     """(value, node, n, weight, most): each node's entries that a partner with ``least`` shared
     values cannot all avoid, the rarest first; ``weight`` sums how common a node's values are, and
-    ``most`` bounds the values that a partner can share that is met here and not in a rarer list.
+    ``most`` bounds the values shared with a partner that is met here first, not in a rarer list.
 
     ``entries``: (node, n, held, value), ``held`` values for each node.  ``whole``: a node and
     all its possible partners have all their shingles here; else ``most`` is the node's size.
@@ -154,11 +154,9 @@ def _rarest(entries: DataFrame, least: Column, whole: Column) -> DataFrame:
     # values that no other node has are the rarest, and use up places of the prefix
     places = F.col("held") - least + 1 - (F.col("held") - F.size("common"))
     held = held.withColumn("places", places.cast("int")).filter("places > 0")
-    held = held.withColumn("frequent", F.size(F.filter("common", lambda c: c["df"] > SHORT)))
-    entries = held.select("node", "n", "weight", "held", "frequent", F.size("common").alias("any"), F.explode(F.slice("common", F.lit(1), F.col("places"))).alias("c"))
-    # a node with a frequent value in its prefix has all its rarer ones there: partners that
-    # share one of those meet there, so here only frequent values can be shared
-    most = F.when(whole, F.when(F.col("c.df") > SHORT, F.col("frequent")).otherwise(F.col("any")).cast("long")).otherwise(F.col("n"))
+    entries = held.select("node", "n", "weight", F.size("common").alias("any"), F.posexplode(F.slice("common", F.lit(1), F.col("places"))).alias("at", "c"))
+    # a pair first meets at its rarest shared value: all it shares stands there or after
+    most = F.when(whole, (F.col("any") - F.col("at")).cast("long")).otherwise(F.col("n"))
     return entries.select(F.col("c.value").alias("value"), "node", "n", "weight", most.alias("most"))
 
 
