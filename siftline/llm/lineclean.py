@@ -68,7 +68,7 @@ def _count(text: Column, pattern: str) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    return F.array_remove(F.split(text, SPACE), "")
 
 
 def line_fails(line: Column) -> Column:
@@ -113,7 +113,7 @@ def inspect(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     counted = rows.select(
         "doc_id",
         F.size("_words").cast("long").alias("n_words"),
-        total("_words").alias("word_chars"),
+        F.length(F.array_join("_words", "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.regexp_replace("_text", SYMBOL, ""))).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(F.when(F.col("_windows").isNotNull(), repeated_words(F.col("_words"))), F.lit(0)).cast("long").alias("n_repeat_words"),
