@@ -30,7 +30,7 @@ from siftline.llm import common
 MODULUS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 #: Bytes of a window, units of each direction.
-STEPS, UNITS = 64, 16
+STEPS, UNITS = 64, 12
 #: Bounds of the training sample: documents of a language, windows of a document.
 SAMPLE, SAMPLE_WINDOWS = 300, 8
 EPOCHS, BATCH, RATE = 4, 128, 0.02
