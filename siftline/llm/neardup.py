@@ -65,6 +65,9 @@ FULL = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingle
 
 _C = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
+#: Sketches hold their hashes with this bit turned, so that Spark's signed order is the hashes' own.
+_SIGN = np.uint64(1 << 63)
+
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
@@ -107,7 +110,7 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(_words) > MAX_WORDS:
             _words.clear()
         sets = [shingles(t) for t in common.as_bytes(batch.column("text"))]
-        sketch = [s[:K].view(np.int64) for s in sets]
+        sketch = [(s[:K] ^ _SIGN).view(np.int64) for s in sets]
         ends = np.concatenate(([0], np.cumsum([len(s) for s in sketch]))).astype(np.int32)
         values = np.concatenate(sketch) if sketch else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays(

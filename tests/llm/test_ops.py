@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import struct
 import zlib
 from collections import Counter
@@ -98,6 +99,20 @@ def test_components_of_drifting_copies(spark):
     check_components(spark, docs)
 
 
+#: Of 6,000 texts of each size, those whose link is lost where sketches are in signed order.
+NESTED = {(72, 96): [1495], (81, 108): [316, 823, 1340, 2704], (90, 120): [119, 851, 962, 2754], (96, 128): [380, 387, 420, 561]}
+
+
+def test_components_of_texts_within_others(spark):
+    docs = []
+    for (small, large), seeds in NESTED.items():
+        for seed in seeds + list(range(6)):
+            rng = random.Random(f"{small}/{large}/{seed}")
+            words = [f"w{rng.randrange(10**9)}" for _ in range(large + 4)]
+            docs += [(len(docs), " ".join(words[: small + 4])), (len(docs) + 1, " ".join(words))]
+    check_components(spark, docs)
+
+
 def test_components_of_odd_rows(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.classify(odd(spark)).collect()), key=str)
     assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (None, 0, None, True), (4, 1, 4, True), (5, 0, 5, True)], key=str)
