@@ -7,16 +7,16 @@ and one end; pieces do not cross words, so its probability is the product over w
 and the end share one distribution, which sums to one.
 
 Two more arcs span a whole word.  One weighs ``WHOLE`` times the word's share of the training
-tokens, the pieces the rest; the other, for the ``HEAD`` most frequent words, weighs the word's
-share of such words so far in the text, up to ``RECALL`` as the text goes on.  Each is a
-distribution over words, so their mixture is one too.
+tokens, the pieces the rest; the other weighs the word's share of the words so far in the text,
+known or not, up to ``RECALL`` as the text goes on.  Each is a distribution over words, so their
+mixture is one too.
 
 The vocabulary's own scores are merge ranks, not log probabilities, so the weights are fitted
 here by expectation maximisation over the counted words of all training documents.
 
 Counts of words grow with the corpus and stay distributed.  The ``HEAD`` most frequent words, a
-bounded table, go to every task; all others meet their counts in a join, which adds to the score
-what their arc over the whole word is worth.
+bounded table, go to every task; all others meet their counts in a join, with the places at which
+the text repeats them, and are scored there by the same arcs.
 
 Defined results: a null text is empty and scores as its end alone; rows are scored each by its
 own text, so repeats and ties do not matter; characters outside the vocabulary go by its byte
@@ -34,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,7 +47,7 @@ HEAD = 100_000
 #: Rounds of expectation maximisation, and the count added to each piece.
 ROUNDS, ADDED = 2, 0.01
 #: Weight of training frequencies against pieces; most weight of the text's own history, and the
-#: frequent words after which it has half of that.
+#: words after which it has half of that.
 WHOLE, RECALL, HALF = 0.9, 0.6, 1000
 FLUSH = 300_000
 MARK = "▁"
@@ -228,6 +228,7 @@ SCORED = T.StructType(
         T.StructField("score", T.DoubleType()),
         T.StructField("tail", T.ArrayType(T.BinaryType())),
         T.StructField("times", T.ArrayType(T.LongType())),
+        T.StructField("again", T.ArrayType(T.ArrayType(T.LongType()))),
     ]
 )
 
@@ -295,8 +296,18 @@ def scored_words(words: DataFrame, vocabulary: str, logp: list[float]) -> DataFr
     return words.mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, head: int = HEAD) -> DataFrame:
-    """Every row's base and lattice scores; see the module and ``op2_lattice``."""
+def _recalled(p: Column, h: Column, k: Column) -> Column:
+    """Log10 of a word's weight where the history holds ``k`` of it among ``h`` words."""
+    recall = F.lit(RECALL) * h / (h + F.lit(float(HALF)))
+    return F.log10((F.lit(1.0) - recall) * p + recall * k / h)
+
+
+def score(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", rounds: int = ROUNDS, head: int | None = None, lookup: int = HEAD) -> DataFrame:
+    """Every row's base and lattice scores; see the module and ``op2_lattice``.
+
+    ``lookup`` words go to every task, which does not change a score; ``head``, where it is given,
+    keeps all but the so many most frequent words out of the history.
+    """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = rows.withColumn("held_out", common.doc_hash(F.col("doc_id"), MODULUS) == HELD_OUT)
     training = rows.filter(~F.col("held_out"))
@@ -307,7 +318,7 @@ def score(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "te
     logp = fit(counts, ends, vocabulary, rounds)
     words_scored = common.materialize(scored_words(counts, vocabulary, logp), "lm-words")
     common.discard(counts)
-    frequent = {bytes(r.word): (r.c, r.s) for r in words_scored.orderBy(F.desc("c"), "word").limit(head).collect()}
+    frequent = {bytes(r.word): (r.c, r.s) for r in words_scored.orderBy(F.desc("c"), "word").limit(lookup if head is None else head).collect()}
     known = docs.sparkSession.sparkContext.broadcast(frequent)
     per_token, run_id = math.log10(total + distinct + 1), uuid.uuid4().hex
     end_score = math.log10((1 - WHOLE) * math.exp(logp[pieces_at(vocabulary).end]) + WHOLE * ends / max(1, total))
@@ -325,31 +336,46 @@ def score(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "te
                 log, lm, h = 0.0, 0.0, 0
                 seen: dict[bytes, int] = {}
                 rest: dict[bytes, int] = {}
+                #: the history's length at each repeat of a word that is not known here
+                again: dict[bytes, list[int]] = {}
+                known_here = 0
                 for w in words:
                     recall = RECALL * h / (h + HALF)
                     found = share.get(w)
                     if found is None:
-                        rest[w] = rest.get(w, 0) + 1
-                        lm += log10(1 - recall)
+                        k = rest.get(w, 0)
+                        rest[w] = k + 1
+                        if k and head is None:
+                            again.setdefault(w, []).append(h)
+                        else:
+                            lm += log10(1 - recall)
+                        h += head is None
                         continue
                     k = seen.get(w, 0)
                     lm += log10((1 - recall) * found[0] + (recall * k / h if k else 0.0))
                     log += found[1]
                     seen[w] = k + 1
+                    known_here += 1
                     h += 1
                 # the end may come after any word
-                out.append((part << 33 | at, doc, held, len(words) + 1, h, log, lm + end_score, list(rest), list(rest.values())))
+                out.append((part << 33 | at, doc, held, len(words) + 1, known_here, log, lm + end_score, list(rest), list(rest.values()), [again.get(w) for w in rest]))
                 at += 1
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], SCORED.names)
 
     scored = common.materialize(rows.mapInArrow(run, SCORED), "lm-scored")
-    pairs = scored.select("row", "held_out", F.explode(F.arrays_zip("tail", "times")).alias("p")).select("row", "held_out", F.col("p.tail").alias("word"), F.col("p.times").alias("k"))
-    worth = F.log10((1 - WHOLE) * F.pow(F.lit(10.0), F.col("s")) + F.lit(WHOLE / max(1, total)) * F.col("c"))
-    met = pairs.join(words_scored, "word").select("row", F.col("k").alias("known"), (F.col("k") * F.log10(F.col("c") + 1)).alias("log"), (F.col("k") * worth).alias("worth"))
+    pairs = scored.select("row", "held_out", F.explode(F.arrays_zip("tail", "times", "again")).alias("p"))
+    pairs = pairs.select("row", "held_out", F.col("p.tail").alias("word"), F.col("p.times").alias("k"), F.col("p.again").alias("again"))
+    worth = (1 - WHOLE) * F.pow(F.lit(10.0), F.col("s")) + F.lit(WHOLE / max(1, total)) * F.col("c")
+    # those occurrences that the history knows, the first of them its second
+    recalled = F.coalesce(F.aggregate(F.transform("again", lambda h, i: _recalled(F.col("p"), h, i + 1)), F.lit(0.0), lambda x, y: x + y), F.lit(0.0))
+    times = F.col("k") - F.when(F.col("again").isNull(), 0).otherwise(F.size("again"))
+    met = pairs.join(words_scored, "word").withColumn("p", worth)
+    met = met.select("row", F.col("k").alias("known"), (F.col("k") * F.log10(F.col("c") + 1)).alias("log"), (times * F.log10("p") + recalled).alias("worth"))
     # words that training texts have not are spelled out; only held-out texts hold any
     new = pairs.filter("held_out").join(words_scored, "word", "left_anti").withColumn("c", F.lit(0).cast("long"))
-    new = scored_words(new.select("word", "c", "row", "k"), vocabulary, logp).select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("log"), (F.col("k") * (F.col("s") + F.lit(math.log10(1 - WHOLE)))).alias("worth"))
+    new = scored_words(new.select("word", "c", "row", "k", "again"), vocabulary, logp).withColumn("p", worth)
+    new = new.select("row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("log"), (times * (F.col("s") + F.lit(math.log10(1 - WHOLE))) + recalled).alias("worth"))
     found = met.unionByName(new).groupBy("row").agg(F.sum("known").alias("tail_known"), F.sum("log").alias("tail_log"), F.sum("worth").alias("tail_worth"))
     ended = math.log10(ends + 1)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))

@@ -229,6 +229,19 @@ def test_scores_of_the_documents(spark):
         assert r.score == pytest.approx(want + math.log10((1 - lattice.WHOLE) * math.exp(logp[pieces.end]) + lattice.WHOLE * ends / n), rel=1e-7)
 
 
+def test_history_of_words_that_are_looked_up_elsewhere(spark):
+    texts = ["common common rare zebra rare common zebra rare"] * 3 + ["new common new quux new rare quux " * 5, "word " * 40, ""]
+    docs = frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts * 8)])
+    ask = lambda n: sorted((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lattice.score(docs, PIECES, lookup=n).collect())
+    # where a word is looked up does not change what it weighs
+    assert ask(1) == ask(0) == ask(1000)
+    # a word that no training text has is remembered too
+    rows = [(i, f"alpha beta {i}", None, None, None) for i in range(40)]
+    odd_one = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 == 2)
+    once, often = (lattice.score(frame(spark, [*rows, (odd_one, t, None, None, None)]), PIECES).filter(f"doc_id = {odd_one}").first().score for t in ("qqzzy", "qqzzy " * 300))
+    assert often > 300 * once * 0.7
+
+
 def test_pieces_and_end_sum_to_one():
     logp = lattice.normal(np.random.default_rng(1).random(lattice.pieces_at(PIECES).size))
     assert math.fsum(map(math.exp, logp)) == pytest.approx(1)
