@@ -7,8 +7,12 @@ on unlabelled rows to the other as labels.  At the end each view is calibrated o
 that neither has seen, a logistic model combines the calibrated views, and every document is
 scored.
 
-Fitting uses a bounded sample, chosen by hash: at most ``LABELLED`` labelled documents and about
-``POOL`` unlabelled ones.  Scoring covers all rows in one pass without a shuffle.
+At most ``LABELLED`` labelled documents, chosen by hash, are gathered.  The unlabelled ones, all
+of them, stay distributed: both views of every row are written once, and each step of a fit and
+each choice of confident rows is a pass over them that sums in every task.  A task replays from the
+rounds' classifiers and cuts what a row was handed, so no state of rows is kept.  A cut is a bin
+of the logit; of the rows in the last bin a hash takes the share that is still wanted.  Scoring
+covers all rows in one pass without a shuffle.
 
 Defined results: a null text is empty; repeated rows get equal scores; where labels of a
 document differ the majority holds and an even split counts as bad; unlabelled or null qualities
@@ -30,13 +34,15 @@ from pyspark.sql import types as T
 
 from siftline.llm import common
 
-#: Bounds of what is fitted on.
-LABELLED, POOL = 4000, 4000
+#: Bound of the labelled rows that are fitted on.
+LABELLED = 4000
 #: Share of the labelled sample kept for calibration, in tenths.
 CALIBRATION = 3
 ROUNDS, GROWTH = 5, 0.05
 #: A prediction at least this sure may be handed over.
 SURE = 0.9
+#: Bins of the logit from ``SURE`` up, by which the most confident rows are chosen.
+BINS, LEAST, MOST = 4096, float(np.log(SURE / (1 - SURE))), 30.0
 WORD_BINS, SOURCE_BINS, LANG_BINS = 64, 32, 8
 RIDGE = 1.0
 THRESHOLD = 0.5
@@ -96,23 +102,33 @@ def meta_view(source: str | None, lang: str | None, n_chars: int | None, text: b
     return out
 
 
+def _newton(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hessian and gradient of the logistic loss, without the ridge."""
+    p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+    return (z * (p * (1 - p) + 1e-9)[:, None]).T @ z, z.T @ (p - y)
+
+
 class Logistic:
     """Ridge logistic regression by Newton steps on standardised columns."""
 
+    def standardised(self, x: np.ndarray) -> np.ndarray:
+        return np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1))]).astype(np.float64)
+
+    def step(self, hessian: np.ndarray, gradient: np.ndarray, ridge: float = RIDGE) -> float:
+        """One Newton step; how far a weight would have gone at most."""
+        pull = np.full(len(self.w), ridge)
+        pull[-1] = 1e-6
+        move = np.linalg.solve(hessian + np.diag(pull), gradient + pull * self.w)
+        self.w = self.w - move * min(1.0, 5 / (np.abs(move).max() + 1e-9))
+        return float(np.abs(move).max())
+
     def fit(self, x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 25) -> Logistic:
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-6
-        z = np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1))]).astype(np.float64)
-        w = np.zeros(z.shape[1])
-        pull = np.full(len(w), ridge)
-        pull[-1] = 1e-6
+        z = self.standardised(x)
+        self.w = np.zeros(z.shape[1])
         for _ in range(steps):
-            p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-            hessian = (z * (p * (1 - p) + 1e-9)[:, None]).T @ z + np.diag(pull)
-            move = np.linalg.solve(hessian, z.T @ (p - y) + pull * w)
-            w -= move * min(1.0, 5 / (np.abs(move).max() + 1e-9))
-            if np.abs(move).max() < 1e-6:
+            if self.step(*_newton(z, y, self.w), ridge) < 1e-6:
                 break
-        self.w = w
         return self
 
     def logit(self, x: np.ndarray) -> np.ndarray:
@@ -137,26 +153,126 @@ class CoTrained:
         return each[:, 0], each[:, 1], self.combined(z)
 
 
-def cotrain(labelled: list[np.ndarray], y: np.ndarray, calibrating: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS) -> CoTrained:
-    """Fit on the labelled rows that are not for ``calibrating``, with the pool's help."""
+class Round:
+    """What one round hands over: its classifiers, and for each giver and kind a cut, (bin, share of
+    that bin's rows)."""
+
+    def __init__(self, views: list[Logistic]):
+        self.views = views
+        self.cuts: list[list[tuple[int, float]]] = [[(BINS, 0.0)] * 2 for _ in views]
+
+
+def _bin(sure: np.ndarray) -> np.ndarray:
+    """Bin of a logit; -1 below ``SURE``."""
+    return np.where(sure < LEAST, -1, np.minimum(BINS - 1, (np.maximum(sure, LEAST) - LEAST) * (BINS / (MOST - LEAST)))).astype(np.int64)
+
+
+def _handed(xs: list[np.ndarray], u: np.ndarray, rounds: list[Round]) -> list[np.ndarray]:
+    """For each view, the label that its rows got from the other in these rounds; -1 without."""
+    out = [np.full(len(u), -1.0) for _ in xs]
+    for done in rounds:
+        for giver, taker in ((0, 1), (1, 0)):
+            logit = done.views[giver].logit(xs[giver])
+            free = out[taker] < 0
+            for kind, sure in ((1, logit), (0, -logit)):
+                at, (cut, share) = _bin(sure), done.cuts[giver][kind]
+                out[taker][free & ((at > cut) | ((at == cut) & (u < share)))] = kind
+    return out
+
+
+def confident(xs: list[np.ndarray], u: np.ndarray, rounds: list[Round], views: list[Logistic]) -> np.ndarray:
+    """Rows, then rows in each bin that are free for the taker, by giver and kind."""
+    got = _handed(xs, u, rounds)
+    out = [np.array([len(u)], np.float64)]
+    for giver, taker in ((0, 1), (1, 0)):
+        logit = views[giver].logit(xs[giver])
+        for sure in (-logit, logit):
+            at = _bin(sure)
+            out.append(np.bincount(at[(at >= 0) & (got[taker] < 0)], minlength=BINS).astype(np.float64))
+    return np.concatenate(out)
+
+
+def moments(xs: list[np.ndarray], u: np.ndarray, rounds: list[Round], views: list[Logistic]) -> np.ndarray:
+    """For each view: rows handed to it, sums and sums of squares of their columns."""
+    out = []
+    for x, got in zip(xs, _handed(xs, u, rounds), strict=True):
+        x = x[got >= 0].astype(np.float64)
+        out += [np.array([float(len(x))]), x.sum(axis=0), (x * x).sum(axis=0)]
+    return np.concatenate(out)
+
+
+def slopes(xs: list[np.ndarray], u: np.ndarray, rounds: list[Round], views: list[Logistic]) -> np.ndarray:
+    """For each view: Hessian and gradient over the rows handed to it."""
+    out = []
+    for x, got, view in zip(xs, _handed(xs, u, rounds), views, strict=True):
+        held = got >= 0
+        out += [part.ravel() for part in _newton(view.standardised(x[held]), got[held], view.w)]
+    return np.concatenate(out)
+
+
+def _split(sums: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    return np.split(sums, np.cumsum(sizes)[:-1])
+
+
+def _fit_views(own: list[np.ndarray], y: np.ndarray, total, rounds: list[Round], steps: int = 25) -> list[Logistic]:
+    """Both views fitted to their labelled rows and to what the rounds handed them."""
+    if not rounds:
+        return [Logistic().fit(x, y) for x in own]
+    sums = _split(total(moments, rounds, rounds[-1].views), [k for x in own for k in (1, x.shape[1], x.shape[1])])
+    views = []
+    for i, x in enumerate(own):
+        view, x = Logistic(), x.astype(np.float64)
+        n, first, second = len(x) + sums[3 * i][0], x.sum(axis=0) + sums[3 * i + 1], (x * x).sum(axis=0) + sums[3 * i + 2]
+        view.mean = first / n
+        view.scale = np.sqrt(np.maximum(0, second / n - view.mean**2)) + 1e-6
+        # not from the last round's weights: full Newton steps diverge from there
+        view.w = np.zeros(x.shape[1] + 1)
+        views.append(view)
+    zs = [v.standardised(x) for v, x in zip(views, own, strict=True)]
+    for _ in range(steps):
+        parts = _split(total(slopes, rounds, views), [k for z in zs for k in (z.shape[1] ** 2, z.shape[1])])
+        moves = []
+        for i, (view, z) in enumerate(zip(views, zs, strict=True)):
+            hessian, gradient = _newton(z, y, view.w)
+            moves.append(view.step(hessian + parts[2 * i].reshape(hessian.shape), gradient + parts[2 * i + 1]))
+        if max(moves) < 1e-6:
+            break
+    return views
+
+
+def _cut(found: np.ndarray, wanted: int) -> tuple[int, float]:
+    """The cut above which ``wanted`` of the rows counted by bin lie, or all."""
+    above = 0.0
+    for at in np.nonzero(found)[0][::-1]:
+        if above + found[at] >= wanted:
+            return int(at), (wanted - above) / found[at]
+        above += found[at]
+    return -1, 0.0
+
+
+def cotrain(labelled: list[np.ndarray], y: np.ndarray, calibrating: np.ndarray, pool, rounds: int = ROUNDS) -> CoTrained:
+    """Fit on the labelled rows that are not for ``calibrating``, with the pool's help.
+
+    ``pool``: both views of the unlabelled rows and, if not even, a number from 0 to 1 for each;
+    or a function that sums ``confident``, ``moments`` or ``slopes`` over them.
+    """
+    total = pool
+    if not callable(pool):
+        u = pool[2] if len(pool) > 2 else np.random.default_rng(0).random(len(pool[0]))
+        total = lambda what, done, views: what(list(pool[:2]), u, done, views)
     fit = ~calibrating
-    own = [[x[fit]] for x in labelled]
-    labels = [[y[fit]] for _ in labelled]
-    free = [np.ones(len(pool[0]), bool) for _ in labelled]
+    own = [x[fit] for x in labelled]
     good = float(y[fit].mean())
+    done: list[Round] = []
     for _ in range(rounds):
-        views = [Logistic().fit(np.concatenate(o), np.concatenate(t)) for o, t in zip(own, labels, strict=True)]
-        n = int(GROWTH * len(pool[0]))
-        for giver, taker in ((0, 1), (1, 0)):
-            p = views[giver](pool[giver])
+        now = Round(_fit_views(own, y[fit], total, done))
+        count, *found = _split(total(confident, done, now.views), [1, *[BINS] * 4])
+        n = int(GROWTH * count[0])
+        for giver in (0, 1):
             # the most confident of either kind, in the labelled rows' proportion
-            for kind, sure, share in ((1.0, p, good), (0.0, 1 - p, 1 - good)):
-                order = np.argsort(-np.where(free[taker], sure, -1), kind="stable")[: max(1, round(n * share))]
-                order = order[(sure[order] >= SURE) & free[taker][order]]
-                own[taker].append(pool[taker][order])
-                labels[taker].append(np.full(len(order), kind))
-                free[taker][order] = False
-    views = [Logistic().fit(np.concatenate(o), np.concatenate(t)) for o, t in zip(own, labels, strict=True)]
+            now.cuts[giver] = [_cut(found[2 * giver + kind], max(1, round(n * share))) for kind, share in ((0, 1 - good), (1, good))]
+        done.append(now)
+    views = _fit_views(own, y[fit], total, done)
     held = calibrating if calibrating.any() and len(set(y[calibrating])) == 2 else fit
     calibrations = [Logistic().fit(v.logit(x[held])[:, None], y[held]) for v, x in zip(views, labelled, strict=True)]
     out = CoTrained(views, calibrations, Logistic())
@@ -192,29 +308,48 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = _inputs(docs.withColumn("doc_id", F.col(key).cast("long")), ["doc_id"], text).withColumnRenamed("_0", "doc_id")
     # at most LABELLED rows, whatever the number of labels: the broadcast is bounded
     picked = votes.orderBy(_hash(F.col("doc_id"), "labelled"), "doc_id").limit(LABELLED)
-    schema = "doc_id long, good double, calibrating boolean, a binary, b binary"
+    names = ["doc_id", "good", "calibrating", "u"]
+    schema = "doc_id long, good double, calibrating boolean, u double, a binary, b binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             a, b = _views(batch)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in ("doc_id", "good", "calibrating")), pa.array([r.tobytes() for r in a], pa.binary()), pa.array([r.tobytes() for r in b], pa.binary())],
-                ["doc_id", "good", "calibrating", "a", "b"],
-            )
-
-    known = rows.join(F.broadcast(picked), "doc_id").withColumn("calibrating", _hash(F.col("doc_id"), "fold") % 10 < CALIBRATION)
-    count = docs.count()
-    share = int(min(1.0, POOL / max(1, count)) * (1 << 30))
-    pool = rows.filter(_hash(F.col("doc_id"), "pool") < share).withColumn("good", F.lit(None).cast("double")).withColumn("calibrating", F.lit(False))
-    columns = [*rows.columns, "good", "calibrating"]
-    got = sorted(known.select(*columns).unionByName(pool.select(*columns)).mapInArrow(run, schema).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.good is None, bytes(r.a)))
-    sure = [r for r in got if r.good is not None]
-    if len({r.good for r in sure if not r.calibrating}) < 2:
-        return None
-    seen = {r.doc_id for r in sure}
-    free = [r for r in got if r.good is None and r.doc_id not in seen] or sure[:1]
-    arrays = lambda rs: [np.stack([np.frombuffer(getattr(r, c), np.float32) for r in rs]) for c in "ab"]
-    return cotrain(arrays(sure), np.array([r.good for r in sure]), np.array([r.calibrating for r in sure]), arrays(free))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([r.tobytes() for r in a], pa.binary()), pa.array([r.tobytes() for r in b], pa.binary())], [*names, "a", "b"])
+
+    marked = rows.join(F.broadcast(picked), "doc_id", "left").withColumn("calibrating", _hash(F.col("doc_id"), "fold") % 10 < CALIBRATION).withColumn("u", _hash(F.col("doc_id"), "pool") / float(1 << 30))
+    views = common.materialize(marked.select(*rows.columns, "good", "calibrating", "u").mapInArrow(run, schema), "quality-views")
+    sure = sorted(views.filter("good IS NOT NULL").collect(), key=lambda r: (r.doc_id, bytes(r.a), bytes(r.b)))
+    model = None
+    if len({r.good for r in sure if not r.calibrating}) == 2:
+        known = [_stacked([getattr(r, c) for r in sure], n) for c, n in (("a", _N_TEXT), ("b", _N_META))]
+        model = cotrain(known, np.array([r.good for r in sure]), np.array([r.calibrating for r in sure]), _total(views.filter("good IS NULL").select("u", "a", "b")))
+    common.discard(views)
+    return model
+
+
+def _stacked(rows: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(rows), np.float32).reshape(-1, width)
+
+
+def _total(pool: DataFrame):
+    """Sums over all rows of ``pool`` (u, a, b), in every task first; the driver gets one number for
+    each bin or entry of a Hessian."""
+
+    def total(what, done: list[Round], views: list[Logistic]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            out = 0.0
+            for batch in batches:
+                xs = [_stacked(common.as_bytes(batch.column(c)), n) for c, n in (("a", _N_TEXT), ("b", _N_META))]
+                out = out + what(xs, batch.column("u").to_numpy(), done, views)
+            at = np.nonzero(np.atleast_1d(out))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.atleast_1d(out)[at], pa.float64())], ["at", "v"])
+
+        sums = what([np.empty((0, _N_TEXT), np.float32), np.empty((0, _N_META), np.float32)], np.empty(0), done, views)
+        for at, v in pool.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v")).collect():
+            sums[at] = v
+        return sums
+
+    return total
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:

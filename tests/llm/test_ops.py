@@ -453,6 +453,24 @@ def test_co_training_helps_the_weak_view():
     assert right(with_pool) >= right(alone) - 0.002 and right(with_pool) > 0.95
 
 
+def test_all_unlabelled_rows_are_in_the_pool(spark):
+    rng = np.random.default_rng(4)
+    words = [[f"good{i}" for i in range(40)], [f"bad{i}" for i in range(40)]]
+    kinds = rng.integers(0, 2, 6000)
+    rows = [(i, " ".join(rng.choice(words[k], 12)), "en", f"s{k}{rng.integers(3)}", 60) for i, k in enumerate(kinds.tolist())]
+    docs = frame(spark, rows).repartition(5)
+    labels = spark.createDataFrame([(i, int(1 - kinds[i])) for i in range(0, 6000, 40)], "doc_id long, quality int")
+    got = cotrain.fit(docs, labels)
+    # the same in memory, over every row
+    hashed = {r.doc_id: (r.u, r.c) for r in docs.select("doc_id", (cotrain._hash(docs.doc_id, "pool") / float(1 << 30)).alias("u"), (cotrain._hash(docs.doc_id, "fold") % 10 < 3).alias("c")).collect()}
+    views = [np.stack([cotrain.text_view(r[1].encode()) for r in rows]), np.stack([cotrain.meta_view(r[3], r[2], r[4], r[1].encode()) for r in rows])]
+    known = np.arange(6000) % 40 == 0
+    cal, u = np.array([hashed[i][1] for i in range(6000)]), np.array([hashed[i][0] for i in range(6000)])
+    want = cotrain.cotrain([x[known] for x in views], 1.0 - kinds[known], cal[known], [*(x[~known] for x in views), u[~known]])
+    for a, b in zip(got.views, want.views, strict=True):
+        assert a.w == pytest.approx(b.w, rel=1e-4, abs=1e-5)
+
+
 def test_quality_of_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = cotrain.classify(odd(spark), none).collect()
