@@ -29,12 +29,18 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id stays of each component; rows of one id are one document."""
-    kept = neardup.classify(docs).filter("kept").groupBy("doc_id").agg(F.count(F.lit(1)).alias("rows"))
-    kept = common.materialize(kept, "pipeline-kept")
-    out = docs.join(kept.select(F.col("doc_id").alias("_kept")), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    """One row stays of each component, of the smallest id; rows that are linked with nothing all
+    stay, but that rows of the same id and text are one document."""
+    found = neardup.classify(docs, by_text=True).filter("kept")
+    # rows of one id may have several texts: one text of each component, each text without shingles
+    kept = found.groupBy("doc_id", F.coalesce(F.col("linked").cast("string"), "text_hash").alias("of")).agg(F.min("text_hash").alias("text_hash"))
+    kept = found.join(kept.drop("of").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text")), F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("text_hash").eqNullSafe(F.col("_text")), "left_semi")
+    kept = common.materialize(kept.groupBy("doc_id", "text_hash").agg(F.count(F.lit(1)).alias("rows")), "pipeline-kept")
+    wanted = kept.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_kept"))
+    hashed = docs.withColumn("_text", neardup.text_hash(F.col("text")))
+    out = hashed.join(wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_text").eqNullSafe(F.col("_kept")), "left_semi")
     repeated = kept.filter("rows > 1").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if repeated else out
+    return (out.dropDuplicates(["doc_id", "_text"]) if repeated else out).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

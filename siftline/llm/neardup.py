@@ -114,8 +114,8 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = np.concatenate(([0], np.cumsum([len(s) for s in sketch]))).astype(np.int32)
         values = np.concatenate(sketch) if sketch else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values))],
-            SETS.names,
+            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), *batch.columns[2:]],
+            SETS.names + batch.schema.names[2:],
         )
 
 
@@ -271,11 +271,22 @@ def _merged(labels: DataFrame, pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def text_hash(text: Column) -> Column:
+    """What stands for a text in ``classify(..., by_text=True)``."""
+    return F.md5(text.cast("string").cast("binary"))
+
+
+def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", by_text: bool = False) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the smallest key reachable by links, its own
-    included) and kept (it has that key)."""
+    included) and kept (it has that key).
+
+    ``by_text``: also the row's ``text_hash`` and ``linked``, one number for all rows of a component,
+    null where the text has no shingles.
+    """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    sets = common.materialize(rows.mapInArrow(_sketches, SETS), "neardup-sketches")
+    more = ["text_hash"] if by_text else []
+    hashed = rows.withColumn("text_hash", text_hash(F.col("text"))) if by_text else rows
+    sets = common.materialize(hashed.mapInArrow(_sketches, T.StructType([*SETS, *(hashed.schema[c] for c in more)])), "neardup-sketches")
     classes = sets.filter("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
     classes = common.materialize(classes, "neardup-classes")
     lists = common.materialize(sketch_lists(classes), "neardup-lists")
@@ -302,7 +313,8 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
     labelled = classes.select("node", "rep").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.groupBy("label").agg(F.min("rep").alias("component_id"))
-    found = labelled.join(least, "label").select("node", "component_id")
-    out = sets.select("doc_id", "n_shingles", "node").join(found, "node", "left")
+    found = labelled.join(least, "label").select("node", "component_id", "label")
+    out = sets.select("doc_id", "n_shingles", "node", *more).join(found, "node", "left")
     component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    more += [F.col("label").alias("linked")] if by_text else []
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *more)

@@ -58,6 +58,23 @@ def test_near_duplicates(stages):
     assert ids(after) == Counter(d for d, (_, c) in want.items() if d == c)
 
 
+def test_near_duplicates_of_repeated_and_null_ids(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [(7, "one clean text of its own"), (7, "quite another text of the same id"), (7, "one clean text of its own")]
+    rows += [(None, "a text without an id at all"), (None, "and a second one without an id"), (None, "and a second one without an id"), (None, None), (None, None), (None, "")]
+    # of id 9 only the text that is no copy of id 3's stays
+    rows += [(3, long), (9, long), (9, "the only clean row of this id")]
+    # changed copies under one id are one document
+    rows += [(11, " ".join(f"v{i}" for i in range(60))), (11, " ".join(f"v{i}" for i in range(61)))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    after = corpus_pipeline.drop_near_duplicates(spark, docs, SF)
+    assert after.columns == COLUMNS
+    got = Counter((r.doc_id, r.text) for r in after.collect())
+    assert set(got.values()) == {1}
+    assert set(got) - {rows[-1], rows[-2]} == set(rows[:-2]) - {(9, long)}
+    assert len({rows[-1], rows[-2]} & set(got)) == 1
+
+
 def test_mixing(stages):
     before, after = stages["mixing"]
     rows = before.collect()
