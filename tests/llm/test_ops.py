@@ -273,6 +273,10 @@ def test_network_gradients():
         assert g[name][at] == pytest.approx((ends[0] - ends[1]) / 2e-2, rel=0.03, abs=2e-5)
 
 
+def test_network_has_the_units_that_its_accuracy_is_stated_for():
+    assert langid.Network(["a", "b"]).units == 16
+
+
 def test_held_out_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = langid.identify(docs).select("doc_id", "lang", "held_out", "lang_pred", "score", "n_chars").collect()
