@@ -8,9 +8,10 @@ lost executor costs only its running tasks, and each task's output is committed
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,9 @@ def shared_dir(spark: SparkSession) -> str:
     global _own_dir
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
-        # only where the cluster names none: local mode and tests
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        # one machine, as in tests
         _own_dir = _own_dir or tempfile.mkdtemp(prefix="siftline-")
         found = _own_dir
     found = found.rstrip("/")
@@ -64,6 +67,34 @@ def doc_hash(key: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+_caches: dict[str, Callable[[], object]] = {}
+_entered: str | None = None
+
+
+def cached(owner: str, clear: Callable[[], object]) -> None:
+    """Say how to empty what ``owner`` keeps in a Python worker between tasks."""
+    _caches[owner] = clear
+
+
+def enter(owner: str) -> None:
+    """Empty what other operators left in this worker, and give their memory back.
+
+    Spark reuses workers from stage to stage; so one holds one operator's caches at a time.
+    """
+    global _entered
+    if owner == _entered:
+        return
+    for other, clear in _caches.items():
+        if other != owner:
+            clear()
+    if _entered is not None:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+    _entered = owner
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_binary()).to_pylist()
 

@@ -21,12 +21,15 @@
    components is missed, and a list inside one component proposes nothing.
 
 Joins and partial aggregates carry all of it, so Spark can split a hot list or class, and no
-task holds a whole group.
+task holds a whole group.  Python only hashes words; sets are compared where Spark holds them, so
+that no pair of sets is copied to a worker.
 
 Defined results: words are runs of anything but white space, A-Z lower-cased; with fewer than
 five words the whole sequence is one shingle; null and wordless texts have no shingles and are
 linked with nothing; rows that share a key are judged each by its own text; a null key never is
-the smallest of a component; an empty table stays empty; other columns are ignored.
+the smallest of a component; an empty table stays empty; other columns are ignored.  Components
+settle in about as many rounds as the longest chain of links has binary digits; should they not
+within 50, that is an error and not a result.
 """
 
 from __future__ import annotations
@@ -51,7 +54,8 @@ OVERLAP = 26
 SIMILARITY = 75
 #: Lists up to this length propose all their open pairs at once.
 SHORT = 16
-MAX_WORDS = 500_000
+#: Words that a worker keeps the hashes of, and bytes of the longest of them.
+MAX_WORDS, WORD_BYTES = 100_000, 64
 
 SETS = T.StructType(
     [
@@ -61,7 +65,7 @@ SETS = T.StructType(
         T.StructField("sketch", T.ArrayType(T.LongType(), False)),
     ]
 )
-FULL = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.BinaryType())])
+FULL = T.StructType([T.StructField("node", T.LongType()), T.StructField("shingles", T.ArrayType(T.LongType(), False))])
 
 _C = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
@@ -71,11 +75,14 @@ _SIGN = np.uint64(1 << 63)
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        n = self[word] = xxhash.xxh64_intdigest(word)
+        n = xxhash.xxh64_intdigest(word)
+        if len(word) <= WORD_BYTES:
+            self[word] = n
         return n
 
 
 _words = _Words()
+common.cached("neardup", _words.clear)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -105,38 +112,31 @@ def _node(found: np.ndarray) -> int | None:
     return int.from_bytes(blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(a) for a in arrays]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays) if arrays else np.empty(0, np.int64)))
+
+
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.enter("neardup")
     for batch in common.slices(batches, "text"):
         if len(_words) > MAX_WORDS:
             _words.clear()
         sets = [shingles(t) for t in common.as_bytes(batch.column("text"))]
         sketch = [(s[:K] ^ _SIGN).view(np.int64) for s in sets]
-        ends = np.concatenate(([0], np.cumsum([len(s) for s in sketch]))).astype(np.int32)
-        values = np.concatenate(sketch) if sketch else np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(values)), *batch.columns[2:]],
+            [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([_node(s) for s in sets], pa.int64()), _lists(sketch), *batch.columns[2:]],
             SETS.names + batch.schema.names[2:],
         )
 
 
 def _full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    common.enter("neardup")
     for batch in common.slices(batches, "text"):
         if len(_words) > MAX_WORDS:
             _words.clear()
         sets = [shingles(t) for t in common.as_bytes(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], FULL.names)
-
-
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs whose full sets are similar enough."""
-    for batch in batches:
-        a, b, x, y = (batch.column(c).to_pylist() for c in ("a", "b", "x", "y"))
-        keep = []
-        for p, q in zip(x, y, strict=True):
-            p, q = np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            keep.append(100 * both >= SIMILARITY * (len(p) + len(q) - both))
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        yield pa.RecordBatch.from_arrays([pa.array([_node(s) for s in sets], pa.int64()), _lists([s.view(np.int64) for s in sets])], FULL.names)
 
 
 def _possible() -> Column:
@@ -169,16 +169,10 @@ def sketch_lists(classes: DataFrame) -> DataFrame:
     return _rarest(entries, F.least(F.ceil(F.col("n") * SIMILARITY / 100), F.lit(OVERLAP)), F.col("n") * 100 <= K * SIMILARITY)
 
 
-def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in common.slices(batches, "shingles"):
-        for node, found in zip(batch.column("node").to_pylist(), common.as_bytes(batch.column("shingles")), strict=True):
-            values = np.frombuffer(found, np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), node)), pa.array(np.full(len(values), len(values))), pa.array(values)], ["node", "n", "value"])
-
-
 def full_lists(nodes: DataFrame, sets: DataFrame) -> DataFrame:
     """Each of ``nodes`` in the lists of its rarest shingles, counted among these nodes."""
-    values = sets.join(nodes, "node", "left_semi").mapInArrow(_unpacked, "node long, n long, value long")
+    wanted = sets.join(nodes, "node", "left_semi")
+    values = wanted.select("node", F.size("shingles").cast("long").alias("n"), F.explode("shingles").alias("value"))
     return _rarest(values.withColumn("held", F.col("n")), F.ceil(F.col("n") * SIMILARITY / 100), F.lit(True))
 
 
@@ -226,7 +220,9 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs that are linked by their full sets."""
     x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long")
+    # both >= SIMILARITY % of (n + m - both), with ``both`` once, so that no set is met twice
+    enough = F.size(F.array_intersect("x", "y")) * (100 + SIMILARITY) >= (F.size("x").cast("long") + F.size("y")) * SIMILARITY
+    return pairs.join(x, "a").join(y, "b").filter(enough).select("a", "b")
 
 
 def components(links: DataFrame, rounds: int = 50) -> DataFrame:
