@@ -46,7 +46,7 @@ def tokenize(docs: DataFrame, tokenizer: str, end: int = END_ID, key: str = "doc
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, part, at = wordtok.for_path(tokenizer), TaskContext.get().partitionId(), 0
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", wordtok.TEXT_BYTES):
             ids, sizes = tok.encode(common.as_bytes(batch.column("text")), end)
             edges = np.concatenate(([0], np.cumsum(sizes)))
             raw = ids.astype("<u4").tobytes()

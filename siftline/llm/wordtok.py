@@ -1,9 +1,10 @@
 """Tokenizer calls by distinct word.
 
 The vocabulary in use drops white space and never merges across it, so the ids of a text are
-the ids of its white-space-separated words in turn.  Each distinct word goes through the
-tokenizers library once for each worker; repeats cost one dict lookup.  The cache is cleared
-when it is full, so memory stays bounded whatever the vocabulary of the corpus.
+the ids of its white-space-separated words in turn.  A distinct word goes through the tokenizers
+library when a worker meets it; repeats cost one dict lookup.  When the cache is full, the words
+that came back most stay and the rest go, so memory stays bounded (some 80 MB) whatever the
+vocabulary of the corpus.
 """
 
 from __future__ import annotations
@@ -13,8 +14,12 @@ import re
 
 import numpy as np
 
-#: Words and bytes of words that a worker keeps.
-MAX_WORDS, MAX_BYTES = 500_000, 24 << 20
+from siftline.llm import common
+
+#: Words, bytes of words and parts of words that a worker keeps.
+MAX_WORDS, MAX_BYTES, MAX_PARTS = 400_000, 16 << 20, 120_000
+#: Text bytes that a task turns into ids at once.
+TEXT_BYTES = 2 << 20
 
 #: What the vocabulary's own normalizer and splitter do to words of these characters is plain:
 #: lower case, then contractions, runs of letters, single digits, runs of anything else.
@@ -59,23 +64,57 @@ class WordTokenizer:
         self.short = _PLAIN_CONFIG in self.tokenizer.to_str() and '"NFC"' in self.tokenizer.to_str()
         self.letters = _byte_letters()
         self.model = self.tokenizer.model
+        #: one object for each id, whatever the number of words it is in
+        self.ids = list(range(self.tokenizer.get_vocab_size()))
         self._clear()
 
     def _clear(self) -> None:
         self.index = _Index()
-        self.parts: dict[str, list[int]] = {}
+        self.parts: dict[str, tuple[int, ...]] = {}
         self.held = 0
         self.flat = np.empty(1 << 16, np.uint32)
         self.used = 0
-        self.starts = np.empty(1 << 14, np.int64)
-        self.lens = np.empty(1 << 14, np.int64)
+        self.starts = np.empty(1 << 14, np.int32)
+        self.lens = np.empty(1 << 14, np.int32)
         self.known = 0
-
-    def _part(self, part: str) -> list[int]:
+        #: how often the word of each position came
+        self.uses = np.zeros(1 << 14, np.uint32)
+
+    def _thin(self) -> None:
+        """Keep the words that came most, to a third of the bounds, and forget the others."""
+        words, uses = list(self.index), self.uses[: self.known].copy()
+        order = np.argsort(uses, kind="stable")[::-1]
+        order = order[uses[order] > 1][: self.max_words // 3]
+        held = np.cumsum(np.fromiter((len(words[i]) for i in order.tolist()), np.int64, len(order)))
+        order = np.sort(order[: int(np.searchsorted(held, self.max_bytes // 3, "right"))])
+        old, starts, lens = self.flat, self.starts[order], self.lens[order]
+        self._clear()
+        for i, at in enumerate(order.tolist()):
+            self.index[words[at]] = i
+        self._room(len(order), int(lens.sum()))
+        self.known, self.used = len(order), int(lens.sum())
+        self.held = sum(len(words[i]) for i in order.tolist())
+        ends = np.cumsum(lens)
+        self.flat[: self.used] = old[np.repeat(starts - (ends - lens), lens) + np.arange(self.used)]
+        self.starts[: self.known], self.lens[: self.known] = ends - lens, lens
+        # older words count for less than those to come
+        self.uses[: self.known] = uses[order] // 2
+
+    def _room(self, words: int, ids: int) -> None:
+        """Grow the arrays so that so many more words and ids fit."""
+        while self.used + ids > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
+        while self.known + words > len(self.starts):
+            self.starts = np.concatenate((self.starts, np.empty_like(self.starts)))
+            self.lens = np.concatenate((self.lens, np.empty_like(self.lens)))
+            self.uses = np.concatenate((self.uses, np.zeros_like(self.uses)))
+
+    def _part(self, part: str) -> tuple[int, ...]:
         """Ids of what the splitter would hand to the model."""
         if not part.isascii():
             part = "".join(map(self.letters.__getitem__, part.encode()))
-        return [t.id for t in self.model.tokenize(part)]
+        ids = self.ids
+        return tuple([ids[t.id] for t in self.model.tokenize(part)])
 
     def _encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Flat ids and the number of ids of each word."""
@@ -121,15 +160,13 @@ class WordTokenizer:
         return np.array([i for e in each for i in e.ids], np.uint32), np.array([len(e.ids) for e in each], np.int64)
 
     def _learn(self) -> None:
+        if len(self.parts) > MAX_PARTS:
+            self.parts.clear()
         for lo in range(0, len(self.index.pending), 20_000):
             words = self.index.pending[lo : lo + 20_000]
             ids, lens = self._encode(words)
             n, m = len(words), len(ids)
-            while self.used + m > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.empty_like(self.flat)))
-            while self.known + n > len(self.starts):
-                self.starts = np.concatenate((self.starts, np.empty_like(self.starts)))
-                self.lens = np.concatenate((self.lens, np.empty_like(self.lens)))
+            self._room(n, m)
             self.flat[self.used : self.used + m] = ids
             self.starts[self.known : self.known + n] = self.used + np.cumsum(lens) - lens
             self.lens[self.known : self.known + n] = lens
@@ -144,7 +181,7 @@ class WordTokenizer:
         ``end`` is appended to each text.  None counts as an empty text.
         """
         if len(self.index) > self.max_words or self.held > self.max_bytes:
-            self._clear()
+            self._thin()
         look = self.index.__getitem__
         found = []
         for t in texts:
@@ -154,8 +191,9 @@ class WordTokenizer:
             self._learn()
         counts = np.fromiter(map(len, found), np.int64, len(found))
         at = np.concatenate(found) if found else np.empty(0, np.int64)
+        self.uses[: self.known] += np.bincount(at, minlength=self.known).astype(np.uint32)
         lens = self.lens[at]
-        edges = np.concatenate(([0], np.cumsum(lens)))
+        edges = np.concatenate(([0], np.cumsum(lens, dtype=np.int64)))
         doc_edges = edges[np.concatenate(([0], np.cumsum(counts)))]
         total = int(edges[-1])
         ids = self.flat[np.repeat(self.starts[at] - edges[:-1], lens) + np.arange(total)]
@@ -167,10 +205,12 @@ class WordTokenizer:
 
 
 _cached: dict[str, WordTokenizer] = {}
+common.cached("wordtok", _cached.clear)
 
 
 def for_path(path: str) -> WordTokenizer:
     """This worker's tokenizer; workers are reused, and so is what they have cached."""
+    common.enter("wordtok")
     if path not in _cached:
         _cached[path] = WordTokenizer(path)
     return _cached[path]
