@@ -20,6 +20,7 @@ which files count.
 
 from __future__ import annotations
 
+import io
 import struct
 import uuid
 import zlib
@@ -36,8 +37,8 @@ from pyspark.sql import types as T
 from siftline.llm import common, wordtok
 
 MAGIC, VERSION, BLOCK = b"DACT", 1, 512
-#: Ids after which a file is closed.
-FILE_IDS = 4 << 20
+#: Ids after which a file is closed: a task holds some 2 bytes for each until then.
+FILE_IDS = 8 << 20
 END_ID = 2
 
 MANIFEST = T.StructType(
@@ -52,30 +53,85 @@ MANIFEST = T.StructType(
 )
 DOCS = T.StructType([T.StructField(n, T.LongType()) for n in ("doc_id", "start", "n_tokens", "ids_crc32")])
 
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint64)
+_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+
+
+class Encoder:
+    """Gathers documents in the form in which the file will have them, some 2 bytes an id."""
+
+    def __init__(self):
+        self.doc_ids: list[np.ndarray] = []
+        self.nulls: list[np.ndarray] = []
+        self.sizes: list[np.ndarray] = []
+        self.docs = self.n_ids = 0
+        self.chunks: list[bytearray] = []
+        self.bitmaps: list[bytearray] = []
+        #: the bits, fewer than 8, that do not fill a byte of the bitmap yet
+        self.tails: list[np.ndarray] = []
+        self._level()
+
+    def _level(self) -> None:
+        self.chunks.append(bytearray())
+        self.bitmaps.append(bytearray())
+        self.tails.append(np.empty(0, bool))
+
+    def add(self, ids: np.ndarray, doc_ids: list[int | None], sizes: np.ndarray) -> None:
+        """``sizes`` has the number of ids of each document."""
+        self.doc_ids.append(np.array([d or 0 for d in doc_ids], "<i8"))
+        self.nulls.append(np.array([d is None for d in doc_ids], np.uint8))
+        self.sizes.append(np.asarray(sizes, np.int64))
+        self.docs += len(doc_ids)
+        self.n_ids += len(ids)
+        rest, level = ids.astype(np.uint32, copy=False), 0
+        while len(rest):
+            if level == len(self.chunks):
+                self._level()
+            self.chunks[level] += (rest & 0xFF).astype(np.uint8).tobytes()
+            rest = rest >> np.uint32(8)
+            more = rest > 0
+            bits = np.concatenate((self.tails[level], more))
+            whole = len(bits) // 8 * 8
+            self.bitmaps[level] += np.packbits(bits[:whole], bitorder="little").tobytes()
+            self.tails[level] = bits[whole:]
+            rest, level = rest[more], level + 1
+
+    def write(self, out) -> int:
+        """Write the file, level by level; its bytes."""
+        n = 0
+
+        def put(data) -> None:
+            nonlocal n
+            out.write(data)
+            n += len(data)
+
+        def joined(parts: list[np.ndarray], kind: str) -> np.ndarray:
+            return np.concatenate([*parts, np.empty(0, kind)]).astype(kind, copy=False)
+
+        put(MAGIC + struct.pack("<HHQQ", VERSION, len(self.chunks), self.docs, self.n_ids))
+        put(joined(self.doc_ids, "<i8").tobytes())
+        put(joined(self.nulls, "u1").tobytes())
+        put(np.concatenate(([0], np.cumsum(joined(self.sizes, "<i8")))).astype("<u8").tobytes())
+        for level, chunks in enumerate(self.chunks):
+            put(struct.pack("<Q", len(chunks)))
+            put(bytes(chunks))
+            if level == len(self.chunks) - 1:
+                break
+            bitmap = np.frombuffer(bytes(self.bitmaps[level]) + np.packbits(self.tails[level], bitorder="little").tobytes(), np.uint8)
+            blocks = -(-len(chunks) // BLOCK)
+            ones = np.zeros(blocks * (BLOCK // 8), np.uint8)
+            ones[: len(bitmap)] = _POPCOUNT[bitmap]
+            ones = ones.reshape(blocks, BLOCK // 8).sum(axis=1, dtype=np.uint64)
+            put(bitmap.tobytes())
+            put((np.cumsum(ones) - ones).astype("<u8").tobytes())
+        return n
 
 
 def encode(ids: np.ndarray, doc_ids: list[int | None], sizes: np.ndarray) -> bytes:
-    """The file for the given documents; ``sizes`` has the number of ids of each."""
-    ids = ids.astype(np.uint32, copy=False)
-    levels = max(1, (int(ids.max(initial=0)).bit_length() + 7) // 8)
-    out = [MAGIC, struct.pack("<HHQQ", VERSION, levels, len(doc_ids), len(ids))]
-    out.append(np.array([d or 0 for d in doc_ids], "<i8").tobytes())
-    out.append(np.array([d is None for d in doc_ids], np.uint8).tobytes())
-    out.append(np.concatenate(([0], np.cumsum(sizes))).astype("<u8").tobytes())
-    rest = ids
-    for level in range(levels):
-        out += [struct.pack("<Q", len(rest)), (rest & 0xFF).astype(np.uint8).tobytes()]
-        if level == levels - 1:
-            break
-        rest = rest >> np.uint32(8)
-        more = rest > 0
-        bitmap = np.packbits(more, bitorder="little")
-        blocks = -(-len(more) // BLOCK)
-        ones = np.add.reduceat(_POPCOUNT[bitmap], np.arange(blocks) * (BLOCK // 8)) if blocks else np.empty(0, np.uint64)
-        out += [bitmap.tobytes(), (np.cumsum(ones) - ones).astype("<u8").tobytes()]
-        rest = rest[more]
-    return b"".join(out)
+    """The file for the given documents, as bytes."""
+    held, out = Encoder(), io.BytesIO()
+    held.add(ids, doc_ids, sizes)
+    held.write(out)
+    return out.getvalue()
 
 
 class Reader:
@@ -116,7 +172,7 @@ class Reader:
                 return 0
             block -= 1
         first, whole = block * (BLOCK // 8), i // 8
-        n = int(rank[block]) + int(_POPCOUNT[bitmap[first:whole]].sum())
+        n = int(rank[block]) + int(_POPCOUNT[bitmap[first:whole]].sum(dtype=np.int64))
         if i % 8:
             n += bin(int(bitmap[whole]) & ((1 << (i % 8)) - 1)).count("1")
         return n
@@ -162,33 +218,30 @@ def write(docs: DataFrame, tokenizer: str, folder: str, end: int = END_ID, key:
         tok, part = wordtok.for_path(tokenizer), TaskContext.get().partitionId()
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        held: list[tuple[list, np.ndarray, np.ndarray]] = []
-        at = n = 0
+        held, at = Encoder(), 0
 
         def close() -> pa.RecordBatch:
-            nonlocal at, n
-            names = [d for k, _, _ in held for d in k]
-            data = encode(np.concatenate([i for _, i, _ in held]), names, np.concatenate([s for _, _, s in held]))
+            nonlocal held, at
             path = f"{root}/{part:06d}-{at:012d}-{uuid.uuid4().hex}.dact"
             with store.open_output_stream(path) as f:
-                f.write(data)
-            row = [[part], [at], [n], [len(names)], [len(data)], [path]]
-            held.clear()
-            at, n = at + n, 0
+                size = held.write(f)
+            row = [[part], [at], [held.n_ids], [held.docs], [size], [path]]
+            held, at = Encoder(), at + held.n_ids
             return pa.RecordBatch.from_arrays([pa.array(v, pa.string() if isinstance(v[0], str) else pa.int64()) for v in row], MANIFEST.names)
 
-        for batch in common.slices(batches, "text"):
+        for batch in common.slices(batches, "text", wordtok.TEXT_BYTES):
             ids, sizes = tok.encode(common.as_bytes(batch.column("text")), end)
-            held.append((batch.column("doc_id").to_pylist(), ids, sizes))
-            n += len(ids)
-            if n >= file_ids:
+            held.add(ids, batch.column("doc_id").to_pylist(), sizes)
+            if held.n_ids >= file_ids:
                 yield close()
-        if held:
+        if held.docs:
             yield close()
 
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     tie = F.xxhash64("text")
-    ordered = rows.repartitionByRange("doc_id", tie).sortWithinPartitions("doc_id", tie, "text")
+    # rows alike in key and text may go to several ranges: which of them comes first shows nowhere
+    spread = rows.withColumn("_spread", F.monotonically_increasing_id() % 8191)
+    ordered = spread.repartitionByRange("doc_id", tie, "_spread").sortWithinPartitions("doc_id", tie, "_spread", "text")
     return common.materialize(ordered.mapInArrow(run, MANIFEST), "dac-manifest")
 
 

@@ -37,6 +37,54 @@ def test_words_equal_whole_texts(texts):
     assert list(ids) == [i for w in want for i in w]
 
 
+def test_full_cache_keeps_what_came_back():
+    tok = wordtok.WordTokenizer(PATH, max_words=30)
+    words = [f"word{i}" for i in range(100)]
+    for i in range(100):
+        text = " ".join([words[i], words[3], words[i // 2], "çA", words[7]])
+        assert list(tok.encode([text.encode()])[0]) == brute([text], 0)[0][:-1]
+    assert len(tok.index) <= 40 and b"word3" in tok.index and tok.held == sum(map(len, tok.index))
+
+
+def test_caches_of_other_operators_are_emptied():
+    from siftline.llm import common, neardup
+
+    wordtok.for_path(PATH)
+    common.enter("neardup")
+    assert not wordtok._cached
+    neardup.shingles(b"a b c d e f")
+    assert neardup._words and wordtok.for_path(PATH) and not neardup._words
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.integers(0, 2**32 - 1) | st.integers(0, 300), max_size=700), min_size=1, max_size=5))
+def test_pieces_of_a_file_make_one_file(parts):
+    """Added in parts, a file is the same as at once."""
+    import io
+
+    sizes = [len(p) for p in parts]
+    whole = dac.encode(np.array(sum(parts, []), np.uint32), list(range(len(parts))), np.array(sizes))
+    held, out = dac.Encoder(), io.BytesIO()
+    for i, p in enumerate(parts):
+        held.add(np.array(p, np.uint32), [i], np.array([len(p)]))
+    assert held.write(out) == len(out.getvalue()) and out.getvalue() == whole
+    file = dac.Reader(whole)
+    assert [list(file.document(k)) for k in range(len(parts))] == parts
+    assert all(file[i] == v for i, v in list(enumerate(sum(parts, [])))[::97])
+
+
+def test_one_key_and_text_in_a_third_of_all_rows(spark):
+    rows = [(None, "the same text") for _ in range(40)] + [(i, f"text {i}") for i in range(80)] + [(500, " ".join(f"w{i}" for i in range(100_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(dac.round_trip(df, PATH).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 40 + [*range(80), 500]
+    at = 0
+    for r in got:
+        assert r.start == at
+        at += r.n_tokens
+    assert sum(r.length for r in packing.pieces(df, PATH).collect()) == at
+
+
 def test_full_cache_is_cleared():
     tok = wordtok.WordTokenizer(PATH, max_words=3)
     for t in ("one two three four five", "six one two", "two"):
