@@ -1,13 +1,14 @@
 """A quality classifier by co-training.
 
-Two views of a document: its text content (character classes, repetition, hashed words) and its
-page metadata (source, language, length and layout).  Each view has a logistic classifier.  In
-each round both are fitted to their labelled rows, and each hands its most confident predictions
-on unlabelled rows to the other as labels.  At the end each view is calibrated on labelled rows
-that neither has seen, a logistic model combines the calibrated views, and every document is
-scored.
-
-At most ``LABELLED`` labelled documents, chosen by hash, are gathered.  The unlabelled ones, all
+Two views of a document that share nothing: its text content (character classes, repetition,
+layout, hashed words) and its page metadata (the columns source, lang and n_chars).  Each view has a logistic classifier.  In
+each round both are fitted to their labelled rows and calibrated on labelled rows that neither
+has seen, and each hands its most confident predictions on unlabelled rows to the other as labels.
+Confidence is the calibrated probability, and a view that tells no more of those rows than their
+mean does hands over nothing, however sure its classifier is.  At the end a logistic model combines the calibrated views, and every
+document is scored.
+
+At most ``LABELLED`` labelled documents, chosen by hash, are gathered, one row for each key.  The unlabelled ones, all
 of them, stay distributed: both views of every row are written once, and each step of a fit and
 each choice of confident rows is a pass over them that sums in every task.  A task replays from the
 rounds' classifiers and cuts what a row was handed, so no state of rows is kept.  A cut is a bin
@@ -23,11 +24,13 @@ table stays empty; missing metadata columns count as null, other columns are car
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,35 +42,41 @@ LABELLED = 4000
 #: Share of the labelled sample kept for calibration, in tenths.
 CALIBRATION = 3
 ROUNDS, GROWTH = 5, 0.05
-#: A prediction at least this sure may be handed over.
-SURE = 0.9
+#: A prediction whose calibrated probability is at least this may be handed over.
+SURE = 0.95
+#: Likelihood ratio from which a view hands over anything: 1 in 100 for a view that tells nothing.
+TELLS = 6.63
 #: Bins of the logit from ``SURE`` up, by which the most confident rows are chosen.
 BINS, LEAST, MOST = 4096, float(np.log(SURE / (1 - SURE))), 30.0
 WORD_BINS, SOURCE_BINS, LANG_BINS = 64, 32, 8
 RIDGE = 1.0
 THRESHOLD = 0.5
-MAX_WORDS = 400_000
+#: Words that a worker keeps the bins of, and bytes of the longest of them.
+MAX_WORDS, WORD_BYTES = 100_000, 64
 
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 _DIGIT = bytes(range(48, 58))
 _SYMBOL = b"#*$%&|<>{}[]\\^~=_@+/"
 _STOP = b".!?,;:'\"()-"
-_N_TEXT = 11 + WORD_BINS
-_N_META = 5 + SOURCE_BINS + LANG_BINS
+_N_TEXT = 13 + WORD_BINS
+_N_META = 2 + SOURCE_BINS + LANG_BINS
 
 
 class _Bins(dict):
     def __missing__(self, word: bytes) -> int:
-        n = self[word] = xxhash.xxh32_intdigest(word) % WORD_BINS
+        n = xxhash.xxh32_intdigest(word) % WORD_BINS
+        if len(word) <= WORD_BYTES:
+            self[word] = n
         return n
 
 
 _bins = _Bins()
+common.cached("quality", _bins.clear)
 
 
 def text_view(text: bytes | None) -> np.ndarray:
-    """Character classes, repetition and hashed words of the content."""
+    """Character classes, repetition, layout and hashed words of the content."""
     text = text or b""
     n = max(1, len(text))
     out = np.zeros(_N_TEXT, np.float32)
@@ -75,6 +84,8 @@ def text_view(text: bytes | None) -> np.ndarray:
     share = lambda kind: (len(text) - len(text.translate(None, kind))) / n
     out[0], out[1], out[2], out[3], out[4] = share(_UPPER), share(_LOWER), share(_DIGIT), share(_SYMBOL), share(_STOP)
     out[5] = text.count(b"!") / n
+    lines = text.count(b"\n") + 1
+    out[11], out[12] = np.log1p(lines), text.count(b"\n\n") / lines
     if words:
         m = len(words)
         out[6] = np.log1p(m)
@@ -83,22 +94,17 @@ def text_view(text: bytes | None) -> np.ndarray:
         out[8] = len(set(words)) / m
         out[9] = sum(map(bytes.__eq__, words, words[1:])) / m
         out[10] = words.count(b"|") / m
-        out[11:] = np.sqrt(np.bincount(np.fromiter(map(_bins.__getitem__, words), np.int64, m), minlength=WORD_BINS) / m)
+        out[13:] = np.sqrt(np.bincount(np.fromiter(map(_bins.__getitem__, words), np.int64, m), minlength=WORD_BINS) / m)
     return out
 
 
-def meta_view(source: str | None, lang: str | None, n_chars: int | None, text: bytes | None) -> np.ndarray:
-    """Where the page is from, its stated language and length, and its layout."""
+def meta_view(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
+    """Where the page is from, its stated language and its stated length."""
     out = np.zeros(_N_META, np.float32)
-    lines = (text or b"").count(b"\n") + 1
-    size = max(0, n_chars or 0)
-    out[0] = np.log1p(size)
-    out[1] = np.log1p(lines)
-    out[2] = np.log1p(size / lines)
-    out[3] = n_chars is None
-    out[4] = (text or b"").count(b"\n\n") / lines
-    out[5 + xxhash.xxh32_intdigest(repr(source).encode()) % SOURCE_BINS] = 1
-    out[5 + SOURCE_BINS + xxhash.xxh32_intdigest(repr(lang).encode()) % LANG_BINS] = 1
+    out[0] = np.log1p(max(0, n_chars or 0))
+    out[1] = n_chars is None
+    out[2 + xxhash.xxh32_intdigest(repr(source).encode()) % SOURCE_BINS] = 1
+    out[2 + SOURCE_BINS + xxhash.xxh32_intdigest(repr(lang).encode()) % LANG_BINS] = 1
     return out
 
 
@@ -138,14 +144,32 @@ class Logistic:
         return 1 / (1 + np.exp(-self.logit(x)))
 
 
+class Calibrated:
+    """A view's classifier, and what its logits are worth on rows that it has not seen."""
+
+    def __init__(self, view: Logistic, x: np.ndarray, y: np.ndarray):
+        self.view, self.calibration = view, Logistic().fit(view.logit(x)[:, None], y)
+        p, prior = np.clip(1 / (1 + np.exp(-self.logit(x))), 1e-12, 1 - 1e-12), np.clip(y.mean(), 1e-12, 1 - 1e-12)
+        told = np.log(np.where(y == 1, p, 1 - p)).sum() - np.log(np.where(y == 1, prior, 1 - prior)).sum()
+        #: whether it tells more of those rows than their mean does, by the likelihood ratio
+        self.tells = 2 * told >= TELLS
+
+    def logit(self, x: np.ndarray) -> np.ndarray:
+        return self.calibration.logit(self.view.logit(x)[:, None])
+
+
 class CoTrained:
-    """Both views' classifiers, their calibrations and the model that combines them."""
+    """Both calibrated views and the model that combines them."""
+
+    def __init__(self, views: list[Calibrated], combined: Logistic):
+        self.calibrated, self.combined = views, combined
 
-    def __init__(self, views: list[Logistic], calibrations: list[Logistic], combined: Logistic):
-        self.views, self.calibrations, self.combined = views, calibrations, combined
+    @property
+    def views(self) -> list[Logistic]:
+        return [v.view for v in self.calibrated]
 
     def _calibrated(self, xs: list[np.ndarray]) -> np.ndarray:
-        return np.stack([c.logit(v.logit(x)[:, None]) for v, c, x in zip(self.views, self.calibrations, xs, strict=True)], axis=1)
+        return np.stack([v.logit(x) for v, x in zip(self.calibrated, xs, strict=True)], axis=1)
 
     def __call__(self, xs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         z = self._calibrated(xs)
@@ -154,10 +178,10 @@ class CoTrained:
 
 
 class Round:
-    """What one round hands over: its classifiers, and for each giver and kind a cut, (bin, share of
-    that bin's rows)."""
+    """What one round hands over: its calibrated views, and for each giver and kind a cut, (bin, share
+    of that bin's rows)."""
 
-    def __init__(self, views: list[Logistic]):
+    def __init__(self, views: list[Calibrated]):
         self.views = views
         self.cuts: list[list[tuple[int, float]]] = [[(BINS, 0.0)] * 2 for _ in views]
 
@@ -180,7 +204,7 @@ def _handed(xs: list[np.ndarray], u: np.ndarray, rounds: list[Round]) -> list[np
     return out
 
 
-def confident(xs: list[np.ndarray], u: np.ndarray, rounds: list[Round], views: list[Logistic]) -> np.ndarray:
+def confident(xs: list[np.ndarray], u: np.ndarray, rounds: list[Round], views: list[Calibrated]) -> np.ndarray:
     """Rows, then rows in each bin that are free for the taker, by giver and kind."""
     got = _handed(xs, u, rounds)
     out = [np.array([len(u)], np.float64)]
@@ -218,7 +242,7 @@ def _fit_views(own: list[np.ndarray], y: np.ndarray, total, rounds: list[Round],
     """Both views fitted to their labelled rows and to what the rounds handed them."""
     if not rounds:
         return [Logistic().fit(x, y) for x in own]
-    sums = _split(total(moments, rounds, rounds[-1].views), [k for x in own for k in (1, x.shape[1], x.shape[1])])
+    sums = _split(total(moments, rounds, []), [k for x in own for k in (1, x.shape[1], x.shape[1])])
     views = []
     for i, x in enumerate(own):
         view, x = Logistic(), x.astype(np.float64)
@@ -263,28 +287,31 @@ def cotrain(labelled: list[np.ndarray], y: np.ndarray, calibrating: np.ndarray,
     fit = ~calibrating
     own = [x[fit] for x in labelled]
     good = float(y[fit].mean())
+    held = calibrating if calibrating.any() and len(set(y[calibrating])) == 2 else fit
+
+    def calibrated(views: list[Logistic]) -> list[Calibrated]:
+        return [Calibrated(v, x[held], y[held]) for v, x in zip(views, labelled, strict=True)]
+
     done: list[Round] = []
     for _ in range(rounds):
-        now = Round(_fit_views(own, y[fit], total, done))
+        now = Round(calibrated(_fit_views(own, y[fit], total, done)))
         count, *found = _split(total(confident, done, now.views), [1, *[BINS] * 4])
         n = int(GROWTH * count[0])
-        for giver in (0, 1):
+        for giver in (k for k in (0, 1) if now.views[k].tells):
             # the most confident of either kind, in the labelled rows' proportion
             now.cuts[giver] = [_cut(found[2 * giver + kind], max(1, round(n * share))) for kind, share in ((0, 1 - good), (1, good))]
         done.append(now)
-    views = _fit_views(own, y[fit], total, done)
-    held = calibrating if calibrating.any() and len(set(y[calibrating])) == 2 else fit
-    calibrations = [Logistic().fit(v.logit(x[held])[:, None], y[held]) for v, x in zip(views, labelled, strict=True)]
-    out = CoTrained(views, calibrations, Logistic())
+    out = CoTrained(calibrated(_fit_views(own, y[fit], total, done)), Logistic())
     out.combined.fit(out._calibrated([x[held] for x in labelled]), y[held])
     return out
 
 
 def _views(batch: pa.RecordBatch) -> list[np.ndarray]:
+    common.enter("quality")
     if len(_bins) > MAX_WORDS:
         _bins.clear()
     texts = common.as_bytes(batch.column("text"))
-    meta = zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")), texts, strict=True)
+    meta = zip(*(batch.column(c).to_pylist() for c in ("source", "lang", "n_chars")), strict=True)
     return [np.stack([text_view(t) for t in texts]), np.stack([meta_view(*m) for m in meta])]
 
 
@@ -318,7 +345,9 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     marked = rows.join(F.broadcast(picked), "doc_id", "left").withColumn("calibrating", _hash(F.col("doc_id"), "fold") % 10 < CALIBRATION).withColumn("u", _hash(F.col("doc_id"), "pool") / float(1 << 30))
     views = common.materialize(marked.select(*rows.columns, "good", "calibrating", "u").mapInArrow(run, schema), "quality-views")
-    sure = sorted(views.filter("good IS NOT NULL").collect(), key=lambda r: (r.doc_id, bytes(r.a), bytes(r.b)))
+    # a key may have any number of rows: one of them stands for it
+    labelled = views.filter("good IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("a", "b", "good", "calibrating")).alias("r"))
+    sure = [x.r for x in labelled.orderBy("doc_id").collect()]
     model = None
     if len({r.good for r in sure if not r.calibrating}) == 2:
         known = [_stacked([getattr(r, c) for r in sure], n) for c, n in (("a", _N_TEXT), ("b", _N_META))]
@@ -332,21 +361,34 @@ def _stacked(rows: list[bytes], width: int) -> np.ndarray:
 
 
 def _total(pool: DataFrame):
-    """Sums over all rows of ``pool`` (u, a, b), in every task first; the driver gets one number for
-    each bin or entry of a Hessian."""
+    """Sums over all rows of ``pool`` (u, a, b): one row of sums for each task, added up in as many
+    tasks as the root of the cores, and the rest on the driver."""
+    few = math.isqrt(pool.sparkSession.sparkContext.defaultParallelism) + 1
 
-    def total(what, done: list[Round], views: list[Logistic]) -> np.ndarray:
+    def total(what, done: list[Round], views: list) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            out = 0.0
+            common.enter("quality")
+            out = None
             for batch in batches:
                 xs = [_stacked(common.as_bytes(batch.column(c)), n) for c, n in (("a", _N_TEXT), ("b", _N_META))]
-                out = out + what(xs, batch.column("u").to_numpy(), done, views)
-            at = np.nonzero(np.atleast_1d(out))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(np.atleast_1d(out)[at], pa.float64())], ["at", "v"])
+                now = what(xs, batch.column("u").to_numpy(), done, views)
+                out = now if out is None else out + now
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["part", "sums"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            parts, out = [], None
+            for batch in batches:
+                parts += batch.column("part").to_pylist()
+                for raw in common.as_bytes(batch.column("sums")):
+                    out = np.frombuffer(raw) if out is None else out + np.frombuffer(raw)
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([min(parts)], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["part", "sums"])
 
+        schema = "part long, sums binary"
         sums = what([np.empty((0, _N_TEXT), np.float32), np.empty((0, _N_META), np.float32)], np.empty(0), done, views)
-        for at, v in pool.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v")).collect():
-            sums[at] = v
+        for r in pool.mapInArrow(run, schema).repartition(few, "part").mapInArrow(add, schema).orderBy("part").collect():
+            sums = sums + np.frombuffer(bytes(r.sums))
         return sums
 
     return total

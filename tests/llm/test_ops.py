@@ -113,6 +113,16 @@ def test_components_of_texts_within_others(spark):
     check_components(spark, docs)
 
 
+def test_components_of_very_long_texts(spark):
+    words = [f"w{i}" for i in range(120_000)]
+    longer, other = words + ["end"], words[:90_000]
+    far = words[:89_990]
+    docs = [(1, " ".join(words)), (2, " ".join(longer)), (3, " ".join(other)), (4, " ".join(far)), (5, "x" * 1_000_000), (6, "x" * 1_000_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in neardup.classify(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    sets = [n - 4 for n in (120_000, 120_001, 90_000, 89_990)]
+    assert got == {1: (sets[0], 1), 2: (sets[1], 1), 3: (sets[2], 3), 4: (sets[3], 3), 5: (1, 5), 6: (1, 5)}
+
+
 def test_components_of_odd_rows(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.classify(odd(spark)).collect()), key=str)
     assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (None, 0, None, True), (4, 1, 4, True), (5, 0, 5, True)], key=str)
@@ -135,7 +145,7 @@ def test_poisson_counts_follow_the_weights(spark):
 
 def test_poisson_inverts_the_distribution(spark):
     docs = spark.range(300).selectExpr("id AS doc_id", "'t' AS text", "'s' AS source")
-    for rate in (0.3, 7.0, 900.0):
+    for rate in (0.3, 7.0, 900.0, 2500.0):
         got = {r.doc_id: r.n_copies for r in mixing.mix(docs, total=300 * rate).select("doc_id", "n_copies").distinct().collect()}
         for d in range(300):
             u = int(hashlib.md5(f"mix-1:{d}".encode()).hexdigest()[:13], 16) / 2**52
@@ -147,6 +157,17 @@ def test_poisson_inverts_the_distribution(spark):
             assert got.get(d, 0) == k
 
 
+def test_table_of_a_very_high_rate(spark):
+    rated = spark.createDataFrame([("a", 1e6), ("b", 999.0), ("c", 1e-9)], "_mix_source string, _mix_rate double")
+    got = {r._mix_source: r for r in mixing.poisson_tables(rated).collect()}
+    low, cdf = got["a"]._mix_low, got["a"]._mix_cdf
+    assert 900_000 < low < 10**6 and len(cdf) < 26_000 and cdf[-1] == pytest.approx(1, abs=1e-8)
+    # the mean of the distribution, and its middle
+    steps = np.diff(np.array([0.0, *cdf]))
+    assert ((low + np.arange(len(cdf))) * steps).sum() == pytest.approx(1e6, rel=1e-7)
+    assert got["b"]._mix_low == 0 == got["c"]._mix_low and got["c"]._mix_cdf[0] == pytest.approx(1)
+
+
 def test_mix_of_odd_rows(spark):
     got = mixing.mix(odd(spark), {"a": 1.0, "b": 1.0, None: 1.0}, total=60).collect()
     assert {r.source for r in got} <= {"a", "b", None} and len(got) > 20
@@ -171,28 +192,58 @@ def brute_word(word, pieces, logp):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.text(st.characters(exclude_categories=("Cs", "Z", "Cc")), min_size=1, max_size=9))
-def test_forward_sums_all_segmentations(word):
+@given(st.lists(st.text(st.characters(exclude_categories=("Cs", "Z", "Cc")), min_size=1, max_size=9), min_size=1, max_size=5))
+def test_forward_sums_all_segmentations(words):
     pieces = lattice.pieces_at(PIECES)
     logp = lattice.normal(np.arange(pieces.size) % 97)
-    assert lattice.word_score(word, pieces, logp) == pytest.approx(brute_word(word, pieces, logp), rel=1e-9)
-    uses = [0.0] * pieces.size
-    lattice.expect(word, 2.0, pieces, np.exp(logp).tolist(), uses)
-    # expected uses are the derivative of the weighted log probability
+    want = [brute_word(w, pieces, logp) for w in words]
+    assert lattice.word_scores(words, pieces, logp) == pytest.approx(want, rel=1e-9)
+    assert [lattice.word_score(w, pieces, logp) for w in words] == pytest.approx(want, rel=1e-9)
+    uses, alone = np.zeros(pieces.size), np.zeros(pieces.size)
+    lattice.expect(words, pieces, logp, uses)
+    for w in words:
+        lattice._expect_long(w, pieces, logp, alone)
+    assert uses == pytest.approx(alone, rel=1e-9, abs=1e-12)
+    # expected uses are the derivative of the summed log probabilities
     top = int(np.argmax(uses))
-    moved = list(logp)
+    moved = np.array(logp)
     moved[top] += 1e-6
-    assert uses[top] == pytest.approx(2 * (lattice.word_score(word, pieces, moved) - lattice.word_score(word, pieces, logp)) / 1e-6, rel=1e-3)
+    assert uses[top] == pytest.approx((lattice.word_scores(words, pieces, moved) - lattice.word_scores(words, pieces, logp)).sum() / 1e-6, rel=1e-3)
 
 
-def test_expected_uses_of_a_very_long_word():
+def test_expected_uses_of_very_long_words():
     pieces = lattice.pieces_at(PIECES)
-    p = np.exp(lattice.normal(np.zeros(pieces.size))).tolist()
-    uses = [0.0] * pieces.size
-    lattice.expect("xyz" * 400, 1.0, pieces, p, uses)
-    # every path spells the whole word
+    logp = lattice.normal(np.zeros(pieces.size))
     size = {k: len(t) for t, k in pieces.arcs.items() if k >= 0}
-    assert sum(u * size[k] for k, u in enumerate(uses) if u) == pytest.approx(1201, rel=1e-6)
+    for word in ("xyz" * 400, "ab" * 15, "x"):
+        uses = np.zeros(pieces.size)
+        lattice.expect([word], pieces, logp, uses)
+        # every path spells the whole word
+        assert sum(u * size[k] for k, u in enumerate(uses) if u) == pytest.approx(len(word) + 1, rel=1e-6)
+
+
+TOY = lattice.Pieces({"▁": 0, "▁a": 1, "a": 2, "b": 3, "ab": 4, "▁ab": 5, "ba": 6}, [7] * 256, np.arange(8.0))
+
+
+def test_words_of_a_toy_vocabulary_sum_to_one():
+    uses = np.array([3.0, 2, 1, 1, 2, 1, 1, 0])
+    logp = lattice.normal(uses, 0.0 + 1e-12)
+    words = [""] + [w for n in range(1, 15) for w in map("".join, __import__("itertools").product("ab", repeat=n))]
+    begin, onward = uses[[0, 1, 5]].sum() / uses.sum(), uses[[2, 3, 4, 6]].sum() / uses.sum()
+    total = np.exp(lattice.word_scores(words, TOY, logp)).sum()
+    # longer words hold what is missing
+    assert total <= begin / (1 - onward) + 1e-9 and total == pytest.approx(1, abs=0.01)
+
+
+def test_a_step_sums_to_one():
+    counts = Counter({"a": 5, "ab": 1, "bb": 2, "abba": 1})
+    ends, n = 3, sum(counts.values())
+    steps = lattice.Steps(n + ends, ends, len(counts), 2, 1)
+    arcs = sum(map(steps.arc, counts.values()))
+    assert steps.discount == 0.5 and arcs + steps.spelling + steps.end == pytest.approx(1)
+    # spelling is spread over words that sum to one, see above; nothing known: half and half
+    nothing = lattice.Steps(0, 0, 0, 0, 0)
+    assert (nothing.spelling, nothing.end, nothing.arc(0)) == (0.5, 0.5, 0)
 
 
 def test_scores_of_the_documents(spark):
@@ -202,49 +253,36 @@ def test_scores_of_the_documents(spark):
     train = Counter(w for d, ws in words.items() if not held[d] for w in ws)
     ends = sum(not h for h in held.values())
     n, v = sum(train.values()) + ends, len(train) + 1
-    got = lattice.score(spark.read.parquet(f"{SF}/documents.parquet"), PIECES, head=50).collect()
+    got = lattice.score(spark.read.parquet(f"{SF}/documents.parquet"), PIECES, lookup=50).collect()
     assert len(got) == len(docs)
+    # weights fitted to counts made here, one word at a time
+    pieces = lattice.pieces_at(PIECES)
+    logp = pieces.seed
+    for _ in range(lattice.ROUNDS):
+        uses = np.zeros(pieces.size)
+        for w in train:
+            lattice._expect_long(w.decode(), pieces, logp, uses)
+        logp = lattice.normal(uses)
+    once, twice = (sum(c == k for c in train.values()) for k in (1, 2))
+    discount = once / (once + 2 * twice)
     for r in got:
         ws = words[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(ws) + 1, sum(w in train for w in ws) + 1, n)
         assert r.base_score == pytest.approx(sum(math.log10((train[w] + 1) / (n + v + 1)) for w in ws) + math.log10((ends + 1) / (n + v + 1)), rel=1e-9)
-    # the score again, token by token, from weights fitted to counts made here
-    pieces = lattice.pieces_at(PIECES)
-    logp = lattice.normal(np.zeros(pieces.size))
-    for _ in range(lattice.ROUNDS):
-        uses = [0.0] * pieces.size
-        for w, c in train.items():
-            lattice.expect(w.decode(), c, pieces, np.exp(logp).tolist(), uses)
-        uses[pieces.end] = ends
-        logp = lattice.normal(np.array(uses))
-    head = set(sorted(train, key=lambda w: (-train[w], w))[:50])
     for r in got[:60]:
-        want, before = 0.0, []
-        for w in words[r.doc_id]:
-            recall = lattice.RECALL * len(before) / (len(before) + lattice.HALF)
-            p = (1 - lattice.WHOLE) * math.exp(lattice.word_score(w.decode(), pieces, logp)) + lattice.WHOLE * train[w] / n
-            p = (1 - recall) * p + (recall * before.count(w) / len(before) if before else 0)
-            before += [w] if w in head else []
-            want += math.log10(p)
-        assert r.score == pytest.approx(want + math.log10((1 - lattice.WHOLE) * math.exp(logp[pieces.end]) + lattice.WHOLE * ends / n), rel=1e-7)
-
-
-def test_history_of_words_that_are_looked_up_elsewhere(spark):
-    texts = ["common common rare zebra rare common zebra rare"] * 3 + ["new common new quux new rare quux " * 5, "word " * 40, ""]
-    docs = frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts * 8)])
-    ask = lambda n: sorted((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lattice.score(docs, PIECES, lookup=n).collect())
-    # where a word is looked up does not change what it weighs
-    assert ask(1) == ask(0) == ask(1000)
-    # a word that no training text has is remembered too
-    rows = [(i, f"alpha beta {i}", None, None, None) for i in range(40)]
-    odd_one = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 == 2)
-    once, often = (lattice.score(frame(spark, [*rows, (odd_one, t, None, None, None)]), PIECES).filter(f"doc_id = {odd_one}").first().score for t in ("qqzzy", "qqzzy " * 300))
-    assert often > 300 * once * 0.7
+        spelled = {w: lattice.word_score(w.decode(), pieces, logp) for w in words[r.doc_id]}
+        end = (ends + 1) / (n + 2)
+        arc = {w: max(0, train[w] - discount) / (n + 2) for w in spelled}
+        want = sum(math.log10(arc[w] + (discount * len(train) + 1) / (n + 2) * math.exp(spelled[w])) for w in words[r.doc_id]) + math.log10(end)
+        assert r.score == pytest.approx(want, rel=1e-7)
+        assert r.pieces_score == pytest.approx(sum(spelled[w] / math.log(10) + math.log10(1 - end) for w in words[r.doc_id]) + math.log10(end), rel=1e-7)
 
 
-def test_pieces_and_end_sum_to_one():
-    logp = lattice.normal(np.random.default_rng(1).random(lattice.pieces_at(PIECES).size))
-    assert math.fsum(map(math.exp, logp)) == pytest.approx(1)
+def test_where_words_are_looked_up(spark):
+    texts = ["common common rare zebra rare common zebra rare"] * 3 + ["new common new quux new rare quux " * 5, "word " * 40, "", "y" * 3000 + " common"]
+    docs = frame(spark, [(i, t, None, None, None) for i, t in enumerate(texts * 8)])
+    ask = lambda n: sorted((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6), round(r.pieces_score, 6)) for r in lattice.score(docs, PIECES, lookup=n).collect())
+    assert ask(1) == ask(0) == ask(1000)
 
 
 def test_scores_of_odd_rows(spark):
@@ -252,6 +290,10 @@ def test_scores_of_odd_rows(spark):
     assert len(got) == 6 and all(r.score <= 0 and r.n_tokens >= 1 for r in got)
     assert len({(r.score, r.base_score) for r in got if r.n_tokens == 1}) == 1
     assert lattice.score(frame(spark, []), PIECES, rounds=1).count() == 0
+    # no training document at all
+    alone = next(i for i in range(100, 200) if zlib.crc32(str(i).encode()) % 7 == 2)
+    row = lattice.score(frame(spark, [(alone, "any words", None, None, None)]), PIECES).first()
+    assert row.held_out and row.n_known == 0 and math.isfinite(row.score)
 
 
 # -- language -----------------------------------------------------------------------------
@@ -273,6 +315,40 @@ def test_network_gradients():
         assert g[name][at] == pytest.approx((ends[0] - ends[1]) / 2e-2, rel=0.03, abs=2e-5)
 
 
+def test_forward_pass_by_scalar_loops():
+    net = langid.Network(["a", "b", "c"], units=4, seed=3)
+    data = "hé, wo".encode()
+    sig = lambda v: 1 / (1 + math.exp(-v))
+
+    def states(d, order):
+        h, out = [0.0] * 4, {}
+        e, u = net.p[f"e{d}"].astype(float), net.p[f"u{d}"].astype(float)
+        for t in order:
+            a, new = e[data[t]], []
+            for i in range(4):
+                back = [sum(h[k] * u[k, g * 4 + i] for k in range(4)) for g in range(3)]
+                z, r = sig(a[i] + back[0]), sig(a[4 + i] + back[1])
+                c = math.tanh(a[8 + i] + r * back[2])
+                new.append((1 - z) * c + z * h[i])
+            h = out[t] = new
+        return out
+
+    ahead, behind = states("f", range(len(data))), states("b", reversed(range(len(data))))
+    got = net.probabilities(np.frombuffer(data, np.uint8).reshape(1, -1))[0]
+    for t in range(len(data)):
+        logits = [sum(x * net.p["w"][k, c] for k, x in enumerate(ahead[t] + behind[t])) + net.p["b"][c] for c in range(3)]
+        whole = sum(map(math.exp, logits))
+        assert got[t] == pytest.approx([math.exp(x) / whole for x in logits], rel=1e-4)
+
+
+def test_training_sample_is_bounded(spark):
+    rows = [(i, "ab " * 20, f"l{i % 3}") for i in range(30)] + [(99, "x" * (langid.SAMPLE_BYTES + 1), "l0"), (7, "ab " * 20, "l1")]
+    got = langid.sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert len(got) == 31 and max(len(t) for t, _ in got) == 60
+    tied = langid.identify(frame(spark, [(i, "same text", ["en", "fr"][i % 2], None, None) for i in range(12)])).collect()
+    assert len({(r.lang_pred, r.score) for r in tied}) == 1
+
+
 def test_network_has_the_units_that_its_accuracy_is_stated_for():
     assert langid.Network(["a", "b"]).units == 16
 
@@ -330,8 +406,61 @@ def test_main_text_of_odd_pages(page, text):
     assert linedist.main_text(page) == text
 
 
+LONG = "A sentence that goes on for a good while, as the sentences of articles mostly do, and then ends."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="with-sidebar"><p>{t}</p><div class="sidebar"><p>Other things</p></div></div>',
+        '<form id="aspnetForm" action="/"><p>{t}</p><div class="footer">Foot</div></form>',
+        '<section class="ad-free"><p>{t}</p></section><div class="ad">Buy</div>',
+        '<div class="entry-header"><p>{t}</p></div><ul><li><a href="/">Home</a></li></ul>',
+        '<div class="left menu"><p>{t}</p></div>',
+        '<nav><p>Menu</p></nav><header><article><p>{t}</p></article></header><footer>Foot</footer>',
+        '<div><div><a href="/">Home</a></div></div><div><div>Short advert</div></div><div><div><p>{t}</p></div></div><div><div>A foot</div></div>',
+        '<body><div class="content"><p>{t}</p></div><div class="reader-comments"><p>{t} no</p></div>',
+    ],
+)
+def test_main_text_whatever_its_parts_are_called(page):
+    assert linedist.main_text(page.format(t=LONG)) == LONG
+
+
+def test_heading_of_an_article_and_links_between_paragraphs():
+    page = f'<article><div class="entry-header"><h1>Head</h1></div><p>{LONG}</p></article>'
+    assert linedist.main_text(page) == f"Head\n{LONG}"
+    page = f"<div><p>{LONG}</p><p><a href=x>A link alone</a></p><ul><li>one</li><li>two</li></ul><p>{LONG}</p><p>End.</p></div>"
+    assert linedist.main_text(page) == f"{LONG}\nA link alone\none\ntwo\n{LONG}\nEnd."
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.data())
+def test_pages_without_marks(data):
+    """Containers without a name: the one with long blocks is the text, short ones are not."""
+    short = st.lists(st.sampled_from(["Home", "About us", "Buy now", "All rights"]), min_size=1, max_size=3)
+    before, after = data.draw(st.lists(short, max_size=3)), data.draw(st.lists(short, max_size=3))
+    body = [LONG[: data.draw(st.integers(82, len(LONG)))].strip() + "." for _ in range(data.draw(st.integers(1, 4)))]
+    tail = data.draw(st.sampled_from([[], ["End."]]))
+    box = lambda blocks: "<div><div>" + "".join(f"<p>{b}</p>" for b in blocks) + "</div></div>"
+    links = "<div><ul>" + "".join(f"<li><a href=#>{x}</a></li>" for x in ("One", "Two", "Three")) + "</ul></div>"
+    page = "<body>" + links + "".join(box(b) for b in before if sum(map(len, b)) < 60) + box(body + tail) + "".join(box(b) for b in after if sum(map(len, b)) < 60) + "</body>"
+    assert linedist.main_text(page) == "\n".join(body + tail)
+
+
+def test_long_and_hostile_pages_take_time_in_proportion():
+    import time
+
+    def took(page):
+        began = time.process_time()
+        linedist.main_text(page)
+        return time.process_time() - began
+
+    for page in ("<b>" * 30_000 + "</i>" * 30_000, "<b>" * 10_000 + "<p>x" * 20_000, "<div>" * 40_000 + "x", "<p class='ad'>x" * 30_000, "<a \"" * 30_000, "x" * 3_000_000):
+        assert took(page) < 4
+
+
 def test_runs():
-    assert linedist.runs([0, 0, 0, 0, 5, 0, 7, 0, 0, 0, 0, 2]) == [(2, 7, 12), (9, 12, 2)]
+    assert linedist.runs([0, 0, 0, 5, 0, 7, 0, 0, 0, 0, 2]) == [(2, 6, 7), (9, 11, 2)]
     assert linedist.runs([]) == []
 
 
@@ -467,7 +596,7 @@ def test_all_unlabelled_rows_are_in_the_pool(spark):
     got = cotrain.fit(docs, labels)
     # the same in memory, over every row
     hashed = {r.doc_id: (r.u, r.c) for r in docs.select("doc_id", (cotrain._hash(docs.doc_id, "pool") / float(1 << 30)).alias("u"), (cotrain._hash(docs.doc_id, "fold") % 10 < 3).alias("c")).collect()}
-    views = [np.stack([cotrain.text_view(r[1].encode()) for r in rows]), np.stack([cotrain.meta_view(r[3], r[2], r[4], r[1].encode()) for r in rows])]
+    views = [np.stack([cotrain.text_view(r[1].encode()) for r in rows]), np.stack([cotrain.meta_view(r[3], r[2], r[4]) for r in rows])]
     known = np.arange(6000) % 40 == 0
     cal, u = np.array([hashed[i][1] for i in range(6000)]), np.array([hashed[i][0] for i in range(6000)])
     want = cotrain.cotrain([x[known] for x in views], 1.0 - kinds[known], cal[known], [*(x[~known] for x in views), u[~known]])
@@ -481,4 +610,9 @@ def test_quality_of_odd_rows(spark):
     assert len(got) == 6 and {(r.score, r.kept) for r in got} == {(0.5, True)}
     labels = spark.createDataFrame([(1, 1), (4, 0), (4, 0), (4, 1), (None, 1), (2, None)], "doc_id long, quality int")
     assert cotrain.classify(odd(spark), labels).count() == 6
+    # any number of rows of a labelled key is one row to fit on; a very long text of distinct words
+    long = " ".join(f"w{i}" for i in range(150_000))
+    many = frame(spark, [(i % 4, f"text {i}", "en", "s", 6) for i in range(400)] + [(5, long, None, None, None)])
+    got = cotrain.classify(many, spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0), (5, 0)], "doc_id long, quality int"))
+    assert got.count() == 401
     assert cotrain.classify(frame(spark, []), labels).count() == 0
