@@ -4,10 +4,11 @@ The text's lower-cased UTF-8 bytes are cut into windows; the network runs over e
 in both directions and labels every byte; a document's probabilities are the mean over all its
 bytes.  Texts are read whole, however long, a bounded number of windows at a time.
 
-The network is trained here in numpy by back-propagation through time, on windows of at most
-``SAMPLE`` documents of each language (expected; chosen by hash), of which at most
-``SAMPLE_WINDOWS`` windows each.  Only text and the stated language of training documents are
-read; language, source and key are never inputs of a prediction.
+The network is trained here in numpy by back-propagation through time, on all bytes of ``SAMPLE``
+documents of each language (expected; chosen by hash, none above ``SAMPLE_BYTES``), and the
+``LANGUAGES`` most frequent languages are learned: these bound what the driver gathers.  Only text
+and the stated language of training documents are read; language, source and key are never inputs
+of a prediction.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; so is every
 text where no training document states a language; rows are predicted each by its own text, so
@@ -31,8 +32,8 @@ MODULUS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 #: Bytes of a window, units of each direction.
 STEPS, UNITS = 64, 16
-#: Bounds of the training sample: documents of a language, windows of a document.
-SAMPLE, SAMPLE_WINDOWS = 300, 8
+#: Bounds of the training sample: documents of a language, bytes of a document, languages.
+SAMPLE, SAMPLE_BYTES, LANGUAGES = 100, 1 << 18, 256
 EPOCHS, BATCH, RATE = 4, 128, 0.02
 #: Windows run at once when predicting.
 WINDOWS = 4096
@@ -171,7 +172,8 @@ class Network:
 
 def sample(rows: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]:
     """(text, language) of training documents, about ``per_language`` each, chosen by hash."""
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
+    rows = rows.filter(F.octet_length("text") <= SAMPLE_BYTES)
+    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not sizes:
         return []
     share = F.create_map(*(F.lit(v) for k, n in sorted(sizes.items()) for v in (k, min(1.0, per_language / n))))
@@ -186,12 +188,9 @@ def fit(rows: DataFrame, per_language: int = SAMPLE) -> Network | None:
     if not picked:
         return None
     languages = sorted({k for _, k in picked})
-    rng = np.random.default_rng(3)
     xs, ys = [], []
     for text, lang in picked:
         w = windows(text.lower().encode("utf-8", "replace"))
-        if len(w) > SAMPLE_WINDOWS:
-            w = w[np.sort(rng.choice(len(w), SAMPLE_WINDOWS, replace=False))]
         xs.append(w)
         ys += [languages.index(lang)] * len(w)
     x = np.concatenate(xs)
@@ -250,6 +249,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str
     schema = T.StructType([*(rows.schema[c] for c in kept), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("langid")
         for batch in common.slices(batches, text):
             found = predict(net, batch.column(text).to_pylist())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], schema.names)

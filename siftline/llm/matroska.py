@@ -336,6 +336,7 @@ def packet_table(df: DataFrame, key: str, media: str) -> DataFrame:
     """One row for each packet of each Matroska file in column ``media``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("media")
         for batch in common.slices(batches, "media"):
             rows: list[tuple] = []
             for k, data in zip(batch.column("key").to_pylist(), common.as_bytes(batch.column("media")), strict=True):
@@ -369,6 +370,7 @@ def store_texts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """(doc_id, n_bytes, media): each text as the samples of a Matroska file."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("media")
         for batch in common.slices(batches, "text"):
             texts = common.as_bytes(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(t or b"") for t in texts], pa.int64()), pa.array([mux(padded(t)) for t in texts], pa.binary())], STORED.names)
@@ -380,6 +382,7 @@ def describe(stored: DataFrame) -> DataFrame:
     """Digests and features of the files in ``stored``, from their parsed packets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.enter("media")
         for batch in common.slices(batches, "media"):
             rows = []
             for doc, n, data in zip(batch.column("doc_id").to_pylist(), batch.column("n_bytes").to_pylist(), common.as_bytes(batch.column("media")), strict=True):

@@ -18,7 +18,9 @@ table stays empty; other columns are carried through (``n_copies``, ``copy`` and
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.llm.common import materialize
@@ -26,6 +28,8 @@ from siftline.llm.common import materialize
 SEED = "mix-1"
 #: Target weights follow the size of the source to this power where none are given.
 EXPONENT = 0.5
+#: Rates from which a table leaves out what lies far below the mean.
+FROM_ZERO = 1000
 #: More sources than this are joined by shuffle.
 BROADCAST_SOURCES = 10_000
 
@@ -36,20 +40,26 @@ def uniform(seed: str, *parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
 
 
-def poisson_cdf(rate: Column) -> Column:
-    """Values of the distribution function at 0, 1, ... as far as a double can tell from 1.
+def poisson_tables(rated: DataFrame) -> DataFrame:
+    """``rated`` (_mix_source, _mix_rate) with ``_mix_low`` and ``_mix_cdf``: the distribution
+    function at ``_mix_low``, ``_mix_low`` + 1, ... as far as a double can tell from 1.
 
-    Summed from logarithms of the probabilities, so no rate underflows.
+    Below ``_mix_low``, some twelve deviations under the mean, lies nothing that 52 bits could
+    hit, so a table has about 24 square roots of the rate.  Sums of logarithms, so no rate
+    underflows.
     """
-    last = (rate + F.sqrt(rate) * 12 + 40).cast("int")
-    begin = F.struct((-rate).alias("lp"), F.exp(-rate).alias("at"), F.array(F.exp(-rate)).alias("all"))
-
-    def step(a: Column, k: Column) -> Column:
-        lp = a["lp"] + F.ln(rate) - F.ln(k.cast("double"))
-        at = a["at"] + F.exp(lp)
-        return F.struct(lp.alias("lp"), at.alias("at"), F.concat(a["all"], F.array(at)).alias("all"))
-
-    return F.aggregate(F.sequence(F.lit(1), last), begin, step, lambda a: a["all"])
+    rate = F.col("_mix_rate")
+    spread = F.sqrt(rate) * 12 + 40
+    low = F.when(rate < FROM_ZERO, 0).otherwise(F.floor(rate - spread)).cast("long")
+    bounds = rated.withColumn("_mix_low", low).withColumn("_k", F.explode(F.sequence(F.col("_mix_low"), (rate + spread).cast("long"))))
+    n, k = F.col("_mix_low").cast("double"), F.col("_k")
+    # log probability at the lower end: Stirling's series where that is not 0
+    begin = F.when(n == 0, -rate).otherwise((n - rate) + n * F.ln(rate / n) - F.ln(n * (2 * math.pi)) / 2 - 1 / (n * 12) + 1 / (n * n * n * 360))
+    upto = Window.partitionBy("_mix_source").orderBy("_k")
+    logs = bounds.withColumn("_lp", F.sum(F.when(k == F.col("_mix_low"), begin).otherwise(F.ln(rate) - F.ln(k.cast("double")))).over(upto))
+    at = logs.withColumn("_at", F.sum(F.exp("_lp")).over(upto))
+    table = at.groupBy("_mix_source", "_mix_rate", "_mix_low").agg(F.array_sort(F.collect_list(F.struct("_k", "_at"))).alias("_t"))
+    return table.select("_mix_source", "_mix_rate", "_mix_low", F.col("_t._at").alias("_mix_cdf"))
 
 
 def rates(docs: DataFrame, source: str = "source", weights: dict | None = None, total: float | None = None, exponent: float = EXPONENT) -> DataFrame:
@@ -66,7 +76,7 @@ def rates(docs: DataFrame, source: str = "source", weights: dict | None = None,
     wanted = F.col("all_size").cast("double") if total is None else F.lit(float(total))
     rate = F.col("weight") * wanted / (F.col("all_weight") * F.col("size"))
     out = weighted.filter(F.col("weight") > 0).join(F.broadcast(sums)).select("_mix_source", rate.alias("_mix_rate"))
-    return out.select("_mix_source", "_mix_rate", poisson_cdf(F.col("_mix_rate")).alias("_mix_cdf"))
+    return poisson_tables(out)
 
 
 def mix(
@@ -89,7 +99,8 @@ def mix(
         table = F.broadcast(table)
     u = uniform(seed, F.col(key))
     drawn = docs.select(*own).join(table, F.col(source).eqNullSafe(F.col("_mix_source"))).withColumn("_mix_u", u)
-    counted = drawn.withColumn("_mix_n", F.size(F.filter("_mix_cdf", lambda c: c <= F.col("_mix_u"))))
+    passed = F.aggregate("_mix_cdf", F.col("_mix_low").cast("int"), lambda n, c: n + F.when(c <= F.col("_mix_u"), 1).otherwise(0))
+    counted = drawn.withColumn("_mix_n", passed)
     copies = counted.filter("_mix_n > 0").select(*own, F.col("_mix_n").alias("n_copies"), F.explode(F.sequence(F.lit(1), F.col("_mix_n"))).alias("copy"))
     order = F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), F.coalesce(F.col(key).cast("string"), F.lit("null")), F.col("copy").cast("string")).cast("binary"))
     shuffled = copies.withColumn("shuffle_key", order)
@@ -104,20 +115,22 @@ rated AS (
   SELECT source, weight * (SELECT sum(size) FROM weighted)::DOUBLE
                  / ((SELECT sum(weight) FROM weighted) * size) AS rate
   FROM weighted),
-steps AS (
-  SELECT source, rate, k FROM rated, generate_series(0, 2000) AS g(k)
-  WHERE k <= CAST(trunc(rate + sqrt(rate) * 12 + 40) AS INTEGER)),
+bounds AS (
+  SELECT source, rate, CASE WHEN rate < {FROM_ZERO} THEN 0 ELSE floor(rate - sqrt(rate) * 12 - 40) END::BIGINT AS low,
+    trunc(rate + sqrt(rate) * 12 + 40)::BIGINT AS high FROM rated),
+steps AS (SELECT source, rate, low, low::DOUBLE AS n, unnest(generate_series(low, high)) AS k FROM bounds),
 logs AS (
-  SELECT source, k, -rate + sum(CASE WHEN k = 0 THEN 0 ELSE ln(rate) - ln(k::DOUBLE) END)
+  SELECT source, low, k, sum(CASE WHEN k > low THEN ln(rate) - ln(k::DOUBLE) WHEN low = 0 THEN -rate
+      ELSE (n - rate) + n * ln(rate / n) - ln(n * (2 * pi())) / 2 - 1 / (n * 12) + 1 / (n * n * n * 360) END)
     OVER (PARTITION BY source ORDER BY k) AS lp FROM steps),
-cdf AS (SELECT source, k, sum(exp(lp)) OVER (PARTITION BY source ORDER BY k) AS p FROM logs),
-tables AS (SELECT source, list(p ORDER BY k) AS cdf FROM cdf GROUP BY source),
+cdf AS (SELECT source, low, k, sum(exp(lp)) OVER (PARTITION BY source ORDER BY k) AS p FROM logs),
+tables AS (SELECT source, low, list(p ORDER BY k) AS cdf FROM cdf GROUP BY source, low),
 drawn AS (
   SELECT d.*, ('0x' || substr(md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT::DOUBLE
-    / {float(1 << 52)} AS u, t.cdf
+    / {float(1 << 52)} AS u, t.cdf, t.low
   FROM documents d JOIN tables t ON d.source IS NOT DISTINCT FROM t.source),
 counted AS (
-  SELECT *, len(list_filter(cdf, lambda c: c <= u))::INTEGER AS n_copies FROM drawn)
+  SELECT *, (low + len(list_filter(cdf, lambda c: c <= u)))::INTEGER AS n_copies FROM drawn)
 SELECT doc_id, text, lang, source, n_chars, n_copies, copy::INTEGER AS copy,
   md5('{SEED}:order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy::VARCHAR) AS shuffle_key
 FROM (SELECT *, unnest(generate_series(1, n_copies)) AS copy FROM counted WHERE n_copies > 0)
