@@ -8,12 +8,14 @@ Confidence is the calibrated probability, and a view that tells no more of those
 mean does hands over nothing, however sure its classifier is.  At the end a logistic model combines the calibrated views, and every
 document is scored.
 
-At most ``LABELLED`` labelled documents, chosen by hash, are gathered, one row for each key.  The unlabelled ones, all
-of them, stay distributed: both views of every row are written once, and each step of a fit and
-each choice of confident rows is a pass over them that sums in every task.  A task replays from the
-rounds' classifiers and cuts what a row was handed, so no state of rows is kept.  A cut is a bin
-of the logit; of the rows in the last bin a hash takes the share that is still wanted.  Scoring
-covers all rows in one pass without a shuffle.
+At most ``LABELLED`` labelled documents, chosen by hash, are gathered, one row for each key.  The
+unlabelled ones, all of them, stay distributed: both views of every row are written once.  A round
+makes two passes over them.  The first counts all rows by confidence and sets the cuts, the second
+gathers of the rows that were handed over ``HANDED`` for each view (expected; chosen by hash), and
+the views are fitted to those and the labelled ones.  A task replays from the rounds' classifiers
+and cuts what a row was handed, so no state of rows is kept.  A cut is a bin of the logit; of the
+rows in the last bin a hash takes the share that is still wanted.  Scoring covers all rows in one
+pass without a shuffle.
 
 Defined results: a null text is empty; repeated rows get equal scores; where labels of a
 document differ the majority holds and an even split counts as bad; unlabelled or null qualities
@@ -37,8 +39,8 @@ from pyspark.sql import types as T
 
 from siftline.llm import common
 
-#: Bound of the labelled rows that are fitted on.
-LABELLED = 4000
+#: Bounds of the labelled rows, and of a view's pseudo-labelled ones, that are fitted on.
+LABELLED, HANDED = 4000, 4000
 #: Share of the labelled sample kept for calibration, in tenths.
 CALIBRATION = 3
 ROUNDS, GROWTH = 5, 0.05
@@ -47,7 +49,7 @@ SURE = 0.95
 #: Likelihood ratio from which a view hands over anything: 1 in 100 for a view that tells nothing.
 TELLS = 6.63
 #: Bins of the logit from ``SURE`` up, by which the most confident rows are chosen.
-BINS, LEAST, MOST = 4096, float(np.log(SURE / (1 - SURE))), 30.0
+BINS, LEAST, MOST = 1024, float(np.log(SURE / (1 - SURE))), 30.0
 WORD_BINS, SOURCE_BINS, LANG_BINS = 64, 32, 8
 RIDGE = 1.0
 THRESHOLD = 0.5
@@ -216,52 +218,31 @@ def confident(xs: list[np.ndarray], u: np.ndarray, rounds: list[Round], views: l
     return np.concatenate(out)
 
 
-def moments(xs: list[np.ndarray], u: np.ndarray, rounds: list[Round], views: list[Logistic]) -> np.ndarray:
-    """For each view: rows handed to it, sums and sums of squares of their columns."""
-    out = []
-    for x, got in zip(xs, _handed(xs, u, rounds), strict=True):
-        x = x[got >= 0].astype(np.float64)
-        out += [np.array([float(len(x))]), x.sum(axis=0), (x * x).sum(axis=0)]
-    return np.concatenate(out)
+def _split(sums: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
+    return np.split(sums, np.cumsum(sizes)[:-1])
 
 
-def slopes(xs: list[np.ndarray], u: np.ndarray, rounds: list[Round], views: list[Logistic]) -> np.ndarray:
-    """For each view: Hessian and gradient over the rows handed to it."""
+def _sampled(xs: list[np.ndarray], u: np.ndarray, v: np.ndarray, rounds: list[Round], rates: list[float]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each view, of the rows handed to it those that its rate takes, and their labels."""
     out = []
-    for x, got, view in zip(xs, _handed(xs, u, rounds), views, strict=True):
-        held = got >= 0
-        out += [part.ravel() for part in _newton(view.standardised(x[held]), got[held], view.w)]
-    return np.concatenate(out)
+    for x, got, rate in zip(xs, _handed(xs, u, rounds), rates, strict=True):
+        taken = (got >= 0) & (v < rate)
+        out.append((x[taken], got[taken]))
+    return out
 
 
-def _split(sums: np.ndarray, sizes: list[int]) -> list[np.ndarray]:
-    return np.split(sums, np.cumsum(sizes)[:-1])
+class Pool:
+    """The unlabelled rows in memory: both views and two numbers from 0 to 1 for each."""
 
+    def __init__(self, a: np.ndarray, b: np.ndarray, u: np.ndarray | None = None, v: np.ndarray | None = None):
+        rng = np.random.default_rng(0)
+        self.xs, self.u, self.v = [a, b], rng.random(len(a)) if u is None else u, rng.random(len(a)) if v is None else v
 
-def _fit_views(own: list[np.ndarray], y: np.ndarray, total, rounds: list[Round], steps: int = 25) -> list[Logistic]:
-    """Both views fitted to their labelled rows and to what the rounds handed them."""
-    if not rounds:
-        return [Logistic().fit(x, y) for x in own]
-    sums = _split(total(moments, rounds, []), [k for x in own for k in (1, x.shape[1], x.shape[1])])
-    views = []
-    for i, x in enumerate(own):
-        view, x = Logistic(), x.astype(np.float64)
-        n, first, second = len(x) + sums[3 * i][0], x.sum(axis=0) + sums[3 * i + 1], (x * x).sum(axis=0) + sums[3 * i + 2]
-        view.mean = first / n
-        view.scale = np.sqrt(np.maximum(0, second / n - view.mean**2)) + 1e-6
-        # not from the last round's weights: full Newton steps diverge from there
-        view.w = np.zeros(x.shape[1] + 1)
-        views.append(view)
-    zs = [v.standardised(x) for v, x in zip(views, own, strict=True)]
-    for _ in range(steps):
-        parts = _split(total(slopes, rounds, views), [k for z in zs for k in (z.shape[1] ** 2, z.shape[1])])
-        moves = []
-        for i, (view, z) in enumerate(zip(views, zs, strict=True)):
-            hessian, gradient = _newton(z, y, view.w)
-            moves.append(view.step(hessian + parts[2 * i].reshape(hessian.shape), gradient + parts[2 * i + 1]))
-        if max(moves) < 1e-6:
-            break
-    return views
+    def confident(self, rounds: list[Round], views: list[Calibrated]) -> np.ndarray:
+        return confident(self.xs, self.u, rounds, views)
+
+    def sampled(self, rounds: list[Round], rates: list[float]) -> list[tuple[np.ndarray, np.ndarray]]:
+        return _sampled(self.xs, self.u, self.v, rounds, rates)
 
 
 def _cut(found: np.ndarray, wanted: int) -> tuple[int, float]:
@@ -274,34 +255,36 @@ def _cut(found: np.ndarray, wanted: int) -> tuple[int, float]:
     return -1, 0.0
 
 
-def cotrain(labelled: list[np.ndarray], y: np.ndarray, calibrating: np.ndarray, pool, rounds: int = ROUNDS) -> CoTrained:
-    """Fit on the labelled rows that are not for ``calibrating``, with the pool's help.
-
-    ``pool``: both views of the unlabelled rows and, if not even, a number from 0 to 1 for each;
-    or a function that sums ``confident``, ``moments`` or ``slopes`` over them.
-    """
-    total = pool
-    if not callable(pool):
-        u = pool[2] if len(pool) > 2 else np.random.default_rng(0).random(len(pool[0]))
-        total = lambda what, done, views: what(list(pool[:2]), u, done, views)
+def cotrain(labelled: list[np.ndarray], y: np.ndarray, calibrating: np.ndarray, pool: Pool | SpreadPool, rounds: int = ROUNDS) -> CoTrained:
+    """Fit on the labelled rows that are not for ``calibrating``, with the pool's help."""
     fit = ~calibrating
     own = [x[fit] for x in labelled]
     good = float(y[fit].mean())
     held = calibrating if calibrating.any() and len(set(y[calibrating])) == 2 else fit
+    done: list[Round] = []
+    #: rows wanted for each view so far, which is as many as it was handed at most
+    wanted = [0, 0]
 
-    def calibrated(views: list[Logistic]) -> list[Calibrated]:
+    def fitted() -> list[Calibrated]:
+        rates = [min(1.0, HANDED / n) if n else 0.0 for n in wanted]
+        more = pool.sampled(done, rates) if any(rates) else [(x[:0], y[:0]) for x in own]
+        views = [Logistic().fit(np.vstack([x, a]), np.concatenate([y[fit], b])) for x, (a, b) in zip(own, more, strict=True)]
         return [Calibrated(v, x[held], y[held]) for v, x in zip(views, labelled, strict=True)]
 
-    done: list[Round] = []
     for _ in range(rounds):
-        now = Round(calibrated(_fit_views(own, y[fit], total, done)))
-        count, *found = _split(total(confident, done, now.views), [1, *[BINS] * 4])
+        now = Round(fitted())
+        givers = [k for k in (0, 1) if now.views[k].tells]
+        if not givers:
+            break
+        count, *found = _split(pool.confident(done, now.views), [1, *[BINS] * 4])
         n = int(GROWTH * count[0])
-        for giver in (k for k in (0, 1) if now.views[k].tells):
+        for giver in givers:
             # the most confident of either kind, in the labelled rows' proportion
-            now.cuts[giver] = [_cut(found[2 * giver + kind], max(1, round(n * share))) for kind, share in ((0, 1 - good), (1, good))]
+            most = [max(1, round(n * share)) for share in (1 - good, good)]
+            now.cuts[giver] = [_cut(found[2 * giver + kind], most[kind]) for kind in (0, 1)]
+            wanted[1 - giver] += sum(most)
         done.append(now)
-    out = CoTrained(calibrated(_fit_views(own, y[fit], total, done)), Logistic())
+    out = CoTrained(fitted(), Logistic())
     out.combined.fit(out._calibrated([x[held] for x in labelled]), y[held])
     return out
 
@@ -335,23 +318,24 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
     rows = _inputs(docs.withColumn("doc_id", F.col(key).cast("long")), ["doc_id"], text).withColumnRenamed("_0", "doc_id")
     # at most LABELLED rows, whatever the number of labels: the broadcast is bounded
     picked = votes.orderBy(_hash(F.col("doc_id"), "labelled"), "doc_id").limit(LABELLED)
-    names = ["doc_id", "good", "calibrating", "u"]
-    schema = "doc_id long, good double, calibrating boolean, u double, a binary, b binary"
+    names = ["doc_id", "good", "calibrating", "u", "v"]
+    schema = "doc_id long, good double, calibrating boolean, u double, v double, a binary, b binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             a, b = _views(batch)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([r.tobytes() for r in a], pa.binary()), pa.array([r.tobytes() for r in b], pa.binary())], [*names, "a", "b"])
 
-    marked = rows.join(F.broadcast(picked), "doc_id", "left").withColumn("calibrating", _hash(F.col("doc_id"), "fold") % 10 < CALIBRATION).withColumn("u", _hash(F.col("doc_id"), "pool") / float(1 << 30))
-    views = common.materialize(marked.select(*rows.columns, "good", "calibrating", "u").mapInArrow(run, schema), "quality-views")
+    marked = rows.join(F.broadcast(picked), "doc_id", "left").withColumn("calibrating", _hash(F.col("doc_id"), "fold") % 10 < CALIBRATION)
+    marked = marked.withColumns({c: _hash(F.col("doc_id"), salt) / float(1 << 30) for c, salt in (("u", "pool"), ("v", "sample"))})
+    views = common.materialize(marked.select(*rows.columns, "good", "calibrating", "u", "v").mapInArrow(run, schema), "quality-views")
     # a key may have any number of rows: one of them stands for it
     labelled = views.filter("good IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("a", "b", "good", "calibrating")).alias("r"))
     sure = [x.r for x in labelled.orderBy("doc_id").collect()]
     model = None
     if len({r.good for r in sure if not r.calibrating}) == 2:
         known = [_stacked([getattr(r, c) for r in sure], n) for c, n in (("a", _N_TEXT), ("b", _N_META))]
-        model = cotrain(known, np.array([r.good for r in sure]), np.array([r.calibrating for r in sure]), _total(views.filter("good IS NULL").select("u", "a", "b")))
+        model = cotrain(known, np.array([r.good for r in sure]), np.array([r.calibrating for r in sure]), SpreadPool(views.filter("good IS NULL").select("u", "v", "a", "b")))
     common.discard(views)
     return model
 
@@ -360,38 +344,55 @@ def _stacked(rows: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(rows), np.float32).reshape(-1, width)
 
 
-def _total(pool: DataFrame):
-    """Sums over all rows of ``pool`` (u, a, b): one row of sums for each task, added up in as many
-    tasks as the root of the cores, and the rest on the driver."""
-    few = math.isqrt(pool.sparkSession.sparkContext.defaultParallelism) + 1
+class SpreadPool:
+    """The unlabelled rows as a frame (u, v, a, b)."""
+
+    def __init__(self, rows: DataFrame):
+        self.rows = rows
+        self.few = math.isqrt(rows.sparkSession.sparkContext.defaultParallelism) + 1
+
+    def confident(self, rounds: list[Round], views: list[Calibrated]) -> np.ndarray:
+        """One row of sums for each task, added up in as many tasks as the root of the cores, and
+        the rest on the driver."""
 
-    def total(what, done: list[Round], views: list) -> np.ndarray:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            common.enter("quality")
-            out = None
-            for batch in batches:
-                xs = [_stacked(common.as_bytes(batch.column(c)), n) for c, n in (("a", _N_TEXT), ("b", _N_META))]
-                now = what(xs, batch.column("u").to_numpy(), done, views)
-                out = now if out is None else out + now
-            if out is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["part", "sums"])
+            yield from summed(confident(_unpacked(b), b.column("u").to_numpy(), rounds, views) for b in batches if b.num_rows)
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts, out = [], None
-            for batch in batches:
-                parts += batch.column("part").to_pylist()
-                for raw in common.as_bytes(batch.column("sums")):
-                    out = np.frombuffer(raw) if out is None else out + np.frombuffer(raw)
+            yield from summed(np.frombuffer(raw) for b in batches for raw in common.as_bytes(b.column("sums")))
+
+        def summed(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            common.enter("quality")
+            out = None
+            for x in parts:
+                out = x if out is None else out + x
             if out is not None:
-                yield pa.RecordBatch.from_arrays([pa.array([min(parts)], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["part", "sums"])
+                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], ["sums"])
 
-        schema = "part long, sums binary"
-        sums = what([np.empty((0, _N_TEXT), np.float32), np.empty((0, _N_META), np.float32)], np.empty(0), done, views)
-        for r in pool.mapInArrow(run, schema).repartition(few, "part").mapInArrow(add, schema).orderBy("part").collect():
+        sums = np.zeros(1 + 4 * BINS)
+        # all are counts: the order in which they are added does not show
+        for r in self.rows.mapInArrow(run, "sums binary").repartition(self.few).mapInArrow(add, "sums binary").collect():
             sums = sums + np.frombuffer(bytes(r.sums))
         return sums
 
-    return total
+    def sampled(self, rounds: list[Round], rates: list[float]) -> list[tuple[np.ndarray, np.ndarray]]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            common.enter("quality")
+            for b in batches:
+                for view, (x, got) in enumerate(_sampled(_unpacked(b), b.column("u").to_numpy(), b.column("v").to_numpy(), rounds, rates)):
+                    if len(x):
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), view)), pa.array(got), pa.array([r.tobytes() for r in x], pa.binary())], ["view", "good", "x"])
+
+        found = sorted((r.view, r.good, bytes(r.x)) for r in self.rows.mapInArrow(run, "view long, good double, x binary").collect())
+        out = []
+        for view, width in ((0, _N_TEXT), (1, _N_META)):
+            own = [f for f in found if f[0] == view]
+            out.append((_stacked([x for _, _, x in own], width), np.array([g for _, g, _ in own])))
+        return out
+
+
+def _unpacked(batch: pa.RecordBatch) -> list[np.ndarray]:
+    return [_stacked(common.as_bytes(batch.column(c)), n) for c, n in (("a", _N_TEXT), ("b", _N_META))]
 
 
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", quality: str = "quality", threshold: float = THRESHOLD, carry: list[str] | None = None) -> DataFrame:

@@ -580,8 +580,8 @@ def test_co_training_helps_the_weak_view():
     b = (y[:, None] * 2 - 1 + 1.5 * rng.standard_normal((3000, 20)) * np.linspace(0.7, 2, 20)).astype(np.float32)
     few = slice(0, 60)
     cal = np.arange(60) % 3 == 0
-    with_pool = cotrain.cotrain([a[few], b[few]], y[few], cal, [a[60:2000], b[60:2000]])
-    alone = cotrain.cotrain([a[few], b[few]], y[few], cal, [a[60:2000], b[60:2000]], rounds=0)
+    with_pool = cotrain.cotrain([a[few], b[few]], y[few], cal, cotrain.Pool(a[60:2000], b[60:2000]))
+    alone = cotrain.cotrain([a[few], b[few]], y[few], cal, cotrain.Pool(a[60:2000], b[60:2000]), rounds=0)
     right = lambda m: ((m([a[2000:], b[2000:]])[2] > 0.5) == y[2000:]).mean()
     assert right(with_pool) >= right(alone) - 0.002 and right(with_pool) > 0.95
 
@@ -595,15 +595,43 @@ def test_all_unlabelled_rows_are_in_the_pool(spark):
     labels = spark.createDataFrame([(i, int(1 - kinds[i])) for i in range(0, 6000, 40)], "doc_id long, quality int")
     got = cotrain.fit(docs, labels)
     # the same in memory, over every row
-    hashed = {r.doc_id: (r.u, r.c) for r in docs.select("doc_id", (cotrain._hash(docs.doc_id, "pool") / float(1 << 30)).alias("u"), (cotrain._hash(docs.doc_id, "fold") % 10 < 3).alias("c")).collect()}
+    hashed = {r.doc_id: (r.u, r.c, r.v) for r in docs.select("doc_id", (cotrain._hash(docs.doc_id, "pool") / float(1 << 30)).alias("u"), (cotrain._hash(docs.doc_id, "sample") / float(1 << 30)).alias("v"), (cotrain._hash(docs.doc_id, "fold") % 10 < 3).alias("c")).collect()}
     views = [np.stack([cotrain.text_view(r[1].encode()) for r in rows]), np.stack([cotrain.meta_view(r[3], r[2], r[4]) for r in rows])]
     known = np.arange(6000) % 40 == 0
-    cal, u = np.array([hashed[i][1] for i in range(6000)]), np.array([hashed[i][0] for i in range(6000)])
-    want = cotrain.cotrain([x[known] for x in views], 1.0 - kinds[known], cal[known], [*(x[~known] for x in views), u[~known]])
+    u, cal, v = (np.array([hashed[i][k] for i in range(6000)]) for k in range(3))
+    want = cotrain.cotrain([x[known] for x in views], 1.0 - kinds[known], cal[known], cotrain.Pool(*(x[~known] for x in views), u[~known], v[~known]))
     for a, b in zip(got.views, want.views, strict=True):
         assert a.w == pytest.approx(b.w, rel=1e-4, abs=1e-5)
 
 
+def test_what_a_round_hands_over():
+    """Cuts against a sort of all rows by confidence."""
+    rng = np.random.default_rng(2)
+    y = (rng.random(4000) < 0.6).astype(float)
+    a = (2 * y[:, None] - 1 + rng.standard_normal((4000, 3))).astype(np.float32)
+    b = (2 * y[:, None] - 1 + rng.standard_normal((4000, 4))).astype(np.float32)
+    views = [cotrain.Calibrated(cotrain.Logistic().fit(x[:300], y[:300]), x[300:600], y[300:600]) for x in (a, b)]
+    xs, u = [a[600:], b[600:]], rng.random(3400)
+    count, *found = cotrain._split(cotrain.confident(xs, u, [], views), [1, *[cotrain.BINS] * 4])
+    assert count[0] == 3400
+    done = cotrain.Round(views)
+    done.cuts = [[cotrain._cut(found[2 * g + k], (100, 150)[k]) for k in (0, 1)] for g in (0, 1)]
+    got = cotrain._handed(xs, u, [done])
+    for giver, taker in ((0, 1), (1, 0)):
+        p = 1 / (1 + np.exp(-views[giver].logit(xs[giver])))
+        for kind, sure, most in ((1, p, 150), (0, 1 - p, 100)):
+            handed = np.flatnonzero(got[taker] == kind)
+            sure_rows = np.flatnonzero(sure >= cotrain.SURE)
+            # as many as wanted, or all that are sure; the surest but for ties within one bin
+            assert abs(len(handed) - min(most, len(sure_rows))) <= 8
+            assert set(handed) <= set(sure_rows)
+            surest = np.sort(sure)[::-1][: len(handed)]
+            assert np.log(sure[handed] / (1 - sure[handed])).min() >= np.log(surest / (1 - surest)).min() - 30 / cotrain.BINS - 1e-9
+    # what is handed once stays as it is
+    again = cotrain._handed(xs, u, [done, done])
+    assert all((x[x >= 0] == z[x >= 0]).all() for x, z in zip(got, again, strict=True))
+
+
 def test_quality_of_odd_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     got = cotrain.classify(odd(spark), none).collect()
