@@ -23,6 +23,10 @@ TITLE_CHARS, ABSTRACT_CHARS, NOTE_CHARS, FAILURE_CHARS = 650, 3000, 240, 2500
 NOTES = ("idea_core", "transferable_mechanism", "fit_reason", "risk_or_limitation")
 
 
+#: What the scores mean.
+BANDS = "8 to 10: fits well, read it closely; 5 to 7: may fit, keep it for later; 0 to 4: fits little. Judge by what would carry over, not by shared words."
+
+
 class Scorer(Protocol):
     """Anything that answers a prompt; it raises to report a failed call."""
 
@@ -57,6 +61,10 @@ def prompt_paper(columns: list[str], abstract_chars: int = ABSTRACT_CHARS) -> di
     def number(*names: str) -> Column:
         return tx.first_number(*(F.col(n).cast("double") for n in names if n in columns)) if any(n in columns for n in names) else F.lit(0.0)
 
+    def hits(*names: str) -> Column:
+        some = [F.when(F.size(n) > 0, F.col(n)) for n in names if n in columns]
+        return F.coalesce(*some, F.array().cast("array<string>"))
+
     return {
         "title": tx.clean_text(col("title"), TITLE_CHARS),
         "abstract": tx.clean_text(col("abstract"), abstract_chars),
@@ -64,6 +72,8 @@ def prompt_paper(columns: list[str], abstract_chars: int = ABSTRACT_CHARS) -> di
         "year": col("year"),
         "url": col("url", "pdf_url"),
         "rule_score": number("rule_score", "theory_signal_score"),
+        "rule_positive_hits": hits("rule_positive_hits", "theory_family_hits"),
+        "rule_negative_hits": hits("rule_negative_hits", "negative_hits"),
     }
 
 
@@ -71,7 +81,7 @@ def prompts(papers: DataFrame, profile: Profile, abstract_chars: int = ABSTRACT_
     """``papers`` with ``prompt``: profile, paper as JSON and the wanted reply, from one template."""
     reply = {"is_suitable": True, "priority": "|".join(sc.PRIORITIES), **{n: "one sentence" for n in NOTES}, "score_overall_fit": 0, "score_theory_novelty": 0, "scores": dict.fromkeys(profile.dimension_keys, 0)}
     head = "Judge how far the central idea of this paper carries over to the direction below, whatever its own field.\n\n" + profile.prompt_block() + "\n\nPaper:\n"
-    tail = "\n\nAnswer with one JSON object of this shape, all scores from 0 to 10:\n" + json.dumps(reply)
+    tail = "\n\nAnswer with one JSON object of this shape, all scores from 0 to 10:\n" + json.dumps(reply) + "\n" + BANDS
     fields = prompt_paper(papers.columns, abstract_chars)
     return papers.withColumn("prompt", F.concat(F.lit(head), F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()))), F.lit(tail)))
 
@@ -110,16 +120,17 @@ def _variant(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def judged(replies: DataFrame, profile: Profile) -> DataFrame:
+def judged(replies: DataFrame, profile: Profile, model: str = "") -> DataFrame:
     """Replies parsed, cleaned and blended: flags, notes, scores, rank_score, or ``error``.
 
-    Columns of the judge replace the paper's of the same name; no other key of a reply is read.
+    Columns of the judge replace the paper's of the same name; no other key of a reply is read.  A
+    dimension that ``scores`` lacks is looked up beside it; one that is null there is 0.
     """
     base = replies.withColumn("_v", tx.first_json_object(F.col("reply")))
     v = F.col("_v")
     number = lambda path: sc.clamp(tx.to_double(_variant(v, path, "string").try_cast("string"), None))
-    flat = lambda k: F.coalesce(_variant(v, f"$.scores['{k}']", "string"), _variant(v, f"$['score_{k}']", "string"))
-    dims = {k: sc.clamp(tx.to_double(flat(k), None)) for k in profile.dimension_keys}
+    has = lambda k: _variant(v, f"$.scores['{k}']", "variant").isNotNull()
+    dims = {k: F.when(has(k), number(f"$.scores['{k}']")).otherwise(number(f"$['{k}']")) for k in profile.dimension_keys}
     out = base.withColumns(
         {
             "error": F.coalesce(F.col("error"), F.when(v.isNull(), F.lit("no JSON object in the reply"))),
@@ -139,6 +150,8 @@ def judged(replies: DataFrame, profile: Profile) -> DataFrame:
             "rank_score": sc.rank_score(F.col("score_overall_fit"), mean, F.col("score_theory_novelty")),
             "profile_name": F.lit(profile.name),
             "analysis_tier": F.lit("idea_score"),
+            "idea_score_model": F.lit(model),
+            "idea_score_ts": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss"),
         }
     )
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import text as tx
+from siftline.operators import rules
 
 # Where each column of an article comes from, first filled one first.
 TEXTS = {
@@ -26,16 +27,21 @@ SCORES = {
     "score_overall_fit": ("score_overall_fit", "deep_overall_recommendation_score"),
     "score_theory_novelty": ("score_theory_novelty", "deep_theory_novelty_score"),
 }
-SEARCHED = ("title", "abstract", "venue", "authors", "idea_core", "transferable_mechanism", "fit_reason", "risk_or_limitation")
+#: Fields that a search looks through; ``raw_url`` is the record's own url, without the fallback.
+SEARCHED = ("title", "abstract", "venue", "year", "idea_core", "transferable_mechanism", "fit_reason", "risk_or_limitation", "theory_bucket", "theory_family", "profile_name", "raw_url")
+FIXED_ITEMS = (("Rank score", "rank_score"), ("Overall fit", "score_overall_fit"), ("Theory novelty", "score_theory_novelty"))
+#: Flat scores that are columns of their own.
+GLOBAL = ("score_overall_fit", "score_theory_novelty")
 SORTS = {"rank_score": "rank_score", "overall": "score_overall_fit", "novelty": "score_theory_novelty", "year": "year"}
 HIGH = 7.0
 MOST_LISTED = 1000
 
 
 def articles(rows: DataFrame, order: str = "doc_id") -> DataFrame:
-    """Import mapping: one article for each row, ``id`` by input order.
+    """Import mapping: one article for each row, ``id`` its order value plus one.
 
-    ``id`` is the row's own order value plus one where that is a dense key.
+    ``order`` is a whole number that no two rows share; ``numbered`` makes one.  ``raw_json`` is the
+    whole record, and what a search reads of it stands in columns of its own beside it.
     """
     has = rows.columns
 
@@ -49,7 +55,24 @@ def articles(rows: DataFrame, order: str = "doc_id") -> DataFrame:
     out["priority"] = tx.first_text(out["priority"], F.lit("maybe"))
     out["year"] = tx.to_int(F.col("year"), 0).cast("int") if "year" in has else F.lit(0)
     scores = F.to_json("scores") if "scores" in has else F.lit("{}")
-    return rows.select((F.col(order) + 1).alias("id"), *(c.alias(n) for n, c in out.items()), *(number(s).alias(n) for n, s in SCORES.items()), F.coalesce(scores, F.lit("{}")).alias("scores_json"))
+    raw = F.col("raw") if "raw" in has else F.to_json(F.struct(*has), {"ignoreNullFields": "false"})
+    beside = {"theory_bucket": text(("theory_bucket",)), "theory_family": text(("theory_family",)), "raw_url": text(("url",)), "raw_json": raw}
+    return rows.select(
+        (F.col(order) + 1).alias("id"),
+        *(c.alias(n) for n, c in out.items()),
+        *(number(s).alias(n) for n, s in SCORES.items()),
+        F.coalesce(scores, F.lit("{}")).alias("scores_json"),
+        *(c.alias(n) for n, c in beside.items()),
+    )
+
+
+def numbered(rows: DataFrame, order: str, name: str = "ordinal") -> DataFrame:
+    """``rows`` with a dense number from 0 in ``order``: sorted by ranges, counted by partition, and
+    each partition's first number a sum over those before it."""
+    ordered = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % (1 << 33))
+    counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
+    begin = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_begin"))
+    return ordered.join(F.broadcast(begin), "_part").withColumn(name, F.col("_begin") + F.col("_at")).drop("_part", "_at", "_begin")
 
 
 def search(found: DataFrame, q: str = "", priority: str = "", sort: str = "rank_score", limit: int = 100) -> DataFrame:
@@ -58,8 +81,8 @@ def search(found: DataFrame, q: str = "", priority: str = "", sort: str = "rank_
         raise ValueError(f"limit must be from 1 to {MOST_LISTED}")
     q, priority = q.strip().lower(), priority.strip().lower()
     if q:
-        blob = F.lower(F.concat_ws(" ", *(tx.blank_to_null(F.col(c)) for c in (*SEARCHED, "profile_name", "url") if c in found.columns)))
-        found = found.filter(blob.contains(q))
+        parts = (F.when(F.col(c) != 0, F.col(c).cast("string")) if c == "year" else tx.blank_to_null(F.col(c)) for c in SEARCHED if c in found.columns)
+        found = rules.bound(found, "_hit", F.lower(F.concat_ws(" ", *parts)), lambda blob: blob.contains(q)).filter("_hit").drop("_hit")
     if priority:
         found = found.filter(F.lower("priority") == priority)
     return found.orderBy(F.desc(SORTS.get(sort, "rank_score")), F.asc("id")).limit(limit)
@@ -74,8 +97,8 @@ def home(found: DataFrame) -> DataFrame:
     return found.agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(F.lower("priority") == "keep").alias("keep"),
-        F.coalesce(F.avg("rank_score"), F.lit(0.0)).alias("avg_rank"),
-        F.coalesce(F.max("rank_score"), F.lit(0.0)).alias("max_rank"),
+        F.coalesce(F.avg(F.coalesce("rank_score", F.lit(0.0))), F.lit(0.0)).alias("avg_rank"),
+        F.coalesce(F.max(F.coalesce("rank_score", F.lit(0.0))), F.lit(0.0)).alias("max_rank"),
     )
 
 
@@ -83,34 +106,71 @@ def top_papers(found: DataFrame, n: int = 8) -> DataFrame:
     return found.orderBy(F.desc("rank_score"), F.asc("id")).limit(n)
 
 
-def _scores(found: DataFrame) -> Column:
-    return F.coalesce(F.from_json("scores_json", "map<string,double>"), F.create_map().cast("map<string,double>"))
+def _map(name: str) -> Column:
+    """A JSON column as text by key; nothing, or what is no object, is the empty map."""
+    return F.coalesce(F.from_json(name, "map<string,string>"), F.create_map().cast("map<string,string>"))
 
 
-def dimension_stats(found: DataFrame, n: int = 12) -> DataFrame:
-    """Mean and number of high values of each dimension, the strongest first."""
-    each = found.select(F.explode(_scores(found)).alias("key", "value"))
-    stats = each.groupBy("key").agg(F.avg("value").alias("avg"), F.count_if(F.col("value") >= HIGH).alias("high"))
-    return stats.withColumn("label", tx.title_case_label(F.col("key"))).orderBy(F.desc("avg"), F.desc("high"), "key").limit(n)
+def _flat(raw: Column) -> Column:
+    """The flat scores of a record, by their names in it."""
+    return F.map_filter(raw, lambda k, _: k.startswith("score_") & ~k.isin(*GLOBAL))
+
+
+def _number(value: Column) -> Column:
+    """Nothing is 0; null for what is no number."""
+    return F.when(value.isNull() | (value == ""), 0.0).when(value.isin("true", "false"), (value == "true").cast("double")).otherwise(tx.to_double(value, None))
+
 
+def score_value(found: DataFrame, key: str) -> Column:
+    """An article's score: the column, or the record's member where that is null; 0 where it is no number."""
+    raw = _number(F.element_at(_map("raw_json"), key)) if "raw_json" in found.columns else F.lit(None).cast("double")
+    return F.coalesce(F.col(key).cast("double") if key in found.columns else F.lit(None).cast("double"), raw, F.lit(0.0))
 
-def dimension_stats_mixed(found: DataFrame, n: int = 12) -> DataFrame:
-    """As ``dimension_stats`` where some articles carry flat scores beside the map.
 
-    ``found`` has ``flat`` map<string,double> too.  A flat value counts only in the first article
-    in which its key appears at all, and only if that article's map has not the key.
+def dimension_stats(found: DataFrame, n: int = 12) -> DataFrame:
+    """Mean and number of high values of each dimension, the strongest first, then the first seen.
+
+    A dimension's values are those of all score maps.  A flat ``score_`` member of a record counts
+    only in the first article in which its dimension appears at all, and only if that article's map
+    has it not.  A null value is 0; one that is no number counts for nothing.
     """
-    keys = found.select("id", F.explode(F.array_union(F.map_keys(_scores(found)), F.map_keys("flat"))).alias("key"))
-    first = keys.groupBy("key").agg(F.min("id").alias("first_id"))
-    values = found.select("id", F.explode(_scores(found)).alias("key", "value"))
-    flat = found.select("id", _scores(found).alias("own"), F.explode("flat").alias("key", "value")).filter(~F.map_contains_key("own", F.col("key"))).select("id", "key", "value")
-    flat = flat.join(first, (flat["key"] == first["key"]) & (flat["id"] == first["first_id"]), "left_semi")
-    stats = values.unionByName(flat).groupBy("key").agg(F.avg("value").alias("avg"), F.count_if(F.col("value") >= HIGH).alias("high"))
-    return stats.withColumn("label", tx.title_case_label(F.col("key"))).orderBy(F.desc("avg"), F.desc("high"), "key").limit(n)
+    flat = F.map_entries(_flat(_map("raw_json"))) if "raw_json" in found.columns else F.array().cast("array<struct<key:string,value:string>>")
+    own = F.transform(F.map_entries(_map("scores_json")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.lit(False).alias("flat")))
+    more = F.transform(flat, lambda e: F.struct(F.replace(e["key"], F.lit("score_"), F.lit("")).alias("key"), e["value"].alias("value"), F.lit(True).alias("flat")))
+    each = found.select("id", F.posexplode(F.concat(own, more)).alias("place", "e")).select("id", "place", "e.key", "e.value", "e.flat")
+    # flat values gather with the rest: one shuffle, and per dimension only the first of them is held
+    number = _number(F.col("value"))
+    first = F.min(F.struct("id", "place", "flat", number.alias("v")))
+    stats = each.groupBy("key").agg(
+        first.alias("f"),
+        F.count(F.when(~F.col("flat"), number)).alias("c"),
+        F.coalesce(F.sum(F.when(~F.col("flat"), number)), F.lit(0.0)).alias("s"),
+        F.count_if(~F.col("flat") & (number >= HIGH)).alias("h"),
+    )
+    lone = F.col("f.flat") & F.col("f.v").isNotNull()
+    count = F.col("c") + lone.cast("long")
+    stats = stats.filter(count > 0).select(
+        "key",
+        tx.title_case_label(F.col("key")).alias("label"),
+        ((F.col("s") + F.when(lone, F.col("f.v")).otherwise(0.0)) / count).alias("avg"),
+        (F.col("h") + (lone & (F.col("f.v") >= HIGH)).cast("long")).alias("high"),
+        F.col("f.id").alias("_id"),
+        F.col("f.place").alias("_place"),
+    )
+    return stats.orderBy(F.desc("avg"), F.desc("high"), "_id", "_place").limit(n).drop("_id", "_place")
 
 
 def score_items(found: DataFrame) -> DataFrame:
-    """Long form of an article's scores: (id, place, label, value)."""
-    fixed = F.array(*(F.struct(F.lit(label).alias("label"), F.col(c).alias("value")) for label, c in (("Rank Score", "rank_score"), ("Overall Fit", "score_overall_fit"), ("Theory Novelty", "score_theory_novelty"))))
-    own = F.transform(F.array_sort(F.map_entries("own")), lambda e: F.struct(tx.title_case_label(e["key"]).alias("label"), e["value"].alias("value")))
-    return found.withColumn("own", _scores(found)).select("id", F.posexplode(F.concat(fixed, own)).alias("place", "item")).select("id", "place", "item.label", "item.value")
+    """Long form of an article's scores: (id, place, label, value).
+
+    Three fixed ones, the map's by key, then the record's flat ones whose label is not there yet.
+    """
+    item = lambda label, value: F.struct(label.alias("label"), F.coalesce(value, F.lit(0.0)).alias("value"))
+    fixed = F.array(*(item(F.lit(label), score_value(found, c)) for label, c in FIXED_ITEMS))
+    own = F.transform(F.array_sort(F.map_entries(_map("scores_json"))), lambda e: item(tx.title_case_label(e["key"]), _number(e["value"])))
+    items = F.concat(fixed, own)
+    if "raw_json" in found.columns:
+        seen = F.transform(items, lambda i: F.lower(i["label"]))
+        flat = F.transform(F.array_sort(F.map_entries(_flat(_map("raw_json")))), lambda e: item(tx.title_case_label(F.replace(e["key"], F.lit("score_"), F.lit(""))), _number(e["value"])))
+        items = F.concat(items, F.filter(flat, lambda i: ~F.array_contains(seen, F.lower(i["label"]))))
+    return found.select("id", F.posexplode(items).alias("place", "item")).select("id", "place", "item.label", "item.value")

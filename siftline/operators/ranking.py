@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from siftline.functions import text as tx
 
+#: Fields that ``portal_ready`` sets.
+PORTAL = ("final_score", "theory_novelty", "submission_value", "theory_explanation_zh", "recommendation_zh", "fit_reason", "risk_or_limitation", "scores_json")
 SORT = ("rank_score", "score_overall_fit", "score_theory_novelty")
 
 
@@ -39,10 +41,11 @@ def portal_ready(scored: DataFrame) -> DataFrame:
             "final_score": score,
             "theory_novelty": F.coalesce(F.col("score_theory_novelty"), F.lit(0.0)),
             "submission_value": F.coalesce(F.col("score_overall_fit"), F.lit(0.0)),
-            "theory_analysis_zh_md": text("idea_core"),
+            "theory_explanation_zh": text("idea_core"),
             "recommendation_zh": text("transferable_mechanism"),
             "fit_reason": text("fit_reason"),
             "risk_or_limitation": text("risk_or_limitation"),
+            **({"scores_json": F.to_json("scores")} if "scores" in has else {}),
         }
     )
 
@@ -63,5 +66,18 @@ def averages(rows: DataFrame, fields: Sequence[str] = SORT, digits: int = 3) ->
     return rows.agg(*(F.round(F.coalesce(F.avg(value(f)), F.lit(0.0)), digits).alias(f"avg_{f}") for f in fields))
 
 
+def report(rows: DataFrame, target_total: int = 0, order: str = "doc_id") -> list[str]:
+    """The progress figures as lines of text: a few rows, gathered after aggregation."""
+    done = rows.count()
+    out = [f"done = {done}" + (f" / {target_total}" if target_total else "")]
+    if done:
+        out.append("priority: " + str({r.priority: r.n for r in priority_counts(rows).orderBy(F.desc("n"), "priority").collect()}))
+        out.append("venue_year: " + str({(r.venue, r.year): r.n for r in top_groups(rows, ("venue", "year"), 20, order).collect()}))
+        means = averages(rows).first()
+        out += [f"{f} {means[f'avg_{f}']}" for f in SORT]
+        out.append(f"last item: {last_value(rows, 'title', order).first()[0]}")
+    return out
+
+
 def last_value(rows: DataFrame, field: str, order: str = "doc_id") -> DataFrame:
     return rows.agg(F.max_by(field, order).alias(field))

@@ -11,7 +11,16 @@ from pyspark.sql import functions as F
 from siftline.functions import text as tx
 
 #: Points of a phrase and of a single word, and what a negative point costs.
-PHRASE, WORD, PENALTY = 1.0, 1.5, 1.25
+PHRASE, WORD, PENALTY = 1.5, 1.0, 1.25
+
+
+def bound(frame: DataFrame, name: str, value: Column, of) -> DataFrame:
+    """``frame`` with column ``name``: ``of(value)``, where ``value`` is worked out once a row.
+
+    A filter on a plain column would be pushed below it and would repeat ``value`` wherever ``of``
+    names it.  Nothing is pushed through a generator, and its lambda names the value once.
+    """
+    return frame.select("*", F.explode_outer(F.transform(F.array(value), of)).alias(name))
 
 
 def _keywords(words: Iterable[str]) -> list[tuple[str, str]]:
@@ -31,16 +40,26 @@ def _hits(blob: Column, words: Iterable[str]) -> Column:
 
 def score(papers: DataFrame, positive: Sequence[str], negative: Sequence[str], fields: Sequence[str] = ("title", "abstract", "keywords")) -> DataFrame:
     """``papers`` with rule_score, its parts and the matched keywords in profile order."""
-    blob = papers.withColumn("_blob", tx.search_blob(*(F.col(f) for f in fields)))
-    up, down = _points(F.col("_blob"), positive), _points(F.col("_blob"), negative)
-    out = blob.withColumns({"rule_positive_score": up, "rule_negative_score": down, "rule_positive_hits": _hits(F.col("_blob"), positive), "rule_negative_hits": _hits(F.col("_blob"), negative)})
-    return out.withColumn("rule_score", F.round(F.col("rule_positive_score") - F.lit(PENALTY) * F.col("rule_negative_score"), 4)).drop("_blob")
+
+    def parts(blob: Column) -> Column:
+        up, down = _points(blob, positive), _points(blob, negative)
+        return F.struct(
+            up.alias("rule_positive_score"),
+            down.alias("rule_negative_score"),
+            _hits(blob, positive).alias("rule_positive_hits"),
+            _hits(blob, negative).alias("rule_negative_hits"),
+            F.round(up - F.lit(PENALTY) * down, 4).alias("rule_score"),
+        )
+
+    new = ("rule_positive_score", "rule_negative_score", "rule_positive_hits", "rule_negative_hits", "rule_score")
+    out = bound(papers, "_rule", tx.search_blob(*(F.col(f) for f in fields)), parts)
+    return out.select(*(c for c in papers.columns if c not in new), *(F.col(f"_rule.{c}").alias(c) for c in new))
 
 
 def keyword_counts(papers: DataFrame, words: Sequence[str], fields: Sequence[str] = ("title", "abstract", "keywords")) -> DataFrame:
     """(keyword, papers that contain it): one pass, the keyword table being the literal list."""
-    blob = tx.search_blob(*(F.col(f) for f in fields))
-    found = papers.select(F.explode(F.array_distinct(_hits(blob, words))).alias("keyword"))
+    hits = bound(papers, "_hits", tx.search_blob(*(F.col(f) for f in fields)), lambda blob: F.array_distinct(_hits(blob, words)))
+    found = hits.select(F.explode("_hits").alias("keyword"))
     return found.groupBy("keyword").agg(F.count(F.lit(1)).alias("n_papers"))
 
 
@@ -72,13 +91,19 @@ def ranked(scored: DataFrame, top: int, min_score: float = 1.0, title: str = "ti
 
 
 def rejected(scored: DataFrame, min_score: float = 1.0, target_total: int = 0, title: str = "title", order: str = "doc_id") -> DataFrame:
-    """What ``kept`` leaves, with the part it comes from: overflow of the cap first, then below."""
-    below = scored.filter(~(F.col("rule_score") >= min_score)).withColumn("part", F.lit("below"))
+    """What ``kept`` leaves, with the part it comes from: overflow of the cap, or below the threshold.
+
+    One row, the last that is kept, parts the rest: no join by key and no second sort.
+    """
+    passed = F.col("rule_score") >= min_score
+    below = scored.filter(~passed).withColumn("part", F.lit("below"))
     if target_total <= 0:
         return below
-    top = kept(scored, min_score, target_total, title, order).select(F.col(order).alias("_kept"))
-    over = scored.filter(F.col("rule_score") >= min_score).join(top, F.col(order) == F.col("_kept"), "left_anti").withColumn("part", F.lit("overflow"))
-    return over.unionByName(below)
+    place = F.struct(F.col("rule_score").alias("s"), F.col(title).alias("t"))
+    last = ranked(scored, target_total, min_score, title, order).agg(F.max_by(F.struct(place.alias("p"), F.col(order).alias("o")), "place").alias("_last"))
+    beyond = (place < F.col("_last.p")) | (place.eqNullSafe(F.col("_last.p")) & (F.col(order) > F.col("_last.o")))
+    part = F.when(~passed, "below").when(beyond, "overflow")
+    return scored.crossJoin(F.broadcast(last)).withColumn("part", part).filter("part IS NOT NULL").drop("_last")
 
 
 def summary(scored: DataFrame, profile: str, min_score: float = 1.0, target_total: int = 0) -> DataFrame:

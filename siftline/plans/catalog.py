@@ -6,6 +6,8 @@ rounding shows.  ``labels`` is the set of papers that are done.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,8 +15,10 @@ from pyspark.sql import functions as F
 
 from siftline.functions import errors, scores
 from siftline.functions import text as tx
+from siftline import profile
 from siftline.operators import judge, portal, ranking, rules
 from siftline.sources.tables import TITLE_CHARS, papers, table
+from siftline.streaming import runner
 
 POSITIVE = ("the and", "tion", "of the", "inon", "er the", "queé", "und der", "ation")
 NEGATIVE = ("worthless", "der die", "lorem", "http")
@@ -41,7 +45,7 @@ blobs AS (
 
 
 def _points_sql(words: tuple[str, ...]) -> str:
-    return " + ".join(f"CASE WHEN contains(blob, '{w}') THEN {1.0 if ' ' in w else 1.5} ELSE 0 END" for w in words)
+    return " + ".join(f"CASE WHEN contains(blob, '{w}') THEN {1.5 if ' ' in w else 1.0} ELSE 0 END" for w in words)
 
 
 def _hits_sql(words: tuple[str, ...]) -> str:
@@ -230,13 +234,13 @@ def _(spark, sf):
 
 @query("resume_anti_join", "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def _(spark, sf):
-    done = table(spark, sf, "labels").select("doc_id").distinct()
-    return table(spark, sf, "documents").select("doc_id").join(done, "doc_id", "left_anti")
+    key = F.col("doc_id").cast("string").alias("paper_key")
+    return runner.pending(table(spark, sf, "documents").select("doc_id", key), table(spark, sf, "labels").select(key)).select("doc_id")
 
 
 @query("head_limit", f"WITH {_PAPERS} SELECT doc_id, year FROM papers WHERE year IN {YEARS} ORDER BY doc_id LIMIT 50")
 def _(spark, sf):
-    return rules.in_years(papers(spark, sf), YEARS).orderBy("doc_id").limit(50).select("doc_id", "year")
+    return runner.selected(papers(spark, sf), YEARS, 50).select("doc_id", "year")
 
 
 @query(
@@ -281,10 +285,11 @@ _RAW_SCORE = "CASE doc_id % 6 WHEN 0 THEN '12.5' WHEN 1 THEN '-3' WHEN 2 THEN '8
 
 @query(
     "clamp_scores",
-    "SELECT doc_id, CASE doc_id % 6 WHEN 0 THEN 10.0 WHEN 1 THEN 0.0 WHEN 2 THEN 0.0 WHEN 3 THEN 0.0 WHEN 4 THEN 7.25 ELSE 10.0 END::DOUBLE AS score FROM documents",
+    "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 0.0 ELSE least(10.0, greatest(0.0, n_chars / 500.0 - 3)) END::DOUBLE AS score FROM documents",
 )
 def _(spark, sf):
-    raw = F.element_at(F.array(*(F.lit(x) for x in ("12.5", "-3", "8/10", None, "7.25", "nan"))), (F.col("doc_id") % 6 + 1).cast("int"))
+    # a number as text, from the length; every seventh is none
+    raw = F.concat((F.col("n_chars") / 500.0 - 3).cast("string"), F.when(F.col("doc_id") % 7 == 0, "/10").otherwise(""))
     return table(spark, sf, "documents").select("doc_id", scores.clamp(tx.to_double(raw, None)).alias("score"))
 
 
@@ -329,6 +334,45 @@ def _(spark, sf):
     return table(spark, sf, "documents").select("doc_id", errors.classify(text).alias("error_class"))
 
 
+PROFILE = profile.Profile("catalog", scoring_dimensions=tuple(profile.Dimension(k, k, w) for k, w in DIMENSIONS.items()))
+
+
+def _stub(prompt: str) -> str:
+    """A judge whose scores follow from the paper's url; it fails for every twentieth."""
+    n = int(re.search(r"papers.example/(\d+)", prompt)[1])
+    if n % 20 == 19:
+        raise RuntimeError("usage limit reached" if n % 40 == 19 else "connection reset")
+    answer = {"is_suitable": "false" if n % 3 else "", "priority": ("Keep", " drop", "later")[n % 3], "score_overall_fit": n * 7 % 25 / 2, "score_theory_novelty": str(n * 11 % 20 / 2), "scores": {"transfer_value": n * 13 % 19 / 2, "method_novelty": None}, "method_novelty": 9, "feasibility": n * 5 % 18 / 2}
+    return ("```json\n%s\n```", "Well { so: %s bye", "%s")[n % 3] % json.dumps(answer)
+
+
+@query(
+    "judge_replies",
+    f"""WITH n AS (SELECT doc_id, doc_id % 700 AS n FROM documents),
+s AS (SELECT doc_id, n, n % 20 <> 19 AS ok, least(10, n * 7 % 25 / 2.0) AS fit, n * 11 % 20 / 2.0 AS novelty, n * 13 % 19 / 2.0 AS a, n * 5 % 18 / 2.0 AS c FROM n)
+SELECT doc_id, CASE WHEN ok THEN 'none' WHEN n % 40 = 19 THEN 'quota' ELSE 'other' END AS failure, ok AND n % 3 <> 0 AS is_suitable,
+  CASE WHEN ok THEN CASE n % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'drop' ELSE 'maybe' END ELSE 'maybe' END AS priority,
+  CASE WHEN ok THEN fit ELSE 0 END::DOUBLE AS score_overall_fit, 0::DOUBLE AS score_method_novelty, CASE WHEN ok THEN c ELSE 0 END::DOUBLE AS score_feasibility,
+  CASE WHEN ok THEN round(0.45 * fit + 0.4 * (a * 2.0 + c) / 4.2 + 0.15 * novelty, 4) ELSE 0 END::DOUBLE AS rank_score FROM s""",
+)
+def _(spark, sf):
+    asked = judge.ask(judge.prompts(papers(spark, sf), PROFILE), _stub, max_retries=2, retry_sleep=0)
+    found = judge.judged(asked, PROFILE, "stub")
+    failure = F.when(F.col("error").isNull(), "none").otherwise(errors.classify(F.col("error"))).alias("failure")
+    return found.select("doc_id", failure, "is_suitable", "priority", "score_overall_fit", "score_method_novelty", "score_feasibility", "rank_score")
+
+
+@query(
+    "pending_after_failures",
+    "SELECT doc_id FROM documents WHERE (2018 + doc_id % 8) IN (2020, 2023) AND doc_id % 700 % 20 = 19 AND doc_id < 700",
+)
+def _(spark, sf):
+    # papers of two years, one for each url; those that the stub fails for are pending still
+    todo = runner.keyed(runner.selected(papers(spark, sf), YEARS)).filter("doc_id < 700")
+    done = judge.ask(judge.prompts(todo, PROFILE), _stub, max_retries=1).filter("error IS NULL")
+    return runner.pending(todo, done).select("doc_id")
+
+
 # -- export and progress ------------------------------------------------------------------
 
 _EXPORT = ("doc_id", "title", "venue", "year", "priority", "rank_score", "score_overall_fit", "score_theory_novelty", *(f"score_{k}" for k in DIMENSIONS))
@@ -346,10 +390,10 @@ def _(spark, sf):
 @query(
     "portal_ready",
     f"""WITH {_JUDGED} SELECT doc_id, rank_score AS final_score, score_theory_novelty AS theory_novelty, score_overall_fit AS submission_value,
-  idea_core AS theory_analysis_zh_md, transferable_mechanism AS recommendation_zh, coalesce(fit_reason, '') AS fit_reason, risk_or_limitation FROM judged""",
+  idea_core AS theory_explanation_zh, transferable_mechanism AS recommendation_zh, coalesce(fit_reason, '') AS fit_reason, risk_or_limitation FROM judged""",
 )
 def _(spark, sf):
-    return ranking.portal_ready(_judged(spark, sf)).select("doc_id", "final_score", "theory_novelty", "submission_value", "theory_analysis_zh_md", "recommendation_zh", "fit_reason", "risk_or_limitation")
+    return ranking.portal_ready(_judged(spark, sf)).select("doc_id", "final_score", "theory_novelty", "submission_value", "theory_explanation_zh", "recommendation_zh", "fit_reason", "risk_or_limitation")
 
 
 @query("progress_priority", f"SELECT coalesce(p, 'UNKNOWN') AS priority, count(*) AS n FROM (SELECT nullif({_PRIORITY}, 'drop') AS p FROM documents) GROUP BY 1")
@@ -423,11 +467,23 @@ w AS (SELECT key, value FROM v UNION ALL SELECT key, value FROM one)
 SELECT key, round(avg(value), 4) AS avg, count(*) FILTER (value >= 7) AS high FROM w GROUP BY key""",
 )
 def _(spark, sf):
-    flat = F.create_map(F.concat(F.lit("extra_"), (F.col("id") % 3).cast("string")), (F.col("id") % 21 / 2.0).cast("double"))
-    return portal.dimension_stats_mixed(_articles(spark, sf).withColumn("flat", flat)).select("key", F.round("avg", 4).alias("avg"), "high")
+    flat = F.create_map(F.concat(F.lit("score_extra_"), (F.col("id") % 3).cast("string")), (F.col("id") % 21 / 2.0).cast("double"))
+    return portal.dimension_stats(_articles(spark, sf).withColumn("raw_json", F.to_json(flat))).select("key", F.round("avg", 4).alias("avg"), "high")
+
+
+@query(
+    "dimension_stats_nulls",
+    f"""WITH {_ARTICLES}, v AS ({_LONG}), w AS (SELECT key, CASE WHEN id % 4 = 0 THEN 0 ELSE value END AS value FROM v WHERE id % 5 <> 0)
+SELECT key, round(avg(value), 4) AS avg, count(*) FILTER (value >= 7) AS high FROM w GROUP BY key""",
+)
+def _(spark, sf):
+    # every fourth score is null and counts as 0, every fifth is no number and counts for nothing
+    found = _articles(spark, sf).withColumn("m", F.from_json("scores_json", "map<string,double>"))
+    odd = F.transform_values("m", lambda k, v: F.when(F.col("id") % 5 == 0, "n/a").when(F.col("id") % 4 != 0, v.cast("string")))
+    return portal.dimension_stats(found.withColumn("scores_json", F.to_json(odd, {"ignoreNullFields": "false"})).drop("raw_json")).select("key", F.round("avg", 4).alias("avg"), "high")
 
 
-_SEARCH_BLOB = "lower(concat_ws(' ', " + ", ".join(f"nullif({c}, '')" for c in (*portal.SEARCHED, "profile_name", "url")) + "))"
+_SEARCH_BLOB = "lower(concat_ws(' ', " + ", ".join(f"nullif({c}, '')" for c in (c for c in portal.SEARCHED if c not in ("theory_bucket", "theory_family"))).replace("nullif(year, '')", "nullif(year, 0)").replace("raw_url", "url") + "))"
 
 
 @query("portal_search", f"WITH {_ARTICLES} SELECT {', '.join(_LISTED)} FROM articles WHERE contains({_SEARCH_BLOB}, 'ingthe') ORDER BY rank_score DESC, id LIMIT 100")
@@ -455,14 +511,17 @@ def _(spark, sf):
 @query(
     "score_items",
     f"""WITH {_ARTICLES}, f AS (
-  SELECT id, 0 AS place, 'Rank Score' AS label, rank_score AS value FROM articles UNION ALL
-  SELECT id, 1, 'Overall Fit', score_overall_fit FROM articles UNION ALL
-  SELECT id, 2, 'Theory Novelty', score_theory_novelty FROM articles UNION ALL
-  {" UNION ALL ".join(f"SELECT id, {3 + i}, '{k.replace('_', ' ').title()}', score_{k} FROM articles" for i, k in enumerate(sorted(DIMENSIONS)))})
+  SELECT id, 0 AS place, 'Rank score' AS label, rank_score AS value FROM articles UNION ALL
+  SELECT id, 1, 'Overall fit', score_overall_fit FROM articles UNION ALL
+  SELECT id, 2, 'Theory novelty', score_theory_novelty FROM articles UNION ALL
+  {" UNION ALL ".join(f"SELECT id, {3 + i}, '{k.replace('_', ' ').title()}', score_{k} FROM articles" for i, k in enumerate(sorted(DIMENSIONS)))} UNION ALL
+  SELECT id, {3 + len(DIMENSIONS)}, 'Novelty Of Late', (id % 9)::DOUBLE FROM articles)
 SELECT id, place::INTEGER AS place, label, value FROM f""",
 )
 def _(spark, sf):
-    return portal.score_items(_articles(spark, sf))
+    # a flat score whose label the map has is left out, another is added
+    flat = F.create_map(F.lit("score_feasibility"), F.lit(1.0), F.lit("score_overall_fit"), F.lit(2.0), F.lit("score_novelty_of_late"), (F.col("id") % 9).cast("double"))
+    return portal.score_items(_articles(spark, sf).withColumn("raw_json", F.to_json(flat)))
 
 
 @query("count_papers", "SELECT count(*) AS n FROM documents")
@@ -470,9 +529,9 @@ def _(spark, sf):
     return table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("done_keys", "SELECT DISTINCT doc_id FROM labels")
+@query("done_keys", "SELECT DISTINCT 'id::' || doc_id AS paper_key FROM labels")
 def _(spark, sf):
-    return table(spark, sf, "labels").select("doc_id").distinct()
+    return runner.done_keys(table(spark, sf, "labels").select(F.col("doc_id").alias("id")))
 
 
 @query(
@@ -484,6 +543,6 @@ def _(spark, sf):
 def _(spark, sf):
     # two batches arrive in turn; the second skips keys of the first
     docs = table(spark, sf, "documents").select("doc_id", "source", F.sha1("text").alias("paper_key"))
-    first = rules.first_wins(docs.filter("doc_id % 2 = 0"), "paper_key", "doc_id")
-    second = rules.first_wins(docs.filter("doc_id % 2 = 1"), "paper_key", "doc_id").join(first.select("paper_key"), "paper_key", "left_anti")
+    first = runner.pending(docs.filter("doc_id % 2 = 0"), None)
+    second = runner.pending(docs.filter("doc_id % 2 = 1"), first)
     return first.select("doc_id", "source").unionByName(second.select("doc_id", "source"))

@@ -78,7 +78,7 @@ def from_mapping(data: dict, default_name: str = "profile") -> Profile:
         if isinstance(d, str):
             dims.append(Dimension(d, d))
         else:
-            dims.append(Dimension(str(d["key"]), str(d.get("description", "")), float(d.get("weight", 1.0))))
+            dims.append(Dimension(str(d["key"]), str(d.get("description", d["key"])), float(d.get("weight", 1.0))))
     return Profile(
         name=str(data.get("name") or default_name),
         description=str(data.get("description") or ""),

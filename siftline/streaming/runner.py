@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,19 +47,72 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
 
 @dataclass
 class Batch:
+    """What a round brought; ``auth`` and ``quota``: whether any of its failures is of that class."""
+
     added: int
     failed: int
-    errors: list[str]
+    auth: bool
+    quota: bool
+
+
+def done_keys(output: DataFrame) -> DataFrame:
+    """Distinct paper keys of judged papers."""
+    return keyed(output).select("paper_key").distinct()
+
+
+def selected(papers: DataFrame, years: Sequence[int] = (), top_k: int = 0, order: str = "doc_id") -> DataFrame:
+    """What is to be judged: rows of the given years, of these the first ``top_k``."""
+    return head(rules.in_years(papers, years), top_k, order)
 
 
-def run_batch(papers: DataFrame, profile: Profile, scorer: judge.Scorer, output: str, failures: str, size: int, order: str = "doc_id", parallel: int = 4, **ask) -> Batch:
+def _path(spark: SparkSession, name: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def _record(answers: str, spark: SparkSession, profile: Profile, output: str, failures: str, model: str, once: bool = True) -> Batch:
+    """Split a round's answers into results and failures, append both, and drop the answers.
+
+    ``once``: answers whose papers are in the output already are not appended again, as after a
+    crash between the two.
+    """
+    result = judge.judged(spark.read.parquet(answers), profile, model)
+    done = _read(spark, output) if once else None
+    if done is not None:
+        result = result.join(done.select("paper_key").distinct(), "paper_key", "left_anti").select(*result.columns)
+    good, bad = result.filter("error IS NULL"), result.filter("error IS NOT NULL")
+    kind = errors.classify(F.col("error"))
+    counts = result.agg(F.count_if(F.col("error").isNull()), F.count_if(F.col("error").isNotNull()), F.coalesce(F.max(kind == "auth"), F.lit(False)), F.coalesce(F.max(kind == "quota"), F.lit(False))).first()
+    lost = bad.withColumns({"failure_reason": F.col("error"), "failure_ts": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")})
+    lost.select("paper_key", "failure_reason", "failure_ts").write.mode("append").parquet(f"{failures}/rows")
+    good.drop("prompt", "reply", "error").write.mode("append").parquet(output)
+    fs, path = _path(spark, answers)
+    fs.delete(path, True)
+    return Batch(counts[0], counts[1], bool(counts[2]), bool(counts[3]))
+
+
+def replay(spark: SparkSession, profile: Profile, output: str, failures: str, model: str = "") -> int:
+    """Record answers that an interrupted run has paid for but not recorded; how many were good."""
+    fs, path = _path(spark, f"{failures}/_answers")
+    added = 0
+    for found in fs.listStatus(path) if fs.exists(path) else []:
+        name = found.getPath().toString()
+        if fs.exists(_path(spark, f"{name}/_SUCCESS")[1]):
+            added += _record(name, spark, profile, output, failures, model).added
+        else:
+            fs.delete(found.getPath(), True)
+    return added
+
+
+def run_batch(papers: DataFrame, profile: Profile, scorer: judge.Scorer, output: str, failures: str, size: int, order: str = "doc_id", parallel: int = 4, resume: bool = True, model: str = "", abstract_chars: int = judge.ABSTRACT_CHARS, **ask) -> Batch:
     """Judge the next ``size`` pending papers and append results and failures.
 
     The judge's answers are written once to the failures' neighbour folder before they are split,
-    so that two sinks do not make two calls.
+    so that two sinks do not make two calls.  Without ``resume`` done papers are judged again.
     """
     spark = papers.sparkSession
-    todo = pending(papers, _read(spark, output), order)
+    replay(spark, profile, output, failures, model)
+    todo = pending(papers, _read(spark, output) if resume else None, order)
     if size > 0:
         # papers that failed before come after those that have not been tried
         lost = _read(spark, f"{failures}/rows")
@@ -68,18 +121,10 @@ def run_batch(papers: DataFrame, profile: Profile, scorer: judge.Scorer, output:
             todo = todo.join(lost.groupBy("paper_key").agg(F.count(F.lit(1)).alias("_failures")), "paper_key", "left")
             turn = [F.coalesce("_failures", F.lit(0)).asc(), *turn]
         todo = todo.orderBy(*turn).limit(size).drop("_failures")
-    asked = judge.ask(judge.prompts(todo, profile).repartition(parallel), scorer, **ask)
+    asked = judge.ask(judge.prompts(todo, profile, abstract_chars).repartition(parallel), scorer, **ask)
     answers = f"{failures}/_answers/{time.time_ns()}"
     asked.write.parquet(answers)
-    result = judge.judged(spark.read.parquet(answers), profile)
-    good, bad = result.filter("error IS NULL"), result.filter("error IS NOT NULL")
-    good.drop("prompt", "reply", "error").write.mode("append").parquet(output)
-    lost = bad.select("paper_key", F.col("error").alias("failure_reason"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("failure_ts"))
-    lost.write.mode("append").parquet(f"{failures}/rows")
-    counts = result.agg(F.count_if(F.col("error").isNull()), F.count_if(F.col("error").isNotNull())).first()
-    # a batch is bounded by its size, and a reason by its length
-    reasons = [r[0] for r in bad.select("error").limit(20).collect()]
-    return Batch(counts[0], counts[1], reasons)
+    return _record(answers, spark, profile, output, failures, model, once=resume)
 
 
 def run_until(
@@ -103,9 +148,11 @@ def run_until(
     run with code 2, a quota is waited for long, anything else shorter.
     """
     spark = papers.sparkSession
+    replay(spark, profile, output, failures, kwargs.get("model", ""))
     target = papers.select("paper_key").distinct().count()
     done = _read(spark, output)
-    have = done.select("paper_key").distinct().count() if done is not None else 0
+    # of the papers that are wanted: others in the output do not count
+    have = papers.select("paper_key").distinct().join(done.select("paper_key").distinct(), "paper_key", "left_semi").count() if done is not None else 0
     added = rounds = 0
     while have < target and (not max_new or added < max_new) and (not max_rounds or rounds < max_rounds):
         size = min(batch_size, max_new - added) if max_new else batch_size
@@ -116,10 +163,9 @@ def run_until(
         if got.added:
             sleep(sleep_between)
             continue
-        kinds = {errors.classify_text(e) for e in got.errors}
-        if "auth" in kinds:
+        if got.auth:
             return AUTH_FAILED
-        sleep(sleep_on_quota if "quota" in kinds else sleep_on_error)
+        sleep(sleep_on_quota if got.quota else sleep_on_error)
     return OK
 
 
@@ -129,8 +175,9 @@ def resume_stream(source: DataFrame, output: str, checkpoint: str, keep: Callabl
     State holds the keys; the checkpoint makes a second run add nothing.
     """
 
-    def append(batch: DataFrame, _: int) -> None:
-        keep(batch).write.mode("append").parquet(output)
+    def append(batch: DataFrame, number: int) -> None:
+        # a batch that is tried again replaces its own rows
+        keep(batch).write.mode("overwrite").parquet(f"{output}/batch={number}")
 
     query = source.dropDuplicates(["paper_key"]).writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()

@@ -34,7 +34,7 @@ def reply(prompt: str) -> str:
         raise RuntimeError("quota exceeded")
     if "mute" in title:
         return "nothing to say"
-    return "Well {: " + json.dumps({"is_suitable": "false", "priority": " KEEP ", "idea_core": "an\n idea", "title": "other", "score_overall_fit": "8", "score_theory_novelty": 7, "scores": {"use": 8}, "score_plain": 99})
+    return "Well {: " + json.dumps({"is_suitable": "false", "priority": " KEEP ", "idea_core": "an\n idea", "title": "other", "score_overall_fit": "8", "score_theory_novelty": 7, "scores": {"use": 8}, "plain": 99})
 
 
 def papers(spark, titles):
@@ -58,6 +58,12 @@ def test_prompt_fields(spark):
     fields = judge.prompt_paper(df.columns)
     row = df.select(*(c.alias(n) for n, c in fields.items())).first()
     assert len(row.title) == 654 and row.title.endswith(" ...") and (row.url, row.rule_score, row.venue) == ("p", 2.5, "")
+    assert row.rule_positive_hits == [] == row.rule_negative_hits
+    df = spark.createDataFrame([([], ["a"], ["b"])], "rule_positive_hits array<string>, theory_family_hits array<string>, rule_negative_hits array<string>")
+    fields = judge.prompt_paper(df.columns)
+    row = df.select(*(c.alias(n) for n, c in fields.items())).first()
+    assert (row.rule_positive_hits, row.rule_negative_hits) == (["a"], ["b"])
+    assert judge.BANDS in judge.prompts(df, PROFILE).first().prompt
 
 
 def test_command_scorer():
@@ -94,7 +100,42 @@ def test_run_until_stops_on_auth_and_budget(spark, tmp_path):
     assert runner.run_until(papers(spark, ["a"]), PROFILE, locked, str(tmp_path / "o"), str(tmp_path / "f"), **args) == runner.AUTH_FAILED
     out = str(tmp_path / "o2")
     runner.run_until(papers(spark, ["bad", "b", "c", "d"]), PROFILE, reply, out, str(tmp_path / "f2"), batch_size=4, max_new=2, max_rounds=3, **args)
-    assert spark.read.parquet(out).count() >= 2
+    assert spark.read.parquet(out).count() == 2
+
+
+def test_auth_among_many_failures_ends_the_run(spark, tmp_path):
+    def mostly(prompt):
+        raise RuntimeError("token_revoked" if '"t39"' in prompt else "boom")
+
+    todo = runner.keyed(spark.createDataFrame([(i, f"t{i}", "", "V", 2020, f"u{i}") for i in range(40)], "doc_id long, title string, abstract string, venue string, year int, url string"))
+    assert runner.run_until(todo, PROFILE, mostly, str(tmp_path / "o"), str(tmp_path / "f"), sleep=lambda _: None, retry_sleep=0) == runner.AUTH_FAILED
+
+
+def test_paid_answers_are_replayed(spark, tmp_path):
+    out, bad = str(tmp_path / "o"), str(tmp_path / "f")
+    todo = papers(spark, ["a", "b", "mute"])
+    judge.ask(judge.prompts(todo, PROFILE), reply, retry_sleep=0).write.parquet(f"{bad}/_answers/1")
+    spark.range(1).write.parquet(f"{bad}/_answers/2")
+    (tmp_path / "f" / "_answers" / "2" / "_SUCCESS").unlink()
+    calls = []
+
+    def counted(prompt):
+        calls.append(prompt)
+        return reply(prompt)
+
+    assert runner.replay(spark, PROFILE, out, bad) == 2 and not list((tmp_path / "f" / "_answers").glob("[0-9]*"))
+    assert runner.replay(spark, PROFILE, out, bad) == 0
+    runner.run_batch(todo.filter("title <> 'mute'"), PROFILE, counted, out, bad, 0)
+    assert not calls and sorted(r.title for r in spark.read.parquet(out).collect()) == ["a", "b"]
+    got = runner.run_batch(todo.filter("title = 'a'"), PROFILE, reply, out, bad, 0, resume=False, model="m")
+    assert got.added == 1 and spark.read.parquet(out).filter("title = 'a'").count() == 2
+    assert spark.read.parquet(out).filter("idea_score_model = 'm' AND idea_score_ts IS NOT NULL").count() == 1
+
+
+def test_selected(spark):
+    rows = spark.createDataFrame([(3, "2020"), (1, "2021"), (2, "2020"), (0, "x")], "doc_id long, year string")
+    assert [r.doc_id for r in runner.selected(rows, [2020], 1).collect()] == [2]
+    assert runner.selected(rows).count() == 4
 
 
 def test_stream_resumes(spark, tmp_path):
@@ -147,15 +188,37 @@ def test_portal(spark):
     assert portal.detail(found, 9).count() == 0
     assert tuple(portal.home(found).first()) == (2, 1, 4.25, 5.5)
     assert [(r.label, r.avg, r.high) for r in portal.dimension_stats(found).collect()] == [("A B", 8.0, 1)]
-    assert [(r.place, r.label) for r in portal.score_items(found.filter("id = 1")).collect()] == [(0, "Rank Score"), (1, "Overall Fit"), (2, "Theory Novelty"), (3, "A B")]
+    assert json.loads(found.filter("id = 1").first().raw_json)["abstract"] is None
+    assert [(r.place, r.label) for r in portal.score_items(found.filter("id = 1")).collect()] == [(0, "Rank score"), (1, "Overall fit"), (2, "Theory novelty"), (3, "A B")]
     with pytest.raises(ValueError):
         portal.search(found, limit=0)
 
 
 def test_flat_dimensions_count_in_their_first_article_only(spark):
-    rows = [(1, '{"x":2.0}', {"y": 4.0}), (2, "{}", {"y": 10.0, "x": 9.0}), (3, '{"y":6.0}', {})]
-    found = spark.createDataFrame(rows, "id long, scores_json string, flat map<string,double>")
-    assert {r.key: (r.avg, r.high) for r in portal.dimension_stats_mixed(found).collect()} == {"x": (2.0, 0), "y": (5.0, 0)}
+    rows = [(1, '{"x":2.0}', '{"score_y": 4.0, "score_overall_fit": 9, "other": 9}'), (2, "{}", '{"score_y": 10.0, "score_x": 9.0}'), (3, '{"y":6.0, "z": null}', "{}"), (4, '{"z":"bad", "x": 2}', None)]
+    found = spark.createDataFrame(rows, "id long, scores_json string, raw_json string")
+    got = portal.dimension_stats(found).collect()
+    assert [(r.key, r.label, r.avg, r.high) for r in got] == [("y", "Y", 5.0, 0), ("x", "X", 2.0, 0), ("z", "Z", 0.0, 0)]
+
+
+def test_score_items_of_a_record(spark):
+    rows = [(1, None, 5.0, 6.0, '{"b_c":"7.5","a":null,"d":"bad"}', '{"rank_score": 3, "score_B_c": 1, "score_new": "2", "score_theory_novelty": 8, "score_odd": {}}')]
+    found = spark.createDataFrame(rows, "id long, rank_score double, score_overall_fit double, score_theory_novelty double, scores_json string, raw_json string")
+    got = [(r.label, r.value) for r in portal.score_items(found).orderBy("place").collect()]
+    assert got == [("Rank score", 3.0), ("Overall fit", 5.0), ("Theory novelty", 6.0), ("A", 0.0), ("B C", 7.5), ("D", 0.0), ("New", 2.0), ("Odd", 0.0)]
+
+
+def test_search_reads_the_record(spark):
+    rows = spark.createDataFrame([(0, "T", 2021, "", "http://pdf", "Fam", "me"), (1, "U", 0, "http://u", None, None, None)], "doc_id long, title string, year int, url string, pdf_url string, theory_family string, authors string")
+    found = portal.articles(rows)
+    ask = lambda q: [r.id for r in portal.search(found, q=q).collect()]
+    assert (ask("fam"), ask("2021"), ask("pdf"), ask("//u"), ask("me")) == ([1], [1], [], [2], [])
+
+
+def test_numbered(spark):
+    rows = spark.createDataFrame([(i * 7 % 101, f"t{i}") for i in range(101)], "k long, title string").repartition(5)
+    got = portal.numbered(rows, "k").orderBy("k").collect()
+    assert [r.ordinal for r in got] == list(range(101))
 
 
 def test_export_and_progress(spark):

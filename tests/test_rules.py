@@ -29,11 +29,11 @@ def papers(spark):
 
 def test_scores_and_hits(papers):
     got = {r.doc_id: r for r in rules.score(papers, POSITIVE, NEGATIVE).collect()}
-    assert (got[0].rule_positive_score, got[0].rule_negative_score, got[0].rule_score) == (4.0, 0.0, 4.0)
+    assert (got[0].rule_positive_score, got[0].rule_negative_score, got[0].rule_score) == (3.5, 0.0, 3.5)
     assert got[0].rule_positive_hits == [" Subspace ", "editing", "representation learning"]
     assert (got[1].rule_negative_score, got[1].rule_score) == (2.5, -3.125)
     # a phrase may straddle the fields' border
-    assert (got[2].rule_score, got[2].rule_positive_hits) == (1.0, ["flow matching"])
+    assert (got[2].rule_score, got[2].rule_positive_hits) == (1.5, ["flow matching"])
     assert (got[3].rule_score, got[3].rule_positive_hits) == (0.0, [])
 
 
@@ -50,10 +50,21 @@ def test_first_wins_and_split(papers):
     assert [r.doc_id for r in rules.kept(unique).collect()] == [0, 4, 2]
     assert [(r.doc_id, r.part) for r in rules.rejected(unique, target_total=2).orderBy("doc_id").collect()] == [(1, "below"), (2, "overflow")]
     assert rules.summary(unique, "p", target_total=2).first() == ("p", 2, 2)
+    # a cap beyond all rows, nothing that passes, titles that are null
+    assert [r.doc_id for r in rules.rejected(unique, target_total=9).collect()] == [1]
+    assert sorted((r.doc_id, r.part) for r in rules.rejected(unique, min_score=99.0, target_total=1).collect()) == [(i, "below") for i in (0, 1, 2, 4)]
+    nulls = scored.withColumn("title", F.when(F.col("doc_id") > 2, F.col("title")))
+    assert sorted((r.doc_id, r.part) for r in rules.rejected(nulls, min_score=0.0, target_total=3).collect()) == [(1, "below"), (3, "overflow")]
     assert [r.place for r in rules.ranked(unique, 10).orderBy("place").collect()] == [1, 2, 3]
     assert {r.venue_year: r.n for r in rules.venue_years(unique).collect()} == {"V::2026": 2, "V::2025": 1, "None::2025.0": 1}
 
 
+def test_text_is_worked_out_once(papers):
+    for frame in (rules.kept(rules.score(papers, POSITIVE, NEGATIVE), 1.0, 2), rules.keyword_counts(papers, POSITIVE)):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("regexp_replace") == 3
+
+
 def test_keyword_counts(papers):
     got = {r.keyword: r.n_papers for r in rules.keyword_counts(papers, ["art", "editing", "none of these"]).collect()}
     assert got == {"art": 1, "editing": 2}
