@@ -112,3 +112,24 @@ def test_packing(stages):
 
 def test_run(spark, stages):
     assert corpus_pipeline.run(spark, SF).count() == stages["packing"][1].count()
+
+
+def test_stages_on_odd_and_empty_tables(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, _text string"
+    rows = [(1, "The end of it.", "en", "a", 14, "x", "y"), (1, "The end of it.", "en", "a", 14, "x", "y"), (2, None, None, None, None, None, None), (None, "", "en", None, 0, "x", "y"), (None, "12 34", "en", "a", 5, None, None)]
+    rows += [(4, " ".join(f"w{i}" for i in range(60_000)), None, "b", 9, "x", "y"), (5, " \n\t ", "en", "a", 5, "x", "y")]
+    for given, most in ((rows, 7), ([], 0)):
+        for name, stage in corpus_pipeline.STAGES:
+            docs = spark.createDataFrame(given, schema)
+            got = stage(spark, docs, SF)
+            if name != "packing":
+                # columns of operators' own names that clash with the table's are replaced or carried, and none is lost
+                assert set(COLUMNS) <= set(got.columns)
+            found = got.collect()
+            if name == "language":
+                assert all(r.text and any(map(str.isalpha, r.text)) for r in found)
+            elif name == "near_duplicates" and given:
+                assert Counter((r.doc_id, r.text) for r in found) == Counter({(r[0], r[1]): 1 for r in rows})
+            elif name == "packing":
+                assert sum(r.length for r in found if r.doc_id == 1) == 2 * next((r.doc_tokens for r in found if r.doc_id == 1), 0)
+            assert name in ("mixing", "packing") or len(found) <= most
