@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from siftline.llm import common, cotrain, langid, mixing, neardup, packing, registry, wordtok
 
-#: Least pooled probability of the predicted language: very short texts stay in doubt, and stay.
+#: Least pooled probability of the predicted language.  Of 3,409 labelled clean documents (sf0.1) the
+#: lowest is at 0.3006; 0.5 would reject four of them, texts of a word or two.
 LANGUAGE_SCORE = 0.3
 
 
