@@ -152,7 +152,8 @@ def _rarest(entries: DataFrame, least: Column, whole: Column) -> DataFrame:
     ``entries``: (node, n, held, value), ``held`` values for each node.  ``whole``: a node and
     all its possible partners have all their shingles here; else ``most`` is the node's size.
     """
-    shared = entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    # written, so that the join has a plain shuffle on either side, of which Spark can split a hot value's part
+    shared = common.materialize(entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"), "neardup-shared")
     held = entries.join(shared, "value").groupBy("node", "n", "held").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("common"), F.sum("df").alias("weight"))
     # values that no other node has are the rarest, and use up places of the prefix
     places = F.col("held") - least + 1 - (F.col("held") - F.size("common"))
@@ -189,6 +190,7 @@ def mixed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The entries of lists with more than one component: value, node, n, most, label, size."""
     placed = lists.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = placed.groupBy("value").agg(F.min("label").alias("l"), F.max("label").alias("h"), F.count(F.lit(1)).alias("size")).filter("l < h").select("value", "size")
+    mixed = common.materialize(mixed, "neardup-mixed-values")
     return placed.join(mixed, "value").select("value", "node", "n", "most", "label", "size")
 
 
