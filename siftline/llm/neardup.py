@@ -182,6 +182,7 @@ def leader_pairs(lists: DataFrame) -> DataFrame:
     ends = lists.groupBy("value").agg(F.max(F.struct("weight", "node", "n", "most")).alias("w"), F.min(F.struct("n", "node", "most")).alias("s"), F.count(F.lit(1)).alias("size")).filter("size > 1")
     leaders = ends.select("value", F.explode(F.array(*(F.struct(*(F.col(f"{e}.{c}") for c in ("node", "n", "most"))) for e in "ws"))).alias("e"))
     leaders = leaders.select("value", F.col("e.node").alias("other"), F.col("e.n").alias("m"), F.col("e.most").alias("most_other")).distinct()
+    leaders = common.materialize(leaders, "neardup-leaders")
     pairs = lists.join(leaders, "value").filter((F.col("node") != F.col("other")) & _possible())
     return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
