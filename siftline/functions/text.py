@@ -66,7 +66,9 @@ def truthy_text(c: Column) -> Column:
 
 def paper_key(columns: Sequence[str], title: Column, venue: Column, year: Column) -> Column:
     """``field::value`` of the first filled identity field, else a digest of title, venue, year."""
-    fields = [F.when(F.col(f).isNotNull() & (F.col(f).cast("string") != "") & (F.col(f).cast("string") != "0"), F.concat(F.lit(f"{f}::"), F.col(f).cast("string"))) for f in KEY_FIELDS if f in columns]
+    # the number 0 is no identity, the text "0" is one
+    given = lambda f: F.col(f).isNotNull() & (F.col(f).cast("string") != "") & ((F.typeof(F.col(f)) == "string") | (F.col(f).cast("string") != "0"))
+    fields = [F.when(given(f), F.concat(F.lit(f"{f}::"), F.col(f).cast("string"))) for f in KEY_FIELDS if f in columns]
     text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
     digest = F.concat(F.lit("sha1::"), F.sha1(F.concat_ws("::", text(title), text(venue), text(year))))
     return F.coalesce(*fields, digest)

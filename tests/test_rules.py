@@ -65,6 +65,12 @@ def test_text_is_worked_out_once(papers):
         assert plan.count("regexp_replace") == 3
 
 
+def test_zero_as_identity(spark):
+    row = spark.createDataFrame([("0", 0, "u")], "id string, paper_id int, url string")
+    assert row.select(tx.paper_key(row.columns, F.lit("t"), F.lit("v"), F.lit(1))).first()[0] == "id::0"
+    assert row.drop("id").select(tx.paper_key(["paper_id", "url"], F.lit("t"), F.lit("v"), F.lit(1))).first()[0] == "url::u"
+
+
 def test_keyword_counts(papers):
     got = {r.keyword: r.n_papers for r in rules.keyword_counts(papers, ["art", "editing", "none of these"]).collect()}
     assert got == {"art": 1, "editing": 2}
