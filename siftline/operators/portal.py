@@ -34,6 +34,8 @@ FIXED_ITEMS = (("Rank score", "rank_score"), ("Overall fit", "score_overall_fit"
 GLOBAL = ("score_overall_fit", "score_theory_novelty")
 SORTS = {"rank_score": "rank_score", "overall": "score_overall_fit", "novelty": "score_theory_novelty", "year": "year"}
 HIGH = 7.0
+#: Stands for an empty field on a page.
+NOTHING = "N/A"
 MOST_LISTED = 1000
 
 
@@ -92,6 +94,26 @@ def detail(found: DataFrame, id: int) -> DataFrame:
     return found.filter(F.col("id") == id).limit(1)
 
 
+def shown(found: DataFrame) -> DataFrame:
+    """What the pages show of each article: a stand-in for every empty field, scores with two digits.
+
+    Scores are rounded half up on their decimal text, as everywhere here.
+    """
+    text = lambda names, empty: tx.first_text(*(F.col(n).cast("string") for n in names), F.lit(empty))
+    score = lambda n: F.format_string("%.2f", F.coalesce(F.col(n), F.lit(0.0)))
+    return found.select(
+        "id",
+        *(text((n,), NOTHING).alias(n) for n in ("authors", "venue", "idea_core", "transferable_mechanism", "fit_reason", "risk_or_limitation")),
+        F.when(F.coalesce(F.col("year"), F.lit(0)) != 0, F.col("year").cast("string")).otherwise(NOTHING).alias("year"),
+        text(("priority",), "maybe").alias("priority"),
+        text(("profile_name",), "profile").alias("profile_name"),
+        text(("abstract",), "No abstract available.").alias("abstract"),
+        text(("idea_core", "transferable_mechanism"), "No idea summary available.").alias("summary"),
+        score("rank_score").alias("rank"),
+        score("score_overall_fit").alias("overall"),
+    )
+
+
 def home(found: DataFrame) -> DataFrame:
     """One row: articles, those to keep, mean and highest rank score."""
     return found.agg(

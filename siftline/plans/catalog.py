@@ -17,6 +17,7 @@ from siftline.functions import errors, scores
 from siftline.functions import text as tx
 from siftline import profile
 from siftline.operators import judge, portal, ranking, rules
+from siftline.sources import jsonl
 from siftline.sources.tables import TITLE_CHARS, papers, table
 from siftline.streaming import runner
 
@@ -280,9 +281,6 @@ def _(spark, sf):
     return found.select("doc_id", F.try_variant_get("v", "$.fit", "bigint").alias("fit"), F.try_variant_get("v", "$.note", "string").alias("note"))
 
 
-_RAW_SCORE = "CASE doc_id % 6 WHEN 0 THEN '12.5' WHEN 1 THEN '-3' WHEN 2 THEN '8/10' WHEN 3 THEN NULL WHEN 4 THEN '7.25' ELSE 'nan' END"
-
-
 @query(
     "clamp_scores",
     "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 0.0 ELSE least(10.0, greatest(0.0, n_chars / 500.0 - 3)) END::DOUBLE AS score FROM documents",
@@ -300,10 +298,14 @@ def _(spark, sf):
 
 @query(
     "truthy_flag",
-    "SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true WHEN 3 THEN false WHEN 4 THEN false WHEN 5 THEN true ELSE false END AS is_suitable FROM documents",
+    """SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN n_chars % 3 <> 0 WHEN 1 THEN n_chars % 2 = 1 WHEN 2 THEN n_chars % 2 = 0 WHEN 3 THEN coalesce(source <> '', false) ELSE false END AS is_suitable
+FROM documents""",
 )
 def _(spark, sf):
-    raw = F.element_at(F.array(*(F.lit(x) for x in ("true", "false", '"false"', '""', "0", "2.5", None))), (F.col("doc_id") % 7 + 1).cast("int"))
+    # a number, a string of one character or none, true or false, the source as a string, null
+    n = F.col("n_chars")
+    raw = F.when(F.col("doc_id") % 5 == 0, (n % 3).cast("string")).when(F.col("doc_id") % 5 == 1, F.when(n % 2 == 1, '"x"').otherwise('""'))
+    raw = raw.when(F.col("doc_id") % 5 == 2, (n % 2 == 0).cast("string")).when(F.col("doc_id") % 5 == 3, F.concat(F.lit('"'), "source", F.lit('"'))).otherwise("null")
     return table(spark, sf, "documents").select("doc_id", tx.truthy_text(raw).alias("is_suitable"))
 
 
@@ -324,13 +326,19 @@ def _(spark, sf):
     return rows.select("doc_id", *(F.col("scores")[k].alias(f"score_{k}") for k in DIMENSIONS))
 
 
-_MESSAGES = ("HTTP 401 Unauthorized; quota", "Rate limit reached", "Too Many Requests", "segmentation fault", "please log in again", "try again later", "")
-_CLASSES = ("auth", "quota", "quota", "other", "auth", "quota", "other")
+_NEEDLES = (*errors.AUTH, *errors.QUOTA, "segmentation fault", "401", "unauthorized")
+_MESSAGE_SQL = f"lower(coalesce(substr(text, 1, 40), '') || ' ' || CASE doc_id % {len(_NEEDLES)} {' '.join(f"WHEN {i} THEN '{n}'" for i, n in enumerate(_NEEDLES))} END || CASE WHEN n_chars % 2 = 0 THEN '; Rate Limit' ELSE '' END)"
+
 
+def _any_sql(needles: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(m, '{n}')" for n in needles) + ")"
 
-@query("error_classify", "SELECT doc_id, CASE doc_id % 7 " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(_CLASSES)) + " END AS error_class FROM documents")
+
+@query("error_classify", f"WITH t AS (SELECT doc_id, {_MESSAGE_SQL} AS m FROM documents) SELECT doc_id, CASE WHEN {_any_sql(errors.AUTH)} THEN 'auth' WHEN {_any_sql(errors.QUOTA)} THEN 'quota' ELSE 'other' END AS error_class FROM t")
 def _(spark, sf):
-    text = F.element_at(F.array(*(F.lit(m) for m in _MESSAGES)), (F.col("doc_id") % 7 + 1).cast("int"))
+    # the start of a text, a needle of either class or what is none, and now and then a second one
+    needle = F.element_at(F.array(*(F.lit(n.title()) for n in _NEEDLES)), (F.col("doc_id") % len(_NEEDLES) + 1).cast("int"))
+    text = F.concat(F.coalesce(F.substring("text", 1, 40), F.lit("")), F.lit(" "), needle, F.when(F.col("n_chars") % 2 == 0, "; Rate Limit").otherwise(""))
     return table(spark, sf, "documents").select("doc_id", errors.classify(text).alias("error_class"))
 
 
@@ -373,6 +381,31 @@ def _(spark, sf):
     return runner.pending(todo, done).select("doc_id")
 
 
+@query(
+    "progress_position",
+    f"""WITH {_PAPERS} SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS position, count(*) OVER () AS total, doc_id % 700 % 3 = 0 AS skipped FROM papers WHERE year IN {YEARS}""",
+)
+def _(spark, sf):
+    # every third url is done; papers that share it are skipped, but have their places
+    rows = runner.keyed(papers(spark, sf))
+    return runner.positions(runner.selected(rows, YEARS), rows.filter("doc_id < 700 AND doc_id % 3 = 0")).select("doc_id", "position", "total", "skipped")
+
+
+@query(
+    "jsonl_lines",
+    """SELECT doc_id AS id, CASE doc_id % 5 WHEN 0 THEN 'bad' WHEN 1 THEN 'other' WHEN 2 THEN 'other' ELSE 'object' END AS kind,
+  CASE WHEN doc_id % 5 > 2 THEN source END AS title, CASE WHEN doc_id % 5 > 2 THEN n_chars END AS n FROM documents""",
+)
+def _(spark, sf):
+    # cut short, in an array, a bare number, whole
+    whole = F.to_json(F.struct(F.col("source").alias("title"), F.col("n_chars").alias("n")))
+    n = F.col("doc_id") % 5
+    raw = F.when(n == 0, F.substring(whole, F.lit(1), F.length(whole) - 1)).when(n == 1, F.concat(F.lit("["), whole, F.lit("]"))).when(n == 2, F.col("n_chars").cast("string")).otherwise(whole)
+    lines = table(spark, sf, "documents").select(F.lit("documents").alias("file"), F.lit(0).cast("long").alias("block"), F.col("doc_id").cast("long").alias("id"), raw.alias("raw"))
+    found = jsonl.checked(lines).withColumn("v", F.when(F.col("kind") == "object", F.try_parse_json("raw")))
+    return found.select("id", "kind", jsonl.field("title").alias("title"), jsonl.field("n", "bigint").alias("n"))
+
+
 # -- export and progress ------------------------------------------------------------------
 
 _EXPORT = ("doc_id", "title", "venue", "year", "priority", "rank_score", "score_overall_fit", "score_theory_novelty", *(f"score_{k}" for k in DIMENSIONS))
@@ -508,6 +541,16 @@ def _(spark, sf):
     return portal.detail(_articles(spark, sf), 42).select(*_ARTICLE)
 
 
+@query(
+    "portal_display",
+    f"""WITH {_ARTICLES} SELECT id, {", ".join(f"coalesce(nullif({c}, ''), 'N/A') AS {c}" for c in ("authors", "venue", "idea_core", "transferable_mechanism", "fit_reason", "risk_or_limitation"))},
+  year::VARCHAR AS year, priority, coalesce(nullif(profile_name, ''), 'profile') AS profile_name, coalesce(nullif(abstract, ''), 'No abstract available.') AS abstract,
+  idea_core AS summary, round(rank_score::DECIMAL(18, 4), 2)::DECIMAL(18, 2)::VARCHAR AS rank, round(score_overall_fit::DECIMAL(18, 4), 2)::DECIMAL(18, 2)::VARCHAR AS overall FROM articles""",
+)
+def _(spark, sf):
+    return portal.shown(_articles(spark, sf))
+
+
 @query(
     "score_items",
     f"""WITH {_ARTICLES}, f AS (

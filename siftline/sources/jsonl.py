@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-
 class MalformedLine(ValueError):
     """A line that is no JSON, in strict reading."""
 
@@ -24,7 +23,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-
 def _lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines in file order.
 
@@ -35,7 +33,9 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
     return text.filter(F.trim(F.regexp_replace("raw", r"[\s\x1c-\x1f\x85\p{Z}]+", " ")) != "")
 
 
-def _checked(lines: DataFrame) -> DataFrame:
+def checked(lines: DataFrame) -> DataFrame:
+    """Lines with ``kind`` (object, other or bad) and, of bad ones, what is wrong with them."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             kind, why = [], []
@@ -62,19 +62,19 @@ def read_strict(spark: SparkSession, path: str) -> DataFrame:
     """
     if not _exists(spark, path):
         return _finish(spark.createDataFrame([], "file string, block long, id long, raw string"))
-    checked = _checked(_lines(spark, path))
-    bad = checked.filter("kind = 'bad'").orderBy("file", "block", "id").select("file", "raw", "bad").first()
+    found = checked(_lines(spark, path))
+    bad = found.filter("kind = 'bad'").orderBy("file", "block", "id").select("file", "raw", "bad").first()
     if bad is not None:
         raise MalformedLine(f"{bad.file}: {bad.bad}: {bad.raw[:80]}")
-    return _finish(checked.filter("kind = 'object'"))
+    return _finish(found.filter("kind = 'object'"))
 
 
 def read_lenient(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(objects, malformed lines); a missing file is an error."""
     if not _exists(spark, path):
         raise FileNotFoundError(path)
-    checked = _checked(_lines(spark, path))
-    return _finish(checked.filter("kind = 'object'")), checked.filter("kind = 'bad'").select("file", "raw", "bad")
+    found = checked(_lines(spark, path))
+    return _finish(found.filter("kind = 'object'")), found.filter("kind = 'bad'").select("file", "raw", "bad")
 
 
 def count(spark: SparkSession, path: str) -> int:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from siftline.functions import errors
 from siftline.functions import text as tx
-from siftline.operators import judge, rules
+from siftline.operators import judge, portal, rules
 from siftline.profile import Profile
 
 OK, AUTH_FAILED = 0, 2
@@ -65,6 +65,17 @@ def selected(papers: DataFrame, years: Sequence[int] = (), top_k: int = 0, order
     return head(rules.in_years(papers, years), top_k, order)
 
 
+def positions(papers: DataFrame, done: DataFrame | None, order: str = "doc_id") -> DataFrame:
+    """``papers`` (with ``paper_key``) with ``position`` from 1 in input order, ``total`` and
+    ``skipped``: whether the paper is done.  All rows count, also those that are skipped."""
+    found = portal.numbered(papers, order, "_ordinal").withColumn("position", F.col("_ordinal") + 1).drop("_ordinal")
+    found = found.crossJoin(F.broadcast(papers.agg(F.count(F.lit(1)).alias("total"))))
+    if done is None:
+        return found.withColumn("skipped", F.lit(False))
+    keys = done.select("paper_key").distinct().withColumn("_done", F.lit(True))
+    return found.join(keys, "paper_key", "left").withColumn("skipped", F.col("_done").isNotNull()).drop("_done")
+
+
 def _path(spark: SparkSession, name: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(name)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path

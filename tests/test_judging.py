@@ -232,3 +232,25 @@ def test_export_and_progress(spark):
     assert ranking.portal_ready(rows).filter(F.col("final_score") == 1.0).count() == 2
     with pytest.raises(ValueError):
         ranking.export(rows, ["doc_id"], -1)
+
+
+def test_positions(spark):
+    papers = spark.createDataFrame([(3, "a"), (1, "b"), (2, "a")], "doc_id long, paper_key string")
+    done = spark.createDataFrame([("a",), ("a",), (None,)], "paper_key string")
+    rows = runner.positions(papers, done).orderBy("position").collect()
+    assert [(r.doc_id, r.position, r.total, r.skipped) for r in rows] == [(1, 1, 3, False), (2, 2, 3, True), (3, 3, 3, True)]
+    assert [r.skipped for r in runner.positions(papers, None).collect()] == [False] * 3
+    assert runner.positions(papers.limit(0), done).collect() == []
+
+
+def test_shown(spark):
+    rows = spark.createDataFrame([(1, None, ""), (2, "x", "y")], "doc_id long, venue string, transferable_mechanism string")
+    empty, full = portal.shown(portal.articles(rows)).orderBy("id").collect()
+    assert (empty.venue, empty.year, empty.priority, empty.profile_name, empty.rank) == ("N/A", "N/A", "maybe", "profile", "0.00")
+    assert (empty.abstract, empty.summary) == ("No abstract available.", "No idea summary available.")
+    assert (full.venue, full.idea_core, full.summary) == ("x", "N/A", "y")
+
+
+def test_checked_lines(spark):
+    lines = spark.createDataFrame([("f", 0, i, raw) for i, raw in enumerate(('{"a": 1}', "[]", "null", '{"a": 1}x', "{"))], "file string, block long, id long, raw string")
+    assert [r.kind for r in jsonl.checked(lines).orderBy("id").collect()] == ["object", "other", "other", "bad", "bad"]
