@@ -162,6 +162,37 @@ def import_portal(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def _rows(found: DataFrame) -> list[dict]:
+    return [r.asDict(recursive=True) for r in found.collect()]
+
+
+def portal_home(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Figures, strongest dimensions and top papers, as JSON."""
+    found = spark.table(a.table)
+    page = portal.home(found).first().asDict() | {"dimensions": _rows(portal.dimension_stats(found)), "top": _rows(portal.shown(portal.top_papers(found)))}
+    print(json.dumps(page, ensure_ascii=False, indent=2))
+    return 0
+
+
+def portal_articles(spark: SparkSession, a: argparse.Namespace) -> int:
+    """The found articles in order, a JSON line each; a page has 1,000 at most."""
+    for row in _rows(portal.shown(portal.search(spark.table(a.table), a.q, a.priority, a.sort, a.limit))):
+        print(json.dumps(row, ensure_ascii=False))
+    return 0
+
+
+def portal_article(spark: SparkSession, a: argparse.Namespace) -> int:
+    """One article with all its scores, as JSON; code 1 where there is none."""
+    found = portal.detail(spark.table(a.table), int(a.id))
+    page = portal.shown(found).first()
+    if page is None:
+        print(f"no article {a.id}", file=sys.stderr)
+        return 1
+    items = portal.score_items(found).orderBy("place").select("label", F.format_string("%.2f", "value").alias("value"))
+    print(json.dumps(page.asDict() | {"scores": _rows(items)}, ensure_ascii=False, indent=2))
+    return 0
+
+
 def parser() -> argparse.ArgumentParser:
     out = argparse.ArgumentParser(prog="siftline", description="Screen and rank papers against an interest profile.")
     commands = out.add_subparsers(dest="command", required=True)
@@ -188,6 +219,9 @@ def parser() -> argparse.ArgumentParser:
     command("portal-ready", portal_ready, "input", "output")
     command("progress", progress, "output", target_total=0)
     command("import", import_portal, "input", table="articles", append=False)
+    command("home", portal_home, table="articles")
+    command("articles", portal_articles, table="articles", q="", priority="", sort="rank_score", limit=100)
+    command("article", portal_article, "id", table="articles")
     return out
 
 

@@ -40,6 +40,13 @@ def summary_json(row: DataFrame) -> str:
 
 
 def import_articles(found: DataFrame, table: str, replace: bool = True) -> int:
-    """Write articles to a table sorted by rank within files, so that ranges of rank prune."""
+    """Write articles to a table sorted by rank within files, so that ranges of rank prune.
+
+    Without ``replace`` their ids go on from the highest that the table holds.
+    """
+    spark = found.sparkSession
+    if not replace and spark.catalog.tableExists(table):
+        last = spark.table(table).agg(F.coalesce(F.max("id"), F.lit(0)).alias("last")).first().last
+        found = found.withColumn("id", F.col("id") + F.lit(last))
     found.sortWithinPartitions(F.desc("rank_score")).write.mode("overwrite" if replace else "append").format("parquet").saveAsTable(table)
-    return found.sparkSession.table(table).count()
+    return spark.table(table).count()

@@ -65,7 +65,7 @@ def test_score_export_import(spark, files, capsys):
     assert capsys.readouterr().out.strip() == "done = 0"
 
 
-def test_import(spark, files):
+def test_import(spark, files, capsys):
     with (files / "in.jsonl").open("a") as f:
         f.write("no json\n")
     spark.sql("DROP TABLE IF EXISTS cli_articles")
@@ -73,5 +73,15 @@ def test_import(spark, files):
     got = {r.id: r for r in spark.table("cli_articles").collect()}
     assert sorted(got) == [1, 2, 3, 4] and got[4].url == "p4" and json.loads(got[1].raw_json)["extra"] == {"a": [1]}
     cli.main(["import", "--input", f"{files}/in.jsonl", "--table", "cli_articles", "--append"], spark)
-    assert spark.table("cli_articles").count() == 8
+    assert sorted(r.id for r in spark.table("cli_articles").select("id").collect()) == list(range(1, 9))
+    capsys.readouterr()
+    cli.main(["home", "--table", "cli_articles"], spark)
+    home = json.loads(capsys.readouterr().out)
+    assert (home["total"], home["keep"], len(home["top"]), home["dimensions"]) == (8, 0, 8, [])
+    cli.main(["articles", "--table", "cli_articles", "--q", "SUBSPACE ", "--sort", "year", "--limit", "3"], spark)
+    assert [json.loads(x)["id"] for x in capsys.readouterr().out.splitlines()] == [1, 3, 4]
+    assert cli.main(["article", "--table", "cli_articles", "--id", "6"], spark) == 0
+    page = json.loads(capsys.readouterr().out)
+    assert (page["year"], page["authors"], [s["value"] for s in page["scores"]]) == ("2025", "N/A", ["0.00"] * 3)
+    assert cli.main(["article", "--table", "cli_articles", "--id", "99"], spark) == 1
     spark.sql("DROP TABLE cli_articles")
