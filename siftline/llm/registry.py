@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftline.llm import cotrain, dac, langid, lattice, linedist, lineclean, matroska, mixing, neardup, packing, wordtok
+from siftline.llm import bitslice, bytebpe, cotrain, dac, fim, langid, lattice, linedist, lineclean, matroska, mixing, neardup, packing, wordtok
 
 VOCABULARY = "word_bpe_49k.json"
 PIECES = "piece_bpe_32k.model"
+RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +67,21 @@ def op10_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), carry=["doc_id"])
 
 
+def op11_bit_sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector."""
+    return bitslice.hard_negatives(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte-level ids of every document, and what they decode to."""
+    return bytebpe.round_trip(_documents(spark, sf_dir), wordtok.vocabulary(RANKS), bytebpe.pattern())
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fill-in-middle form of every document, and the text restored from it."""
+    return fim.digests(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": op1_mixing,
     "op2_lattice": op2_lattice,
@@ -77,8 +93,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_ids": op8_token_ids,
     "op9_matroska": op9_matroska,
     "op10_cotraining": op10_cotraining,
+    "op11_bit_sliced": op11_bit_sliced,
+    "op12_byte_bpe": op12_byte_bpe,
+    "op13_fim": op13_fim,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.ORACLE,
     "op7_line_rules": lineclean.ORACLE,
+    "op11_bit_sliced": bitslice.ORACLE,
+    "op13_fim": fim.ORACLE,
 }
