@@ -9,17 +9,17 @@ from __future__ import annotations
 import argparse
 import json
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from pathlib import Path
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline import profile as pf
 from siftline.functions import text as tx
+from siftline.functions.overlay import overlaid
 from siftline.operators import judge, portal, ranking, rules
-from siftline.sources import jsonl, sinks
+from siftline.sources import jsonl, ordinal, shared, sinks
 from siftline.streaming import runner
 
 #: Members that become columns, as text and as numbers.
@@ -27,72 +27,85 @@ TEXTS = sorted({*tx.KEY_FIELDS, *(s for names in portal.TEXTS.values() for s in
 NUMBERS = sorted({*(s for names in portal.SCORES.values() for s in names), "rule_score", "theory_signal_score"})
 JUDGED = (*judge.NOTES, "priority", "profile_name", *ranking.SORT)
 ORDER = "ordinal"
+#: Malformed lines that a lenient reading names; all are counted.
+SHOWN = 20
 
 
 def _columns(lines: DataFrame) -> DataFrame:
     v = F.col("v")
     member = lambda n: F.try_variant_get(v, f"$.{n}", "variant")
     text = lambda n: F.coalesce(F.try_variant_get(v, f"$.{n}", "string"), F.to_json(F.when(~F.is_variant_null(member(n)), member(n))))
-    return lines.select(
-        F.struct("file", "block", "id").alias("_line"),
+    found = lines.select(
+        ORDER,
         "raw",
         *(text(n).alias(n) for n in TEXTS),
         *(tx.to_double(F.try_variant_get(v, f"$.{n}", "string"), None).alias(n) for n in NUMBERS),
         F.from_json(F.to_json(F.try_variant_get(v, "$.scores", "variant")), "map<string,double>").alias("scores"),
+        # in a digest a null member reads otherwise than a missing one
+        *(F.when(F.is_variant_null(member(n)), "None").otherwise(text(n)).alias(f"_digest_{n}") for n in ("title", "venue", "year")),
     )
+    digest = [f"_digest_{n}" for n in ("title", "venue", "year")]
+    return found.withColumn("paper_key", tx.paper_key(found.columns, *(F.col(n) for n in digest))).drop(*digest)
 
 
 def load(spark: SparkSession, path: str, lenient: bool = False) -> DataFrame:
-    """Records with a dense ``ordinal`` in input order."""
+    """Records with a dense ``ordinal`` in input order; of judged papers, the order of judging."""
     if path.endswith((".jsonl", ".json")):
         if lenient:
             lines, bad = jsonl.read_lenient(spark, path)
+            for r in bad.orderBy("file", "line").limit(SHOWN).collect():
+                print(f"{r.file}:{r.line}: {r.bad}", file=sys.stderr)
             if skipped := bad.count():
                 print(f"{skipped} malformed lines skipped", file=sys.stderr)
         else:
             lines = jsonl.read_strict(spark, path)
-        return portal.numbered(_columns(lines), "_line", ORDER).drop("_line")
+        return _columns(lines)
     found = spark.read.parquet(path)
+    if runner.ROUND in found.columns:
+        # judged papers carry their round, their place in it and their place in the input
+        found = found.withColumnRenamed(ORDER, "_of")
+        order = [c for c in (runner.ROUND, runner.PLACE, "_of", "paper_key") if c in found.columns]
+        return ordinal.numbered(found, order, ORDER).drop("_of")
     if ORDER in found.columns:
         return found
-    if "paper_key" not in found.columns:
-        found = runner.keyed(found)
-    return portal.numbered(found, "paper_key", ORDER)
+    return ordinal.numbered(runner.keyed(found), "paper_key")
 
 
-def _merged(rows: DataFrame, fields: Sequence[str]) -> DataFrame:
+def _merged(rows: DataFrame, fields: Sequence[str], order: Sequence[str] = (ORDER,)) -> DataFrame:
     """``value``: each record with ``fields`` over its own members, as JSON text."""
-    raw = F.col("raw") if "raw" in rows.columns else F.to_json(F.struct(*(c for c in rows.columns if c != ORDER)))
-    over = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}) if fields else F.lit("{}")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({ORDER: b[ORDER], "value": [json.dumps(json.loads(r) | json.loads(o), ensure_ascii=False) for r, o in zip(b["raw"], b["over"], strict=True)]})
-
-    return rows.select(ORDER, raw.alias("raw"), over.alias("over")).mapInPandas(run, f"{ORDER} long, value string")
+    if "raw" in rows.columns:
+        value = overlaid(F.col("raw"), fields)
+    else:
+        own = [c for c in rows.columns if c not in (ORDER, *order) and c not in fields]
+        record = F.to_json(F.struct(*own)) if own else F.lit("{}")
+        value = overlaid(record, fields)
+    return rows.select(*order, value.alias("value"))
 
 
-def _write(rows: DataFrame, path: str) -> None:
+def _write(rows: DataFrame, path: str, order: Sequence[str] = (ORDER,)) -> None:
     """Lines in the rows' order, in as many files as the sort has ranges."""
-    rows.orderBy(ORDER).select("value").write.mode("overwrite").text(path)
+    rows.orderBy(*order).select("value").write.mode("overwrite").text(path)
 
 
 def filter_papers(spark: SparkSession, a: argparse.Namespace) -> int:
     me = pf.load(a.profile)
     found = rules.in_years(load(spark, a.input), a.years)
-    scored = rules.score(rules.first_wins(runner.keyed(found), "paper_key", ORDER), me.positive_keywords, me.negative_keywords).withColumn("profile_name", F.lit(me.name)).persist()
+    first = rules.first_wins(runner.keyed(found), "paper_key", ORDER)
+    scored = shared.written(rules.score(first, me.positive_keywords, me.negative_keywords).withColumn("profile_name", F.lit(me.name)), "scored")
     fields = ("rule_score", "rule_positive_score", "rule_negative_score", "rule_positive_hits", "rule_negative_hits", "profile_name")
-    kept = rules.kept(scored, a.min_score, a.target_total, order=ORDER)
-    by_score = lambda rows: rows.withColumn("_sort", F.struct((-F.col("rule_score")).alias("s"), F.col(ORDER).alias("o")))
-    place = portal.numbered(by_score(kept), "_sort", "_place").drop(ORDER).withColumnRenamed("_place", ORDER)
-    _write(_merged(place, fields), a.output_keep)
-    _write(_merged(rules.rejected(scored, a.min_score, a.target_total, order=ORDER), fields), a.output_reject)
+    passed = rules.placed(scored, a.min_score, order=ORDER)
+    most = a.target_total if a.target_total > 0 else None
+    kept = passed if most is None else passed.filter(F.col("place") < most)
+    _write(_merged(kept, fields, ["place"]), a.output_keep, ["place"])
+    # what the cap leaves over comes in keep order before what is below the threshold
+    below = scored.filter(F.col("rule_score") < a.min_score).select("*", F.lit(1).alias("part"), F.col(ORDER).alias("place"))
+    over = passed.filter(F.col("place") >= most if most is not None else F.lit(False)).withColumn("part", F.lit(0))
+    _write(_merged(over.unionByName(below), fields, ["part", "place"]), a.output_reject, ["part", "place"])
     row = rules.summary(scored, me.name, a.min_score, a.target_total).first().asDict()
     row["kept_by_venue_year"] = {r.venue_year: r.n for r in rules.venue_years(kept).collect()}
     text = json.dumps(row, ensure_ascii=False, indent=2)
     Path(a.output_summary).write_text(text, encoding="utf-8")
     print(text)
-    scored.unpersist()
     return 0
 
 
@@ -227,4 +240,8 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
-    return args.run(spark or SparkSession.builder.getOrCreate(), args)
+    spark = spark or SparkSession.builder.getOrCreate()
+    try:
+        return args.run(spark, args)
+    finally:
+        shared.sweep(spark)

@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 from siftline.functions import scores as sc
 from siftline.functions import text as tx
 from siftline.profile import Profile
+from siftline.streaming.journal import Journal, call_key
 
 TITLE_CHARS, ABSTRACT_CHARS, NOTE_CHARS, FAILURE_CHARS = 650, 3000, 240, 2500
 NOTES = ("idea_core", "transferable_mechanism", "fit_reason", "risk_or_limitation")
@@ -86,32 +87,41 @@ def prompts(papers: DataFrame, profile: Profile, abstract_chars: int = ABSTRACT_
     return papers.withColumn("prompt", F.concat(F.lit(head), F.to_json(F.struct(*(c.alias(n) for n, c in fields.items()))), F.lit(tail)))
 
 
-def ask(papers: DataFrame, scorer: Scorer, max_retries: int = 2, retry_sleep: float = 5.0, sleep=time.sleep) -> DataFrame:
+def ask(papers: DataFrame, scorer: Scorer, max_retries: int = 2, retry_sleep: float = 5.0, sleep=time.sleep, journal: Journal | None = None, model: str = "") -> DataFrame:
     """``papers`` (with ``prompt``) and the judge's ``reply`` or ``error`` for each.
 
-    A failed call becomes a row, never an exception: a failed task would repeat calls that have
-    been paid for.  Callers write the result once before they split it.
+    A failed call becomes a row, never an exception.  With a ``journal`` each reply is kept as it
+    comes, and a task that is tried again asks only for what is not there yet.  Callers write the
+    result once before they split it.
     """
     if max_retries < 1:
         raise ValueError("max_retries must be at least 1")
     schema = T.StructType([*papers.schema.fields, T.StructField("reply", T.StringType()), T.StructField("error", T.StringType())])
 
+    def call(prompt: str) -> dict[str, str | None]:
+        error = None
+        for attempt in range(max_retries):
+            try:
+                return {"reply": scorer(prompt), "error": None}
+            except Exception as e:  # noqa: BLE001
+                error = f"{type(e).__name__}: {e}"[-FAILURE_CHARS:]
+                if attempt + 1 < max_retries:
+                    sleep(retry_sleep)
+        return {"reply": None, "error": error}
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = journal.writer() if journal is not None else None
         for batch in batches:
-            replies, errors = [], []
+            found = []
             for prompt in batch["prompt"]:
-                reply = error = None
-                for attempt in range(max_retries):
-                    try:
-                        reply, error = scorer(prompt), None
-                        break
-                    except Exception as e:  # noqa: BLE001
-                        error = f"{type(e).__name__}: {e}"[-FAILURE_CHARS:]
-                        if attempt + 1 < max_retries:
-                            sleep(retry_sleep)
-                replies.append(reply)
-                errors.append(error)
-            yield batch.assign(reply=replies, error=errors)
+                key = call_key(model, prompt)
+                answer = kept.find(key) if kept is not None else None
+                if answer is None:
+                    answer = call(prompt)
+                    if kept is not None:
+                        kept.record(key, answer)
+                found.append(answer)
+            yield batch.assign(reply=[x["reply"] for x in found], error=[x["error"] for x in found])
 
     return papers.mapInPandas(run, schema)
 

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import text as tx
 from siftline.operators import rules
+from siftline.sources.ordinal import numbered  # noqa: F401  (articles need one)
 
 # Where each column of an article comes from, first filled one first.
 TEXTS = {
@@ -68,15 +69,6 @@ def articles(rows: DataFrame, order: str = "doc_id") -> DataFrame:
     )
 
 
-def numbered(rows: DataFrame, order: str, name: str = "ordinal") -> DataFrame:
-    """``rows`` with a dense number from 0 in ``order``: sorted by ranges, counted by partition, and
-    each partition's first number a sum over those before it."""
-    ordered = rows.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id() % (1 << 33))
-    counts = ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n"))
-    begin = counts.select("_part", (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_begin"))
-    return ordered.join(F.broadcast(begin), "_part").withColumn(name, F.col("_begin") + F.col("_at")).drop("_part", "_at", "_begin")
-
-
 def search(found: DataFrame, q: str = "", priority: str = "", sort: str = "rank_score", limit: int = 100) -> DataFrame:
     """Substring search over the text fields, priority filter, sort and page limit."""
     if not 1 <= limit <= MOST_LISTED:

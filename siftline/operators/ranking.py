@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import text as tx
+from siftline.operators import rules
+from siftline.sources import ordinal
 
 #: Fields that ``portal_ready`` sets.
 PORTAL = ("final_score", "theory_novelty", "submission_value", "theory_explanation_zh", "recommendation_zh", "fit_reason", "risk_or_limitation", "scores_json")
@@ -22,10 +24,15 @@ def sort_columns(fields: Sequence[str], order: str) -> list[Column]:
 def export(scored: DataFrame, columns: Sequence[str], top_k: int = 100, sort_by: Sequence[str] = SORT, order: str = "doc_id") -> DataFrame:
     """The first ``top_k`` rows with their 1-based rank.
 
-    Sorting stops at ``top_k`` rows per partition; only those are numbered.
+    A short head is sorted in one task from the first rows of each partition; a long one by ranges.
     """
     if top_k < 0:
         raise ValueError("top_k must not be negative")
+    if top_k > rules.GATHERED:
+        names = [f"_sort{i}" for i in range(len(sort_by))]
+        keyed = scored.withColumns({n: tx.to_double(F.col(f)) for n, f in zip(names, sort_by, strict=True)})
+        top = ordinal.numbered(keyed, [*names, order], "_place", descending=names).filter(F.col("_place") < top_k)
+        return top.withColumn("rank", (F.col("_place") + 1).cast("int")).select("rank", *columns)
     keys = sort_columns(sort_by, order)
     top = scored.orderBy(*keys).limit(top_k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(*keys))).select("rank", *columns)

@@ -9,18 +9,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import text as tx
+from siftline.sources import ordinal
 
 #: Points of a phrase and of a single word, and what a negative point costs.
 PHRASE, WORD, PENALTY = 1.5, 1.0, 1.25
+#: Rows that a sorted head may have in one task; a longer one is numbered by files.
+GATHERED = 10_000
 
 
 def bound(frame: DataFrame, name: str, value: Column, of) -> DataFrame:
     """``frame`` with column ``name``: ``of(value)``, where ``value`` is worked out once a row.
 
     A filter on a plain column would be pushed below it and would repeat ``value`` wherever ``of``
-    names it.  Nothing is pushed through a generator, and its lambda names the value once.
+    names it.  No filter passes a row's running number and no projection is merged with one that has
+    it, and all stays in generated code.  The number itself, never below 0, decides nothing.
     """
-    return frame.select("*", F.explode_outer(F.transform(F.array(value), of)).alias(name))
+    held = frame.withColumn("_bound", F.when(F.monotonically_increasing_id() >= 0, value))
+    return held.select(*frame.columns, of(F.col("_bound")).alias(name))
 
 
 def _keywords(words: Iterable[str]) -> list[tuple[str, str]]:
@@ -75,9 +80,18 @@ def first_wins(papers: DataFrame, key: str | Column, order: str | Column) -> Dat
     return papers.withColumn("_first", F.row_number().over(w)).filter("_first = 1").drop("_first")
 
 
+def placed(scored: DataFrame, min_score: float = 1.0, title: str = "title", order: str = "doc_id") -> DataFrame:
+    """Rows at or above the threshold with their ``place`` in keep order, from 0: the score, then the
+    title, both descending, then input order.  Sorted by ranges, in files; any number of rows."""
+    return ordinal.numbered(scored.filter(F.col("rule_score") >= min_score), ["rule_score", title, order], "place", descending=["rule_score", title])
+
+
 def kept(scored: DataFrame, min_score: float = 1.0, target_total: int = 0, title: str = "title", order: str = "doc_id") -> DataFrame:
     """Rows at or above the threshold in keep order, at most ``target_total`` if positive."""
-    out = scored.filter(F.col("rule_score") >= min_score).orderBy(F.desc("rule_score"), F.desc(title), F.asc(order))
+    sort = (F.desc("rule_score"), F.desc(title), F.asc(order))
+    if target_total > GATHERED:
+        return placed(scored, min_score, title, order).filter(F.col("place") < target_total).drop("place").orderBy(*sort)
+    out = scored.filter(F.col("rule_score") >= min_score).orderBy(*sort)
     return out.limit(target_total) if target_total > 0 else out
 
 
@@ -93,14 +107,18 @@ def ranked(scored: DataFrame, top: int, min_score: float = 1.0, title: str = "ti
 def rejected(scored: DataFrame, min_score: float = 1.0, target_total: int = 0, title: str = "title", order: str = "doc_id") -> DataFrame:
     """What ``kept`` leaves, with the part it comes from: overflow of the cap, or below the threshold.
 
-    One row, the last that is kept, parts the rest: no join by key and no second sort.
+    With a cap ``scored`` is read twice; write it before, so that rows are scored once.  Up to
+    ``GATHERED`` rows, the last that is kept parts the rest: no join by key and no second sort.
     """
     passed = F.col("rule_score") >= min_score
     below = scored.filter(~passed).withColumn("part", F.lit("below"))
     if target_total <= 0:
         return below
+    if target_total > GATHERED:
+        over = placed(scored, min_score, title, order).filter(F.col("place") >= target_total).drop("place")
+        return over.withColumn("part", F.lit("overflow")).unionByName(below)
     place = F.struct(F.col("rule_score").alias("s"), F.col(title).alias("t"))
-    last = ranked(scored, target_total, min_score, title, order).agg(F.max_by(F.struct(place.alias("p"), F.col(order).alias("o")), "place").alias("_last"))
+    last = ranked(scored.select("rule_score", title, order), target_total, min_score, title, order).agg(F.max_by(F.struct(place.alias("p"), F.col(order).alias("o")), "place").alias("_last"))
     beyond = (place < F.col("_last.p")) | (place.eqNullSafe(F.col("_last.p")) & (F.col(order) > F.col("_last.o")))
     part = F.when(~passed, "below").when(beyond, "overflow")
     return scored.crossJoin(F.broadcast(last)).withColumn("part", part).filter("part IS NOT NULL").drop("_last")

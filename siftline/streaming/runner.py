@@ -6,19 +6,25 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.functions import errors
 from siftline.functions import text as tx
-from siftline.operators import judge, portal, rules
+from siftline.operators import judge, rules
 from siftline.profile import Profile
+from siftline.sources import ordinal, shared
+from siftline.streaming import journal as jl
 
 OK, AUTH_FAILED = 0, 2
+#: In which round a paper was judged and, of a bounded round, its place there: the order of judging.
+ROUND, PLACE = "judged_round", "judged_place"
 
 
 def keyed(papers: DataFrame) -> DataFrame:
-    """``papers`` with ``paper_key``."""
+    """``papers`` with ``paper_key``; one that they have stays."""
+    if "paper_key" in papers.columns:
+        return papers
     column = lambda n: F.col(n) if n in papers.columns else F.lit("")
     return papers.withColumn("paper_key", tx.paper_key(papers.columns, column("title"), column("venue"), column("year")))
 
@@ -31,6 +37,8 @@ def pending(papers: DataFrame, done: DataFrame | None, order: str = "doc_id") ->
 
 def head(papers: DataFrame, top_k: int = 0, order: str = "doc_id") -> DataFrame:
     """The first ``top_k`` rows in input order; 0 means all."""
+    if top_k > rules.GATHERED:
+        return ordinal.numbered(papers, order, "_place").filter(F.col("_place") < top_k).drop("_place")
     return papers.orderBy(order).limit(top_k) if top_k > 0 else papers
 
 
@@ -68,58 +76,72 @@ def selected(papers: DataFrame, years: Sequence[int] = (), top_k: int = 0, order
 def positions(papers: DataFrame, done: DataFrame | None, order: str = "doc_id") -> DataFrame:
     """``papers`` (with ``paper_key``) with ``position`` from 1 in input order, ``total`` and
     ``skipped``: whether the paper is done.  All rows count, also those that are skipped."""
-    found = portal.numbered(papers, order, "_ordinal").withColumn("position", F.col("_ordinal") + 1).drop("_ordinal")
-    found = found.crossJoin(F.broadcast(papers.agg(F.count(F.lit(1)).alias("total"))))
+    found = ordinal.numbered(papers, order, "_ordinal").withColumn("position", F.col("_ordinal") + 1).drop("_ordinal")
+    found = found.crossJoin(F.broadcast(found.agg(F.count(F.lit(1)).alias("total"))))
     if done is None:
         return found.withColumn("skipped", F.lit(False))
     keys = done.select("paper_key").distinct().withColumn("_done", F.lit(True))
     return found.join(keys, "paper_key", "left").withColumn("skipped", F.col("_done").isNotNull()).drop("_done")
 
 
-def _path(spark: SparkSession, name: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(name)
-    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
-
-
 def _record(answers: str, spark: SparkSession, profile: Profile, output: str, failures: str, model: str, once: bool = True) -> Batch:
-    """Split a round's answers into results and failures, append both, and drop the answers.
+    """Split a round's answers into results and failures, write both, and drop the answers.
 
-    ``once``: answers whose papers are in the output already are not appended again, as after a
-    crash between the two.
+    Results and failures of a round each have a folder of their own, named by the round, which a
+    second try replaces: a crash anywhere leaves neither a row twice nor one too few.  ``once``: papers
+    that another round has recorded are left out.
     """
-    result = judge.judged(spark.read.parquet(answers), profile, model)
+    round = answers.rstrip("/").rsplit("/", 1)[-1]
+    asked = spark.read.parquet(answers)
+    result = judge.judged(asked, profile, model)
     done = _read(spark, output) if once else None
     if done is not None:
-        result = result.join(done.select("paper_key").distinct(), "paper_key", "left_anti").select(*result.columns)
+        others = done.filter(F.col(ROUND) != int(round)) if ROUND in done.columns else done
+        result = result.join(others.select("paper_key").distinct(), "paper_key", "left_anti").select(*result.columns)
     good, bad = result.filter("error IS NULL"), result.filter("error IS NOT NULL")
     kind = errors.classify(F.col("error"))
     counts = result.agg(F.count_if(F.col("error").isNull()), F.count_if(F.col("error").isNotNull()), F.coalesce(F.max(kind == "auth"), F.lit(False)), F.coalesce(F.max(kind == "quota"), F.lit(False))).first()
-    lost = bad.withColumns({"failure_reason": F.col("error"), "failure_ts": F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")})
-    lost.select("paper_key", "failure_reason", "failure_ts").write.mode("append").parquet(f"{failures}/rows")
-    good.drop("prompt", "reply", "error").write.mode("append").parquet(output)
-    fs, path = _path(spark, answers)
-    fs.delete(path, True)
+    # the failed paper as it came, not what a judge's empty reply would make of it
+    reasons = bad.select("paper_key", F.col("error").alias("failure_reason"), F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss").alias("failure_ts")).dropDuplicates(["paper_key"])
+    lost = asked.drop("prompt", "reply", "error", "failure_reason", "failure_ts", PLACE).join(reasons, "paper_key")
+    lost.write.mode("overwrite").parquet(f"{failures}/rows/{ROUND}={round}")
+    good.drop("prompt", "reply", "error", ROUND).write.mode("overwrite").parquet(f"{output}/{ROUND}={round}")
+    shared.delete(spark, answers)
+    shared.delete(spark, f"{failures}/_journal/{round}")
     return Batch(counts[0], counts[1], bool(counts[2]), bool(counts[3]))
 
 
 def replay(spark: SparkSession, profile: Profile, output: str, failures: str, model: str = "") -> int:
-    """Record answers that an interrupted run has paid for but not recorded; how many were good."""
-    fs, path = _path(spark, f"{failures}/_answers")
+    """Record answers that an interrupted run has paid for but not recorded; how many were good.
+
+    Answers of a round that was not finished stand in its journal, where the next round finds them.
+    """
+    fs, path = shared.hadoop(spark, f"{failures}/_answers")
     added = 0
     for found in fs.listStatus(path) if fs.exists(path) else []:
         name = found.getPath().toString()
-        if fs.exists(_path(spark, f"{name}/_SUCCESS")[1]):
+        if shared.exists(spark, f"{name}/_SUCCESS"):
             added += _record(name, spark, profile, output, failures, model).added
         else:
             fs.delete(found.getPath(), True)
     return added
 
 
+def _taken(todo: DataFrame, turn: Sequence[Column], size: int) -> DataFrame:
+    """The first ``size`` rows, with their place among them."""
+    if size > rules.GATHERED:
+        names = [f"_turn{i}" for i in range(len(turn))]
+        keyed = todo.withColumns(dict(zip(names, turn, strict=True)))
+        return ordinal.numbered(keyed, names, PLACE).filter(F.col(PLACE) < size).drop(*names)
+    return todo.orderBy(*turn).limit(size).withColumn(PLACE, F.row_number().over(Window.orderBy(*turn)).cast("long") - 1)
+
+
 def run_batch(papers: DataFrame, profile: Profile, scorer: judge.Scorer, output: str, failures: str, size: int, order: str = "doc_id", parallel: int = 4, resume: bool = True, model: str = "", abstract_chars: int = judge.ABSTRACT_CHARS, **ask) -> Batch:
-    """Judge the next ``size`` pending papers and append results and failures.
+    """Judge the next ``size`` pending papers and add results and failures.
 
-    The judge's answers are written once to the failures' neighbour folder before they are split,
-    so that two sinks do not make two calls.  Without ``resume`` done papers are judged again.
+    Each reply is kept in the round's journal as it comes.  The answers are written once to the
+    failures' neighbour folder before they are split, so that two sinks do not make two calls.
+    Without ``resume`` done papers are judged again.
     """
     spark = papers.sparkSession
     replay(spark, profile, output, failures, model)
@@ -127,15 +149,19 @@ def run_batch(papers: DataFrame, profile: Profile, scorer: judge.Scorer, output:
     if size > 0:
         # papers that failed before come after those that have not been tried
         lost = _read(spark, f"{failures}/rows")
-        turn = [F.asc(order)]
+        turn = [F.col(order)]
         if lost is not None:
             todo = todo.join(lost.groupBy("paper_key").agg(F.count(F.lit(1)).alias("_failures")), "paper_key", "left")
-            turn = [F.coalesce("_failures", F.lit(0)).asc(), *turn]
-        todo = todo.orderBy(*turn).limit(size).drop("_failures")
-    asked = judge.ask(judge.prompts(todo, profile, abstract_chars).repartition(parallel), scorer, **ask)
-    answers = f"{failures}/_answers/{time.time_ns()}"
-    asked.write.parquet(answers)
-    return _record(answers, spark, profile, output, failures, model, once=resume)
+            turn = [F.coalesce("_failures", F.lit(0)), *turn]
+        todo = _taken(todo, turn, size).drop("_failures")
+    round = str(time.time_ns())
+    kept = jl.begin(spark, f"{failures}/_journal", round)
+    prompts = judge.prompts(todo, profile, abstract_chars).repartition(parallel)
+    answers = f"{failures}/_answers/{round}"
+    judge.ask(prompts, scorer, journal=kept, model=model, **ask).write.parquet(answers)
+    got = _record(answers, spark, profile, output, failures, model, once=resume)
+    jl.tidy(spark, kept)
+    return got
 
 
 def run_until(

@@ -4,8 +4,10 @@ import json
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftline import cli
+from siftline.sources import jsonl
 
 PROFILE = """
 name: me
@@ -85,3 +87,94 @@ def test_import(spark, files, capsys):
     assert (page["year"], page["authors"], [s["value"] for s in page["scores"]]) == ("2025", "N/A", ["0.00"] * 3)
     assert cli.main(["article", "--table", "cli_articles", "--id", "99"], spark) == 1
     spark.sql("DROP TABLE cli_articles")
+
+
+def corpus(spark, folder, n=10_000):
+    """The documents as JSON lines in several files of several splits, and judged fields beside them."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select(
+        "doc_id", "text", (2018 + F.col("doc_id") % 8).alias("year"), F.col("source").alias("venue"), F.concat(F.lit("u"), "doc_id").alias("url"), F.concat(F.lit("t"), "doc_id").alias("title"), (F.col("doc_id") % 21 / 2.0).alias("rank_score")
+    )
+    docs.withColumnRenamed("text", "abstract").repartitionByRange(7, "doc_id").sortWithinPartitions("doc_id").write.json(f"{folder}/all.jsonl")
+    assert docs.count() == n
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_commands_keep_all_rows(spark, files, capsys, adaptive):
+    corpus(spark, files)
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300k")
+    try:
+        spark.sql("DROP TABLE IF EXISTS cli_all")
+        cli.main(["import", "--input", f"{files}/all.jsonl", "--table", "cli_all"], spark)
+        got = spark.table("cli_all").agg(F.count("id"), F.min("id"), F.max("id"), F.count_distinct("id"), F.count_if(F.col("title") == F.concat(F.lit("t"), F.col("id") - 1))).first()
+        assert tuple(got) == (10_000, 1, 10_000, 10_000, 10_000)
+        spark.sql("DROP TABLE cli_all")
+        (files / "some.yaml").write_text("positive_keywords: [of the, tion]\nnegative_keywords: [http]\nscoring_dimensions: [use]\n")
+        args = ["filter", "--input", f"{files}/all.jsonl", "--profile", f"{files}/some.yaml", "--output-keep", f"{files}/k", "--output-reject", f"{files}/r", "--output-summary", f"{files}/s.json"]
+        cli.main([*args, "--target-total", "1000"], spark)
+        kept, rejected = lines(files / "k"), lines(files / "r")
+        assert len(kept) == 1000 and len(rejected) == 9000
+        place = lambda p: (-p["rule_score"], [-ord(c) for c in p["title"]] + [1], int(p["url"][1:]))
+        assert kept == sorted(kept, key=place)
+        over = [p for p in rejected if p["rule_score"] >= 1.0]
+        below = rejected[len(over) :]
+        assert all(p["rule_score"] < 1.0 for p in below) and over == sorted(over, key=place) and place(kept[-1]) < place(over[0])
+        assert [p["url"] for p in below] == sorted((p["url"] for p in below), key=lambda u: int(u[1:]))
+        cli.main(["portal-ready", "--input", f"{files}/all.jsonl", "--output", f"{files}/p"], spark)
+        ready = lines(files / "p")
+        assert [p["url"] for p in ready] == [f"u{i}" for i in range(10_000)] and all(p["final_score"] == p["rank_score"] for p in ready)
+        capsys.readouterr()
+        cli.main(["progress", "--output", f"{files}/all.jsonl"], spark)
+        out = capsys.readouterr().out
+        assert out.startswith("done = 10000") and out.rstrip().endswith("last item: t9999")
+        cli.main(["export", "--input", f"{files}/all.jsonl", "--output", f"{files}/c", "--top-k", "20000"], spark)
+        assert spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(f"{files}/c").count() == 10_000
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_records_survive(spark, files):
+    """Unknown members, explicit nulls and members that give way; no Python over the written lines."""
+    rows = ['{"title": "a", "odd": {"k": [null, 1.5]}, "gone": null}', '{"title": "b", "final_score": 3, "fit_reason": null, "n": null, "z": {"q": "é"}}', "{}", '{"title": NaN, "title": "c", "rank_score": NaN}']
+    (files / "in.jsonl").write_text("\n".join(rows), encoding="utf-8")
+    cli.main(["portal-ready", "--input", f"{files}/in.jsonl", "--output", f"{files}/p"], spark)
+    got = lines(files / "p")
+    assert (got[0]["odd"], got[0]["gone"], got[0]["final_score"]) == ({"k": [None, 1.5]}, None, 0.0)
+    assert (got[1]["final_score"], got[1]["fit_reason"], got[1]["n"], got[1]["z"]) == (0.0, "", None, {"q": "é"}) and "gone" not in got[1]
+    assert got[2]["theory_novelty"] == 0.0 and got[3]["title"] == "c"
+    plan = cli._merged(cli.load(spark, f"{files}/in.jsonl"), ["rule_score"])._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "InPandas" not in plan
+
+
+def test_malformed_line_is_named(spark, files):
+    good = [json.dumps({"title": f"t{i}", "text": "x" * 200}) for i in range(5000)]
+    good[17] = "  "
+    good[4321] = '{"title": "cut'
+    (files / "in.jsonl").write_text("\n".join(good) + "\n")
+    (files / "z.jsonl").write_text("[1\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        with pytest.raises(jsonl.MalformedLine, match=r"in\.jsonl:4322: "):
+            cli.load(spark, f"{files}/in.jsonl")
+        with pytest.raises(jsonl.MalformedLine, match=r"in\.jsonl:4322: "):
+            jsonl.read_strict(spark, f"{files}/*.jsonl")
+        found, bad = jsonl.read_lenient(spark, f"{files}/in.jsonl")
+        assert found.count() == 4998 and [(r.line, r.raw) for r in bad.collect()] == [(4322, '{"title": "cut')]
+        assert found.agg(F.count_distinct("ordinal"), F.max("ordinal"), F.count_distinct("block") > 5).first()[:] == (4998, 4997, True)
+        assert found.filter(F.concat(F.lit('{"title": "t'), F.col("line") - 1, F.lit('"')) != F.substring_index("raw", ",", 1)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_order_of_judging(spark, files, capsys):
+    """Papers that fail first are judged later, and come later in what is read."""
+    (files / "judge.py").write_text(JUDGE + f"\nimport os\nif 'A benchmark' in t and not os.path.exists('{files}/seen'): open('{files}/seen', 'w'); sys.exit(3)")
+    args = ["--input", f"{files}/in.jsonl", "--profile", f"{files}/me.yaml", "--output", f"{files}/out", "--judge-cmd", f"{sys.executable} {files}/judge.py", "--retry-sleep", "0", "--max-retries", "1"]
+    cli.main(["autoretry", *args, "--batch-size", "2", "--sleep-between-rounds", "0", "--sleep-on-error", "0"], spark)
+    assert [r.title for r in cli.load(spark, f"{files}/out").orderBy("ordinal").collect()][-1] == "A benchmark"
+    failed = spark.read.parquet(f"{files}/out.failures/rows").collect()
+    assert [(r.title, r.url) for r in failed] == [("A benchmark", "u2")] and "exit 3" in failed[0].failure_reason
+    capsys.readouterr()
+    cli.main(["progress", "--output", f"{files}/out"], spark)
+    assert capsys.readouterr().out.rstrip().endswith("last item: A benchmark")
