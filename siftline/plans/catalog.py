@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from siftline.functions import errors, scores
 from siftline.functions import text as tx
 from siftline import profile
-from siftline.operators import judge, portal, ranking, rules
-from siftline.sources import jsonl
+from siftline.operators import judge, keywords, portal, ranking, rules, textindex
+from siftline.sources import jsonl, shared
 from siftline.sources.tables import TITLE_CHARS, papers, table
 from siftline.streaming import runner
 
@@ -253,6 +253,37 @@ def _(spark, sf):
     return rules.keyword_counts(papers(spark, sf), POSITIVE + NEGATIVE)
 
 
+#: 1,000 syllable pairs, a fifth of them to each of five profiles; those that end in "nu" count against.
+_ONSETS, _VOWELS, _SECOND = "bcdfghjklmnpqrstvwxz", "aeiou", "tn"
+_SYLLABLES_SQL = f"""
+k AS (SELECT 'profile ' || b AS profile, a || b || c || d AS keyword, c || d = 'nu' AS negative
+  FROM (SELECT unnest(string_split('{_ONSETS}', '')) AS a), (SELECT unnest(string_split('{_VOWELS}', '')) AS b),
+    (SELECT unnest(string_split('{_SECOND}', '')) AS c), (SELECT unnest(string_split('{_VOWELS}', '')) AS d))"""
+
+
+def _syllable_profiles() -> list[profile.Profile]:
+    pairs = [(a + b + c + d, b, c + d == "nu") for a in _ONSETS for b in _VOWELS for c in _SECOND for d in _VOWELS]
+    words = lambda b, negative: tuple(k for k, v, n in pairs if v == b and n == negative)
+    return [profile.Profile(f"profile {b}", positive_keywords=words(b, False), negative_keywords=words(b, True), scoring_dimensions=(profile.Dimension("x", "x"),)) for b in _VOWELS]
+
+
+@query("keyword_hits", f"WITH {_PAPERS},{_BLOB},{_SYLLABLES_SQL} SELECT profile, keyword, negative, doc_id FROM k, blobs WHERE contains(blob, keyword)")
+def _(spark, sf):
+    return keywords.hits(papers(spark, sf), _syllable_profiles())
+
+
+@query(
+    "profile_scores",
+    f"""WITH {_PAPERS},{_BLOB},{_SYLLABLES_SQL}
+SELECT doc_id, profile AS profile_name, count(*) FILTER (NOT negative AND contains(blob, keyword))::DOUBLE AS rule_positive_score,
+  count(*) FILTER (negative AND contains(blob, keyword))::DOUBLE AS rule_negative_score,
+  round(count(*) FILTER (NOT negative AND contains(blob, keyword)) - 1.25 * count(*) FILTER (negative AND contains(blob, keyword)), 4)::DOUBLE AS rule_score
+FROM k, blobs GROUP BY doc_id, profile""",
+)
+def _(spark, sf):
+    return keywords.score(papers(spark, sf), _syllable_profiles(), carry=["doc_id"]).drop("rule_positive_hits", "rule_negative_hits")
+
+
 # -- judge --------------------------------------------------------------------------------
 
 
@@ -372,23 +403,27 @@ def _(spark, sf):
 
 @query(
     "pending_after_failures",
-    "SELECT doc_id FROM documents WHERE (2018 + doc_id % 8) IN (2020, 2023) AND doc_id % 700 % 20 = 19 AND doc_id < 700",
+    """SELECT doc_id, CASE WHEN doc_id % 700 % 40 = 19 THEN 'quota' ELSE 'other' END AS failure FROM
+  (SELECT min(doc_id) AS doc_id FROM documents WHERE (2018 + doc_id % 8) IN (2021, 2023) GROUP BY doc_id % 700) WHERE doc_id % 700 % 20 = 19""",
 )
 def _(spark, sf):
-    # papers of two years, one for each url; those that the stub fails for are pending still
-    todo = runner.keyed(runner.selected(papers(spark, sf), YEARS)).filter("doc_id < 700")
-    done = judge.ask(judge.prompts(todo, PROFILE), _stub, max_retries=1).filter("error IS NULL")
-    return runner.pending(todo, done).select("doc_id")
+    # papers of two years, the first of each url; those that the stub fails for are pending still
+    todo = runner.keyed(runner.selected(papers(spark, sf), (2021, 2023)))
+    asked = shared.written(judge.ask(judge.prompts(runner.pending(todo, None), PROFILE), _stub, max_retries=1), "asked")
+    failed = asked.filter("error IS NOT NULL").select("doc_id", errors.classify(F.col("error")).alias("failure"))
+    return runner.pending(todo, asked.filter("error IS NULL")).select("doc_id").join(failed, "doc_id")
 
 
 @query(
     "progress_position",
-    f"""WITH {_PAPERS} SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS position, count(*) OVER () AS total, doc_id % 700 % 3 = 0 AS skipped FROM papers WHERE year IN {YEARS}""",
+    f"""WITH {_PAPERS} SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS position, count(*) OVER () AS total, doc_id % 700 % 3 = 0 AS skipped, md5(coalesce(abstract, '')) AS text_md5 FROM papers WHERE year IN {YEARS}""",
 )
 def _(spark, sf):
     # every third url is done; papers that share it are skipped, but have their places
     rows = runner.keyed(papers(spark, sf))
-    return runner.positions(runner.selected(rows, YEARS), rows.filter("doc_id < 700 AND doc_id % 3 = 0")).select("doc_id", "position", "total", "skipped")
+    # and the text comes along
+    placed = runner.positions(runner.selected(rows, YEARS), rows.filter("doc_id < 700 AND doc_id % 3 = 0"))
+    return placed.select("doc_id", "position", "total", "skipped", F.md5(F.coalesce("abstract", F.lit("")).cast("binary")).alias("text_md5"))
 
 
 @query(
@@ -524,6 +559,14 @@ def _(spark, sf):
     return portal.search(_articles(spark, sf), q=" IngThe ").select(*_LISTED)
 
 
+@query("portal_search_index", ORACLE_SQL["portal_search"])
+def _(spark, sf):
+    found = shared.written(_articles(spark, sf), "articles")
+    path = shared.fresh(spark, "text-index")
+    textindex.build(found, portal.search_blob(found), path)
+    return portal.search(found, q=" IngThe ", index=path).select(*_LISTED)
+
+
 @query("portal_priority", f"WITH {_ARTICLES} SELECT {', '.join(_LISTED)} FROM articles WHERE priority = 'keep' ORDER BY rank_score DESC, id LIMIT 100")
 def _(spark, sf):
     return portal.search(_articles(spark, sf), priority="KEEP").select(*_LISTED)
