@@ -20,6 +20,7 @@ from siftline.functions import text as tx
 from siftline.functions.overlay import overlaid
 from siftline.operators import judge, portal, ranking, rules
 from siftline.sources import jsonl, ordinal, shared, sinks
+from siftline.sources.articletable import ArticleTable
 from siftline.streaming import runner
 
 #: Members that become columns, as text and as numbers.
@@ -169,9 +170,13 @@ def progress(spark: SparkSession, a: argparse.Namespace) -> int:
 
 
 def import_portal(spark: SparkSession, a: argparse.Namespace) -> int:
+    """Into a catalog table or, with ``--path``, a versioned table below a folder."""
     found = portal.articles(load(spark, a.input, lenient=True), ORDER)
-    n = sinks.import_articles(found, a.table, replace=not a.append)
-    print(json.dumps({"input": a.input, "table": a.table, "rows": n}, indent=2))
+    if a.path:
+        n, where = ArticleTable(spark, a.path).add(found, replace=not a.append), a.path
+    else:
+        n, where = sinks.import_articles(found, a.table, replace=not a.append), a.table
+    print(json.dumps({"input": a.input, "table": where, "rows": n}, indent=2))
     return 0
 
 
@@ -181,22 +186,31 @@ def _rows(found: DataFrame) -> list[dict]:
 
 def portal_home(spark: SparkSession, a: argparse.Namespace) -> int:
     """Figures, strongest dimensions and top papers, as JSON."""
-    found = spark.table(a.table)
-    page = portal.home(found).first().asDict() | {"dimensions": _rows(portal.dimension_stats(found)), "top": _rows(portal.shown(portal.top_papers(found)))}
+    if a.path:
+        table = ArticleTable(spark, a.path)
+        home, dimensions, top = table.home(), table.dimension_stats(), table.top_papers()
+    else:
+        found = spark.table(a.table)
+        home, dimensions, top = portal.home(found), portal.dimension_stats(found), portal.top_papers(found)
+    page = home.first().asDict() | {"dimensions": _rows(dimensions), "top": _rows(portal.shown(top))}
     print(json.dumps(page, ensure_ascii=False, indent=2))
     return 0
 
 
 def portal_articles(spark: SparkSession, a: argparse.Namespace) -> int:
     """The found articles in order, a JSON line each; a page has 1,000 at most."""
-    for row in _rows(portal.shown(portal.search(spark.table(a.table), a.q, a.priority, a.sort, a.limit))):
+    if a.path:
+        found = ArticleTable(spark, a.path).page(a.q, a.priority, a.sort, a.limit)
+    else:
+        found = portal.search(spark.table(a.table), a.q, a.priority, a.sort, a.limit)
+    for row in _rows(portal.shown(found)):
         print(json.dumps(row, ensure_ascii=False))
     return 0
 
 
 def portal_article(spark: SparkSession, a: argparse.Namespace) -> int:
     """One article with all its scores, as JSON; code 1 where there is none."""
-    found = portal.detail(spark.table(a.table), int(a.id))
+    found = ArticleTable(spark, a.path).detail(int(a.id)) if a.path else portal.detail(spark.table(a.table), int(a.id))
     page = portal.shown(found).first()
     if page is None:
         print(f"no article {a.id}", file=sys.stderr)
@@ -231,10 +245,10 @@ def parser() -> argparse.ArgumentParser:
     command("export", export, "input", "output", profile="", top_k=100, sort_by=list(ranking.SORT))
     command("portal-ready", portal_ready, "input", "output")
     command("progress", progress, "output", target_total=0)
-    command("import", import_portal, "input", table="articles", append=False)
-    command("home", portal_home, table="articles")
-    command("articles", portal_articles, table="articles", q="", priority="", sort="rank_score", limit=100)
-    command("article", portal_article, "id", table="articles")
+    command("import", import_portal, "input", table="articles", path="", append=False)
+    command("home", portal_home, table="articles", path="")
+    command("articles", portal_articles, table="articles", path="", q="", priority="", sort="rank_score", limit=100)
+    command("article", portal_article, "id", table="articles", path="")
     return out
 
 

@@ -31,5 +31,39 @@ def weighted_mean(scores: Mapping[str, Column], weights: Mapping[str, float]) ->
     return total / F.lit(whole)
 
 
+def blend(fit: Column, mean: Column, novelty: Column) -> Column:
+    """The rank score before it is rounded."""
+    return F.lit(FIT) * fit + F.lit(DIMENSIONS) * mean + F.lit(NOVELTY) * novelty
+
+
 def rank_score(fit: Column, mean: Column, novelty: Column) -> Column:
-    return F.round(F.lit(FIT) * fit + F.lit(DIMENSIONS) * mean + F.lit(NOVELTY) * novelty, 4)
+    return F.round(blend(fit, mean, novelty), 4)
+
+
+def _split(x: Column) -> tuple[Column, Column]:
+    """A double as the sum of two of half its digits each."""
+    big = x * F.lit(134217729.0)
+    high = big - (big - x)
+    return high, x - high
+
+
+def round_exact(x: Column, digits: int) -> Column:
+    """``x`` rounded half to even on the exact value of the double, as Python's ``round`` does.
+
+    The product with 2 * 10 ** digits is taken without error, as a double and what that leaves out; it is
+    compared with the odd number between the two candidates.  ``x`` is best a plain column, since it is named often.  NaN, infinities and doubles too large
+    to have such a digit stay as they are.
+    """
+    if not 0 <= digits <= 10:
+        raise ValueError("digits must be from 0 to 10")
+    scale = 10.0**digits
+    twice = F.lit(2 * scale)
+    product = x * twice
+    (a, b), (c, d) = _split(x), _split(twice)
+    left = ((a * c - product) + a * d + b * c) + b * d
+    lower = F.floor(product / 2).cast("double")
+    # exact sign of (product + left) - (2 * lower + 1): the first difference has no error this near
+    over = (product - (lower * 2 + 1)) + left
+    whole = F.when(over > 0, lower + 1).when(over < 0, lower).otherwise(F.when(lower % 2 == 0, lower).otherwise(lower + 1))
+    fits = F.abs(product) < F.lit(2.0**52)
+    return F.when(~fits | F.isnan(x), x).otherwise(whole / F.lit(scale))

@@ -130,9 +130,11 @@ def _variant(v: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def judged(replies: DataFrame, profile: Profile, model: str = "") -> DataFrame:
+def judged(replies: DataFrame, profile: Profile, model: str = "", exact: bool = False) -> DataFrame:
     """Replies parsed, cleaned and blended: flags, notes, scores, rank_score, or ``error``.
 
+    ``exact``: the rank score is rounded as Python rounds, and not half up on its decimal text.
+
     Columns of the judge replace the paper's of the same name; no other key of a reply is read.  A
     dimension that ``scores`` lacks is looked up beside it; one that is null there is 0.
     """
@@ -154,10 +156,14 @@ def judged(replies: DataFrame, profile: Profile, model: str = "") -> DataFrame:
     ).drop("_v")
     own = {k: F.col(f"score_{k}") for k in profile.dimension_keys}
     mean = sc.weighted_mean(own, profile.weights)
+    parts = (F.col("score_overall_fit"), mean, F.col("score_theory_novelty"))
+    rank = sc.rank_score(*parts)
+    if exact:
+        out, rank = out.withColumn("rank_score", sc.blend(*parts)), sc.round_exact(F.col("rank_score"), 4)
     return out.withColumns(
         {
             "scores": F.create_map(*(x for k, c in own.items() for x in (F.lit(k), c))),
-            "rank_score": sc.rank_score(F.col("score_overall_fit"), mean, F.col("score_theory_novelty")),
+            "rank_score": rank,
             "profile_name": F.lit(profile.name),
             "analysis_tier": F.lit("idea_score"),
             "idea_score_model": F.lit(model),

@@ -117,16 +117,28 @@ def shown(found: DataFrame) -> DataFrame:
     )
 
 
-def home(found: DataFrame) -> DataFrame:
+def home_partial(found: DataFrame) -> DataFrame:
+    """One row, to be merged with those of other articles: counts, sum and maximum."""
+    rank = F.coalesce("rank_score", F.lit(0.0))
+    return found.agg(F.count(F.lit(1)).alias("total"), F.count_if(F.lower("priority") == "keep").alias("keep"), F.sum(rank).alias("sum_rank"), F.max(rank).alias("max_rank"))
+
+
+def home_merged(partial: DataFrame) -> DataFrame:
     """One row: articles, those to keep, mean and highest rank score."""
-    return found.agg(
-        F.count(F.lit(1)).alias("total"),
-        F.count_if(F.lower("priority") == "keep").alias("keep"),
-        F.coalesce(F.avg(F.coalesce("rank_score", F.lit(0.0))), F.lit(0.0)).alias("avg_rank"),
-        F.coalesce(F.max(F.coalesce("rank_score", F.lit(0.0))), F.lit(0.0)).alias("max_rank"),
+    total = F.coalesce(F.sum("total"), F.lit(0))
+    return partial.agg(
+        total.alias("total"),
+        F.coalesce(F.sum("keep"), F.lit(0)).alias("keep"),
+        F.when(total > 0, F.sum("sum_rank") / total).otherwise(0.0).alias("avg_rank"),
+        F.coalesce(F.max("max_rank"), F.lit(0.0)).alias("max_rank"),
     )
 
 
+def home(found: DataFrame) -> DataFrame:
+    """One row: articles, those to keep, mean and highest rank score."""
+    return home_merged(home_partial(found))
+
+
 def top_papers(found: DataFrame, n: int = 8) -> DataFrame:
     return found.orderBy(F.desc("rank_score"), F.asc("id")).limit(n)
 
@@ -152,26 +164,26 @@ def score_value(found: DataFrame, key: str) -> Column:
     return F.coalesce(F.col(key).cast("double") if key in found.columns else F.lit(None).cast("double"), raw, F.lit(0.0))
 
 
-def dimension_stats(found: DataFrame, n: int = 12) -> DataFrame:
-    """Mean and number of high values of each dimension, the strongest first, then the first seen.
-
-    A dimension's values are those of all score maps.  A flat ``score_`` member of a record counts
-    only in the first article in which its dimension appears at all, and only if that article's map
-    has it not.  A null value is 0; one that is no number counts for nothing.
-    """
+def dimension_partial(found: DataFrame) -> DataFrame:
+    """A row for each dimension, to be merged with those of other articles: number, sum and high ones of
+    the score maps' values, and where the dimension first appears."""
     flat = F.map_entries(_flat(_map("raw_json"))) if "raw_json" in found.columns else F.array().cast("array<struct<key:string,value:string>>")
     own = F.transform(F.map_entries(_map("scores_json")), lambda e: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.lit(False).alias("flat")))
     more = F.transform(flat, lambda e: F.struct(F.replace(e["key"], F.lit("score_"), F.lit("")).alias("key"), e["value"].alias("value"), F.lit(True).alias("flat")))
     each = found.select("id", F.posexplode(F.concat(own, more)).alias("place", "e")).select("id", "place", "e.key", "e.value", "e.flat")
     # flat values gather with the rest: one shuffle, and per dimension only the first of them is held
     number = _number(F.col("value"))
-    first = F.min(F.struct("id", "place", "flat", number.alias("v")))
-    stats = each.groupBy("key").agg(
-        first.alias("f"),
+    return each.groupBy("key").agg(
+        F.min(F.struct("id", "place", "flat", number.alias("v"))).alias("f"),
         F.count(F.when(~F.col("flat"), number)).alias("c"),
         F.coalesce(F.sum(F.when(~F.col("flat"), number)), F.lit(0.0)).alias("s"),
         F.count_if(~F.col("flat") & (number >= HIGH)).alias("h"),
     )
+
+
+def dimension_merged(partial: DataFrame, n: int = 12, merge: bool = True) -> DataFrame:
+    """``dimension_stats`` of the articles that ``partial`` is of."""
+    stats = partial.groupBy("key").agg(F.min("f").alias("f"), F.sum("c").alias("c"), F.sum("s").alias("s"), F.sum("h").alias("h")) if merge else partial
     lone = F.col("f.flat") & F.col("f.v").isNotNull()
     count = F.col("c") + lone.cast("long")
     stats = stats.filter(count > 0).select(
@@ -185,6 +197,16 @@ def dimension_stats(found: DataFrame, n: int = 12) -> DataFrame:
     return stats.orderBy(F.desc("avg"), F.desc("high"), "_id", "_place").limit(n).drop("_id", "_place")
 
 
+def dimension_stats(found: DataFrame, n: int = 12) -> DataFrame:
+    """Mean and number of high values of each dimension, the strongest first, then the first seen.
+
+    A dimension's values are those of all score maps.  A flat ``score_`` member of a record counts
+    only in the first article in which its dimension appears at all, and only if that article's map
+    has it not.  A null value is 0; one that is no number counts for nothing.
+    """
+    return dimension_merged(dimension_partial(found), n, merge=False)
+
+
 def score_items(found: DataFrame) -> DataFrame:
     """Long form of an article's scores: (id, place, label, value).
 

@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 from siftline.functions import errors, scores
 from siftline.functions import text as tx
+from siftline.functions.overlay import overlaid
 from siftline import profile
 from siftline.operators import judge, keywords, portal, ranking, rules, textindex
-from siftline.sources import jsonl, shared
+from siftline.sources import jsonl, shared, sinks
+from siftline.sources.articletable import ArticleTable
 from siftline.sources.tables import TITLE_CHARS, papers, table
 from siftline.streaming import runner
 
@@ -632,3 +634,149 @@ def _(spark, sf):
     first = runner.pending(docs.filter("doc_id % 2 = 0"), None)
     second = runner.pending(docs.filter("doc_id % 2 = 1"), first)
     return first.select("doc_id", "source").unionByName(second.select("doc_id", "source"))
+
+
+# -- files, tables, rounds and streams ------------------------------------------------------
+#
+# Each writes what it reads again to the shared folder.
+
+
+@query(
+    "jsonl_round_trip",
+    """SELECT row_number() OVER (ORDER BY doc_id) - 1 AS ordinal, doc_id, md5(coalesce(text, 'none')) AS text_md5, 'object' AS kind FROM documents WHERE doc_id % 50 <> 3
+UNION ALL SELECT NULL, doc_id, NULL, 'bad' FROM documents WHERE doc_id % 50 = 3""",
+)
+def _(spark, sf):
+    # a line for each document, blank lines between, every fiftieth cut short; read leniently
+    whole = F.to_json(F.struct("doc_id", "text"))
+    line = F.concat(F.when(F.col("doc_id") % 50 == 3, F.concat(F.substring_index(whole, ",", 1), F.lit(","))).otherwise(whole), F.when(F.col("doc_id") % 9 == 0, "\n").otherwise(""))
+    path = f"{shared.fresh(spark, 'lines')}/all.jsonl"
+    table(spark, sf, "documents").select("doc_id", line.alias("value")).repartitionByRange("doc_id").sortWithinPartitions("doc_id").select("value").write.text(path)
+    good, bad = jsonl.read_lenient(spark, path)
+    good = good.select("ordinal", jsonl.field("doc_id", "bigint").alias("doc_id"), F.md5(F.coalesce(jsonl.field("text"), F.lit("none")).cast("binary")).alias("text_md5"), F.lit("object").alias("kind"))
+    cut = F.regexp_extract("raw", r"\d+", 0).cast("long")
+    return good.unionByName(bad.select(F.lit(None).cast("long").alias("ordinal"), cut.alias("doc_id"), F.lit(None).cast("string").alias("text_md5"), F.lit("bad").alias("kind")))
+
+
+@query(
+    "jsonl_written_and_counted",
+    "SELECT source AS venue, count(*) AS n, (SELECT 2 * count(*) FROM documents) AS total FROM (SELECT source FROM documents UNION ALL SELECT source FROM documents) GROUP BY source",
+)
+def _(spark, sf):
+    # written in order, the same rows appended, read strictly
+    docs = table(spark, sf, "documents").select("doc_id", F.col("source").alias("venue"))
+    path = shared.fresh(spark, "records")
+    sinks.write_jsonl(docs, path, ["doc_id"])
+    sinks.append_jsonl(docs, path)
+    total = F.lit(jsonl.count(spark, path)).cast("long")
+    return jsonl.read_strict(spark, path).groupBy(jsonl.field("venue").alias("venue")).agg(F.count(F.lit(1)).alias("n")).withColumn("total", total)
+
+
+@query(
+    "record_overlay",
+    """SELECT doc_id, md5(coalesce(text, 'none')) AS text_md5, CASE WHEN doc_id % 2 = 0 THEN 'new' ELSE coalesce(lang, 'none') END AS lang, doc_id % 2 = 0 AS laid, 2 AS kept FROM documents""",
+)
+def _(spark, sf):
+    # every second record gets a member that it has and a null one that it has not
+    docs = table(spark, sf, "documents").withColumn("raw", F.to_json(F.struct("doc_id", "text", "lang"), {"ignoreNullFields": "false"}))
+    laid = overlaid(F.col("raw"), ["lang", "extra"])
+    found = docs.withColumn("lang", F.lit("new")).withColumn("extra", F.lit(None).cast("string")).select(F.try_parse_json(F.when(F.col("doc_id") % 2 == 0, laid).otherwise(F.col("raw"))).alias("v"))
+    names = F.json_object_keys(F.to_json("v"))
+    return found.select(
+        jsonl.field("doc_id", "bigint").alias("doc_id"),
+        F.md5(F.coalesce(jsonl.field("text"), F.lit("none")).cast("binary")).alias("text_md5"),
+        F.coalesce(jsonl.field("lang"), F.lit("none")).alias("lang"),
+        F.array_contains(names, "extra").alias("laid"),
+        F.size(F.array_intersect(names, F.array(F.lit("doc_id"), F.lit("text")))).alias("kept"),
+    )
+
+
+@query("keep_places", f"WITH {_PLACED} SELECT doc_id, title, rule_score, place - 1 AS place FROM placed")
+def _(spark, sf):
+    return rules.placed(_scored(spark, sf), MIN_SCORE).select("doc_id", "title", "rule_score", "place")
+
+
+_CSV = ("rank", "doc_id", "title", "priority", "rank_score", "missing")
+
+
+@query(
+    "csv_export",
+    f"""WITH {_JUDGED} SELECT row_number() OVER (ORDER BY rank_score DESC, score_overall_fit DESC, score_theory_novelty DESC, doc_id)::VARCHAR AS rank,
+  doc_id::VARCHAR AS doc_id, title, priority, rank_score::VARCHAR AS rank_score, '' AS missing FROM judged""",
+)
+def _(spark, sf):
+    # more rows than one task sorts: ranked by ranges, written, read back as text
+    path = shared.fresh(spark, "csv")
+    sinks.write_csv(ranking.export(_judged(spark, sf), _EXPORT, rules.GATHERED + 1_000_000), path, _CSV, ["rank"])
+    found = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    return found.select(*(F.coalesce(c, F.lit("")).alias(c) for c in _CSV))
+
+
+_ROUNDS_SQL = """n AS (SELECT doc_id, doc_id % 700 AS n FROM (SELECT min(doc_id) AS doc_id FROM documents GROUP BY doc_id % 700)),
+s AS (SELECT doc_id, n, n % 20 <> 19 AS ok, least(10, n * 7 % 25 / 2.0) AS fit, n * 11 % 20 / 2.0 AS novelty, n * 13 % 19 / 2.0 AS a, n * 5 % 18 / 2.0 AS c FROM n)"""
+
+
+def _rounds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Results and failures of three rounds over the papers, one for each url."""
+    path = shared.fresh(spark, "rounds")
+    rows = runner.keyed(papers(spark, sf_dir))
+    runner.run_until(rows, PROFILE, _stub, f"{path}/done", f"{path}/failed", batch_size=400, max_rounds=3, max_retries=1, sleep=lambda _: None)
+    return spark.read.parquet(f"{path}/done"), spark.read.parquet(f"{path}/failed/rows")
+
+
+@query(
+    "judged_rounds",
+    f"""WITH {_ROUNDS_SQL} SELECT doc_id, CASE n % 3 WHEN 0 THEN 'keep' WHEN 1 THEN 'drop' ELSE 'maybe' END AS priority, fit::DOUBLE AS score_overall_fit,
+  round(0.45 * fit + 0.4 * (a * 2.0 + c) / 4.2 + 0.15 * novelty, 4)::DOUBLE AS rank_score FROM s WHERE ok""",
+)
+def _(spark, sf):
+    return _rounds(spark, sf)[0].select("doc_id", "priority", "score_overall_fit", "rank_score")
+
+
+@query("judged_failures", f"WITH {_ROUNDS_SQL} SELECT doc_id, 'https://papers.example/' || n AS url, CASE WHEN n % 40 = 19 THEN 'quota' ELSE 'other' END AS failure FROM s WHERE NOT ok")
+def _(spark, sf):
+    # each failed paper as it came, in however many rounds it failed
+    return _rounds(spark, sf)[1].select("doc_id", "url", errors.classify(F.col("failure_reason")).alias("failure")).distinct()
+
+
+@query("stream_resume", "SELECT sha1(text) AS paper_key, min(doc_id % 2) AS batch FROM documents WHERE text IS NOT NULL GROUP BY 1")
+def _(spark, sf):
+    # two loads of files arrive in turn; the second run of the stream skips the keys of the first
+    path = shared.fresh(spark, "stream")
+    keys = table(spark, sf, "documents").filter("text IS NOT NULL").select("doc_id", F.sha1("text").alias("paper_key"))
+    source = lambda: spark.readStream.schema("paper_key string").option("recursiveFileLookup", "true").parquet(f"{path}/in")
+    for load in (0, 1):
+        keys.filter(F.col("doc_id") % 2 == load).select("paper_key").write.parquet(f"{path}/in/{load}")
+        runner.resume_stream(source(), f"{path}/out", f"{path}/checkpoint", lambda batch: batch)
+    return spark.read.parquet(f"{path}/out").select("paper_key", F.col("batch").cast("long").alias("batch"))
+
+
+def _table(spark: SparkSession, sf_dir: str) -> ArticleTable:
+    """A versioned table of all articles, in two loads."""
+    found = _articles(spark, sf_dir)
+    out = ArticleTable(spark, shared.fresh(spark, "articles"), file_rows=200, index=False)
+    # ids are dealt in the order of those that come: the documents' are dense, so they stay
+    half = table(spark, sf_dir, "documents").agg((F.max("doc_id") / 2).cast("long")).first()[0]
+    out.add(found.filter(F.col("id") <= half))
+    out.add(found.filter(F.col("id") > half))
+    return out
+
+
+@query("table_page", ORACLE_SQL["portal_priority"])
+def _(spark, sf):
+    return _table(spark, sf).page(priority="KEEP").select(*_LISTED)
+
+
+@query("table_detail", f"WITH {_ARTICLES} SELECT {', '.join(_ARTICLE)} FROM articles WHERE id = 42")
+def _(spark, sf):
+    return _table(spark, sf).detail(42).select(*_ARTICLE)
+
+
+@query("table_home", ORACLE_SQL["portal_home"])
+def _(spark, sf):
+    return _table(spark, sf).home().withColumn("avg_rank", F.round("avg_rank", 4))
+
+
+@query("table_dimensions", ORACLE_SQL["dimension_stats"])
+def _(spark, sf):
+    return _table(spark, sf).dimension_stats().withColumn("avg", F.round("avg", 4))

@@ -20,7 +20,7 @@ def append_jsonl(df: DataFrame, path: str) -> None:
 
 
 def write_csv(df: DataFrame, path: str, fields: Sequence[str], order: Sequence[str] = ()) -> None:
-    """Header, the given fields in turn, missing ones empty; arrays and maps as JSON."""
+    """Header, the given fields in turn, missing ones empty, white space kept; arrays and maps as JSON."""
     kinds = dict(df.dtypes)
     out = df.orderBy(*order) if order else df
     columns = []
@@ -31,7 +31,7 @@ def write_csv(df: DataFrame, path: str, fields: Sequence[str], order: Sequence[s
             columns.append(F.to_json(f).alias(f))
         else:
             columns.append(F.col(f))
-    out.select(*columns).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    out.select(*columns).write.mode("overwrite").options(header=True, escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
 def summary_json(row: DataFrame) -> str:

@@ -48,7 +48,8 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
     except AnalysisException as e:
-        if "PATH_NOT_FOUND" in str(e):
+        # nothing there, or nothing committed yet
+        if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER_SCHEMA" in str(e):
             return None
         raise
 
