@@ -11,8 +11,11 @@ links between two kept lines of one container.
 Where a page says what its parts are, that decides a line's weight.  Lines in a menu, header,
 footer, sidebar, form, advert or the like, by element or by class, weigh nothing and are not
 reported; where an article or main part has text, so is it with all lines outside.  A part that
-holds an article or main part, or most of the page's text (all of it, where an element or a class
-word of its own names it), cannot be beside the text, whatever it is called.
+holds most of the page's text (all of it, where an element or a class word of its own names it) cannot
+be beside the text, whatever it is called, nor can one that holds an article or main part, unless
+most of the text that is in such parts is elsewhere; of readers' comments, which may well be longer than
+what they comment on, any elsewhere will do.  Of several articles, those with less than a fifth
+of the largest one's text are teasers, or comments within it, and go.
 
 Defined results: null or empty html gives the empty text; broken markup is read as far as it
 goes (unclosed paragraphs end at the next block, unclosed parts at the end of what encloses
@@ -58,11 +61,16 @@ HOLDERS = frozenset("article body center div main section td".split())
 BESIDE = frozenset(
     "ad ads adv advert advertisement advertising adsense sponsor sponsored sponsors promo promotion promoted banner nav navbar navigation menu breadcrumb breadcrumbs sidebar masthead topbar header footer cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login comment comments respond disqus replies related recommended share sharing social widget widgets toolbar pagination pager skip complementary contentinfo search alert dialog hidden".split()
 )
-#: Of these, what may well hold more text than the article; in a compound they name a part too.
-COMMENTS = frozenset("comment comments respond disqus replies".split())
-#: Words that turn a compound: with-sidebar, no-ads, entry-header, ad-free.
-TURNS_FIRST = frozenset("with has have no not non without show entry post article story content".split())
-TURNS_LAST = frozenset("free less off layout page wrapper container body content".split())
+#: Of these, what may well hold more text than the article, and what an article may be marked by.
+COMMENTS = frozenset("comment comments respond disqus replies commentlist".split())
+LESSER = COMMENTS | frozenset("ad ads advert promo promoted sponsored related recommended teaser teasers".split())
+#: Words that turn a compound: with-sidebar, no-ads, ad-free, comments-open; and what heads an article: entry-header.
+TURNS_FIRST = frozenset("with has have no not non without show hide".split())
+TURNS_LAST = frozenset("free less off layout page wrapper container body content open closed on enabled disabled".split())
+HEADS_FIRST = frozenset("entry post article story content".split())
+HEADS_LAST = frozenset("header masthead banner".split())
+#: Share of the largest article's text, in hundredths, below which another one is beside it.
+TEASER = 20
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|$)|[!?][^>]*(?:>|$)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(/?)(?:>|$)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|$))", re.S)
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
@@ -72,28 +80,41 @@ _RAW_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|$)", re.I) for t in RAW}
 OUT = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
 
-def _class_mark(word: str) -> int:
-    """``NAMED`` or ``COMPOUND`` for a class word that marks a part beside the text, else 0."""
-    if word in BESIDE:
-        return NAMED
+def _class_mark(word: str) -> tuple[int, bool]:
+    """``NAMED`` or ``COMPOUND`` for a class word that marks a part beside the text, else 0; and whether
+    it names readers' comments."""
+    if word in BESIDE or word in COMMENTS:
+        return NAMED, word in COMMENTS
     parts = [p for p in _SPLIT.split(word) if p]
-    if len(parts) < 2 or parts[0] in TURNS_FIRST or parts[-1] in TURNS_LAST:
-        return 0
-    ends = {parts[0], parts[-1]}
-    return NAMED if ends & COMMENTS else COMPOUND if ends & BESIDE else 0
-
-
-def _mark(name: str, attributes: str, in_article: bool) -> tuple[int, bool]:
-    """What marks an element as beside the text, and whether a reader never sees it."""
-    mark = NAMED if name in ASIDE and not (name == "header" and in_article) else 0
-    if attributes and name not in ARTICLE and name not in ("html", "body"):
+    if len(parts) < 2 or parts[0] in TURNS_FIRST:
+        return 0, False
+    if parts[0] in HEADS_FIRST and parts[-1] in HEADS_LAST:
+        return 0, False
+    # comment-body and post-comments are comments, whatever else turns
+    if COMMENTS & {*parts} and parts[-1] not in TURNS_LAST - {"body", "content", "container", "wrapper"}:
+        return NAMED, True
+    if parts[-1] in TURNS_LAST:
+        return 0, False
+    return (COMPOUND if {parts[0], parts[-1]} & BESIDE else 0), False
+
+
+def _mark(name: str, attributes: str, in_article: bool) -> tuple[int, bool, bool]:
+    """What marks an element as beside the text, whether that is comments, and whether a reader never
+    sees it."""
+    mark, comments = NAMED if name in ASIDE and not (name == "header" and in_article) else 0, False
+    if attributes and name not in ("main", "html", "body"):
         for key, value in _ATTR.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                return mark, True
+                if name not in ARTICLE:
+                    return mark, comments, True
             if key in ("class", "id", "role"):
-                mark = max([mark, *map(_class_mark, value.split())])
-    return mark, False
+                for word in value.split():
+                    if name in ARTICLE and not LESSER & {word, *_SPLIT.split(word)}:
+                        continue
+                    of_word = _class_mark(word)
+                    mark, comments = max(mark, of_word[0]), comments or of_word[1]
+    return mark, comments, False
 
 
 @dataclass
@@ -102,26 +123,31 @@ class Line:
 
     text: str = ""
     weight: int = 0
-    #: number of the article it is in, of the innermost container and of the innermost marked part; 0 without
+    #: number of the article or main part it is in, of the innermost article, of the innermost container and
+    #: of the innermost marked part; 0 without
     article: int = 0
+    piece: int = 0
     holder: int = 0
     part: int = 0
 
 
 @dataclass
 class Part:
-    """A marked part: its mark, the marked part around it, its characters, whether it holds an article."""
+    """A marked part: its mark, whether it is comments, the marked part around it, its characters, those of
+    them in articles, whether an article or main part begins in it."""
 
     mark: int
+    comments: bool
     outer: int
     chars: int = 0
+    in_articles: int = 0
     article: bool = False
 
 
 @dataclass
 class Page:
     lines: list[Line] = field(default_factory=list)
-    parts: list[Part] = field(default_factory=lambda: [Part(0, 0)])
+    parts: list[Part] = field(default_factory=lambda: [Part(0, False, 0)])
 
 
 @dataclass
@@ -131,6 +157,7 @@ class _Open:
     name: str
     silent: bool
     article: int
+    piece: int
     holder: int
     part: int
 
@@ -144,7 +171,7 @@ class _Reader:
         #: places of open block elements, and how many are open by name
         self.blocks: list[int] = []
         self.names: Counter = Counter()
-        self.article = self.holder = self.part = self.silent = self.opened = 0
+        self.article = self.piece = self.holder = self.part = self.silent = self.opened = 0
         self.words: list[str] = []
         self.linked: list[str] = []
 
@@ -161,23 +188,25 @@ class _Reader:
         self.words, self.linked = [], []
         lines = self.page.lines
         if text or any(x.text for x in lines[-WINDOW:]):
-            lines.append(Line(text, weight, self.article, self.holder, self.part))
+            lines.append(Line(text, weight, self.article, self.piece, self.holder, self.part))
             self.page.parts[self.part].chars += weight
+            self.page.parts[self.part].in_articles += weight if self.article else 0
 
     def open(self, name: str, attributes: str) -> None:
-        mark, unseen = _mark(name, attributes, self.article > 0)
+        mark, comments, unseen = _mark(name, attributes, self.article > 0)
         silent = unseen or name in SILENT
-        self.stack.append(_Open(name, silent, self.article, self.holder, self.part))
+        self.stack.append(_Open(name, silent, self.article, self.piece, self.holder, self.part))
         self.opened += 1
         self.silent += silent
         self.names[name] += 1
         if name in BLOCKS:
             self.blocks.append(len(self.stack) - 1)
         if mark:
-            self.page.parts.append(Part(mark, self.part))
+            self.page.parts.append(Part(mark, comments, self.part))
             self.part = len(self.page.parts) - 1
         if name in ARTICLE and not silent:
             self.article = self.article or self.opened
+            self.piece = self.opened if name == "article" else self.piece
             # outer parts learn of it when all is read
             self.page.parts[self.part].article = True
         if name in HOLDERS:
@@ -190,7 +219,7 @@ class _Reader:
                 self.blocks.pop()
             self.silent -= top.silent
             self.names[top.name] -= 1
-            self.article, self.holder, self.part = top.article, top.holder, top.part
+            self.article, self.piece, self.holder, self.part = top.article, top.piece, top.holder, top.part
 
     def closing(self, name: str) -> None:
         if name in BLOCKS:
@@ -245,19 +274,36 @@ def read(page: str) -> Page:
     parts = r.page.parts
     for p in reversed(parts[1:]):
         parts[p.outer].chars += p.chars
+        parts[p.outer].in_articles += p.in_articles
         parts[p.outer].article |= p.article
     return r.page
 
 
 def beside(page: Page) -> list[bool]:
     """Whether each marked part is beside the text, with all in it."""
-    whole = page.parts[0].chars
+    whole = page.parts[0]
     out = [False]
     for p in page.parts[1:]:
-        out.append(out[p.outer] or not p.article and p.chars * 100 < max(1, whole) * p.mark)
+        elsewhere = whole.in_articles - p.in_articles
+        if p.article:
+            aside = elsewhere > (0 if p.comments else p.in_articles)
+        else:
+            # comments on an article may be longer than it, as long as there is one
+            aside = p.chars * 100 < max(1, whole.chars) * p.mark or p.comments and elsewhere > 0
+        out.append(out[p.outer] or aside)
     return out
 
 
+def lesser(lines: list[Line], shown: list[bool]) -> set[int]:
+    """Articles that have too little of the text to be it."""
+    held: Counter = Counter()
+    for s, x in zip(shown, lines, strict=True):
+        if s and x.piece:
+            held[x.piece] += len(x.text)
+    most = max(held.values(), default=0)
+    return {piece for piece, n in held.items() if n * 100 < most * TEASER}
+
+
 def runs(weights: list[int]) -> list[tuple[int, int, int]]:
     """(surge, dive, heaviest block sum) of each stretch of block sums above zero."""
     n = len(weights)
@@ -288,6 +334,8 @@ def main_text(page: str | None) -> str:
     shown = [bool(x.text) and not aside[x.part] for x in lines]
     if any(s and x.article for s, x in zip(shown, lines, strict=True)):
         shown = [s and x.article > 0 for s, x in zip(shown, lines, strict=True)]
+        small = lesser(lines, shown)
+        shown = [s and x.piece not in small for s, x in zip(shown, lines, strict=True)]
         # links between the article's own lines weigh as text there
         weights = [len(x.text) if s else 0 for s, x in zip(shown, lines, strict=True)]
         place = [x.article for x in lines]
