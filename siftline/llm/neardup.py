@@ -17,8 +17,10 @@
    their shingles, ordered from rare to common, linked sets meet in the rarest quarter.  A copy
    that was changed beyond the threshold has a rarest quarter of its own and is out; so is a
    page that shares but a passage.
-5. These lists propose leaders, then all pairs still in different components.  No link between
-   components is missed, and a list inside one component proposes nothing.
+5. These lists propose leaders, then pairs still in different components.  Members of a list meet
+   only where their sizes and what they can still share leave room for a link, so pages of one template that
+   differ in the rest do not meet at all.  No link between components is missed, and a list inside one
+   component proposes nothing.
 
 Joins and partial aggregates carry all of it, so Spark can split a hot list or class, and no
 task holds a whole group.  Python only hashes words; sets are compared where Spark holds them, so
@@ -196,12 +198,35 @@ def mixed_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def open_pairs(mixed: DataFrame) -> DataFrame:
-    """All pairs of list members that are in different components so far."""
+    """All pairs of members of short lists that are in different components so far."""
     right = mixed.select("value", F.col("node").alias("other"), F.col("n").alias("m"), F.col("most").alias("most_other"), F.col("label").alias("other_label"))
     pairs = mixed.join(right, "value").filter((F.col("node") < F.col("other")) & (F.col("label") != F.col("other_label")) & _possible())
     return pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
 
 
+def _grade(n: Column) -> Column:
+    """Sizes in grades of a twentieth."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(1.05))).cast("int")
+
+
+def open_pairs_by_size(mixed: DataFrame) -> DataFrame:
+    """As ``open_pairs``, for lists of any length: members meet only where their sizes leave room.
+
+    A member of size n that shares at most ``most`` values with whom it meets here can be linked with sizes
+    up to most * (100 + SIMILARITY) / SIMILARITY - n, and from n * SIMILARITY / 100.  Most pages that share
+    a template and have more of their own than a link allows reach no size at all, and so drop out before
+    any two of them meet.  The larger member looks the grades of size that it reaches up.
+    """
+    reach = F.floor(F.col("most") * (100 + SIMILARITY) / SIMILARITY).cast("long") - F.col("n")
+    least, most = F.ceil(F.col("n") * SIMILARITY / 100).cast("long"), F.least(F.col("n"), reach)
+    larger = mixed.withColumn("grade", F.when(least <= most, F.sequence(_grade(least), _grade(most)))).filter("grade IS NOT NULL").withColumn("grade", F.explode("grade"))
+    smaller = mixed.filter(reach >= F.col("n"))
+    smaller = smaller.select("value", _grade(F.col("n")).alias("grade"), F.col("node").alias("other"), F.col("n").alias("m"), F.col("most").alias("most_other"), F.col("label").alias("other_label"))
+    ordered = (F.col("m") < F.col("n")) | (F.col("m") == F.col("n")) & (F.col("other") < F.col("node"))
+    pairs = larger.join(smaller, ["value", "grade"]).filter(ordered & (F.col("label") != F.col("other_label")) & _possible())
+    return pairs.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
+
+
 def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Pairs that the union sketch, the K smallest of both sketches, leaves possible."""
     x = classes.select(F.col("node").alias("a"), F.col("sketch").alias("sa"))
@@ -304,7 +329,7 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", by_text:
     second = common.materialize(estimated(pairs.join(first, ["a", "b"], "left_anti"), classes), "neardup-pairs")
     labels = _merged(labels, second, sets_of)
     if exact is not None:
-        pairs = open_pairs(mixed_lists(exact, labels)).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
+        pairs = open_pairs_by_size(mixed_lists(exact, labels)).join(first, ["a", "b"], "left_anti").join(second, ["a", "b"], "left_anti")
         third = common.materialize(estimated(pairs, classes), "neardup-pairs")
         labels = _merged(labels, third, sets_of)
         common.discard(exact, third)

@@ -123,6 +123,36 @@ def test_components_of_very_long_texts(spark):
     assert got == {1: (sets[0], 1), 2: (sets[1], 1), 3: (sets[2], 3), 4: (sets[3], 3), 5: (1, 5), 6: (1, 5)}
 
 
+def template_pages(n, shared, own, seed=3):
+    """Pages that share ``shared`` words and have as many of their own as ``own`` draws."""
+    rng = random.Random(seed)
+    head = " ".join(f"t{i}" for i in range(shared))
+    return [(i, head + " " + " ".join(f"p{i}w{j}" for j in range(own(rng)))) for i in range(n)]
+
+
+def test_components_of_template_pages(spark):
+    check_components(spark, template_pages(300, 400, lambda rng: 100))
+    # own parts around what a link allows, and the template alone
+    docs = template_pages(260, 400, lambda rng: rng.choice((0, 20, 60, 66, 68, 90, 130, 140, 300)))
+    check_components(spark, docs + [(1000 + i, t) for i, t in template_pages(120, 90, lambda rng: rng.randrange(60), 4)])
+
+
+def test_template_pages_do_not_meet(spark):
+    rows = [(7, i, 496, 396, i) for i in range(3000)] + [(8, i, 100, 90, i) for i in range(50)] + [(8, 99, 80, 80, 99)]
+    lists = spark.createDataFrame(rows, "value long, node long, n long, most long, label long")
+    assert neardup.open_pairs_by_size(lists.filter("value = 7")).count() == 0
+    got = neardup.open_pairs_by_size(lists).collect()
+    want = neardup.open_pairs(lists.filter("value = 8")).collect()
+    assert sorted(got) == sorted(want) and len(want) == 50 * 49 / 2 + 50
+
+
+def test_pairs_by_size_are_all_pairs(spark):
+    rng = random.Random(2)
+    rows = [(rng.randrange(4), i, n := rng.randrange(1, 90), rng.randrange(1, n + 1), i % 9) for i in range(400)]
+    lists = spark.createDataFrame(rows, "value long, node long, n long, most long, label long")
+    assert sorted(neardup.open_pairs_by_size(lists).collect()) == sorted(neardup.open_pairs(lists).collect()) != []
+
+
 def test_components_of_odd_rows(spark):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in neardup.classify(odd(spark)).collect()), key=str)
     assert got == sorted([(1, 1, 1, True), (1, 1, 1, True), (2, 0, 2, True), (None, 0, None, True), (4, 1, 4, True), (5, 0, 5, True)], key=str)
