@@ -32,8 +32,8 @@ MODULUS, HELD_OUT = 4, 2
 UNKNOWN = "und"
 #: Bytes of a window, units of each direction.
 STEPS, UNITS = 64, 16
-#: Bounds of the training sample: documents of a language, bytes of a document, languages.
-SAMPLE, SAMPLE_BYTES, LANGUAGES = 100, 1 << 18, 256
+#: Bounds of the training sample: documents of a language, bytes of a document, languages, bytes in all.
+SAMPLE, SAMPLE_BYTES, LANGUAGES, TOTAL_BYTES = 100, 1 << 18, 256, 64 << 20
 EPOCHS, BATCH, RATE = 4, 128, 0.02
 #: Windows run at once when predicting.
 WINDOWS = 4096
@@ -170,13 +170,15 @@ class Network:
         return loss
 
 
-def sample(rows: DataFrame, per_language: int = SAMPLE) -> list[tuple[str, str]]:
-    """(text, language) of training documents, about ``per_language`` each, chosen by hash."""
-    rows = rows.filter(F.octet_length("text") <= SAMPLE_BYTES)
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+def sample(rows: DataFrame, per_language: int = SAMPLE, total_bytes: int = TOTAL_BYTES) -> list[tuple[str, str]]:
+    """(text, language) of training documents, chosen by hash: of each language about ``per_language``,
+    and about its even share of ``total_bytes`` at most, so that the driver holds no more than that."""
+    rows = rows.withColumn("_bytes", F.octet_length("text")).filter(F.col("_bytes") <= SAMPLE_BYTES)
+    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum("_bytes").alias("bytes")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not sizes:
         return []
-    share = F.create_map(*(F.lit(v) for k, n in sorted(sizes.items()) for v in (k, min(1.0, per_language / n))))
+    even = total_bytes / len(sizes)
+    share = F.create_map(*(F.lit(v) for r in sorted(sizes, key=lambda r: r.lang) for v in (r.lang, min(1.0, per_language / r.n, even / max(1, r.bytes)))))
     u = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(-1)), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
     got = rows.filter(u < F.element_at(share, F.col("lang"))).select("doc_id", "text", "lang").collect()
     return [(r.text, r.lang) for r in sorted(got, key=lambda r: (r.doc_id is None, r.doc_id or 0, r.text))]

@@ -30,8 +30,8 @@ SEED = "mix-1"
 EXPONENT = 0.5
 #: Rates from which a table leaves out what lies far below the mean.
 FROM_ZERO = 1000
-#: More sources than this are joined by shuffle.
-BROADCAST_SOURCES = 10_000
+#: More sources than this, or more numbers in all their tables (16 MB), are joined by shuffle.
+BROADCAST_SOURCES, BROADCAST_NUMBERS = 10_000, 2 << 20
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -95,7 +95,8 @@ def mix(
     """
     own = [c for c in docs.columns if c not in ("n_copies", "copy", "shuffle_key")]
     table = materialize(rates(docs, source, weights, total, exponent), "mix-rates")
-    if table.count() <= BROADCAST_SOURCES:
+    held = table.agg(F.count(F.lit(1)).alias("sources"), F.coalesce(F.sum(F.size("_mix_cdf")), F.lit(0)).alias("numbers")).first()
+    if held.sources <= BROADCAST_SOURCES and held.numbers <= BROADCAST_NUMBERS:
         table = F.broadcast(table)
     u = uniform(seed, F.col(key))
     drawn = docs.select(*own).join(table, F.col(source).eqNullSafe(F.col("_mix_source"))).withColumn("_mix_u", u)

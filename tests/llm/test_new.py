@@ -11,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from siftline.llm import bitslice, bytebpe, fim, registry, wordtok
+from siftline.llm import bitslice, bytebpe, fim, langid, mixing, registry, wordtok
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -260,3 +260,26 @@ def test_fim_twin(spark):
 def test_fim_needs_no_python(spark):
     plan = registry.op13_fim(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+# -- bounds of what is gathered -----------------------------------------------------------
+
+
+def test_language_sample_is_bounded_in_bytes(spark):
+    rows = spark.range(4000).selectExpr("id AS doc_id", "repeat('word ', 100) AS text", "CASE WHEN id % 4 = 0 THEN 'a' ELSE 'b' END AS lang")
+    got = langid.sample(rows, per_language=1000, total_bytes=100_000)
+    for lang in "ab":
+        assert 30_000 < sum(len(t) for t, k in got if k == lang) < 70_000
+    assert len(langid.sample(rows, per_language=10)) < 50 and langid.sample(rows.limit(0)) == []
+
+
+def test_large_tables_of_rates_are_shuffled(spark, monkeypatch):
+    docs = spark.range(400).selectExpr("id AS doc_id", "'t' AS text", "concat('s', id % 4) AS source")
+    want = sorted(mixing.mix(docs).collect(), key=str)
+    monkeypatch.setattr(mixing, "BROADCAST_NUMBERS", 10)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = mixing.mix(docs)
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString() and sorted(found.collect(), key=str) == want
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
