@@ -2,11 +2,16 @@
 
 Each line of a text stands three rules in turn:
 
-* punctuation: it has more marks than words, or it has ``UNENDED_WORDS`` words or more and
-  shows no mark of a sentence at all;
+* punctuation: more than a quarter of its characters, white space aside, are noise, that is
+  characters that prose has no use for and doubled marks; or it has ``UNENDED_WORDS`` words or more
+  and shows no mark that ends or parts a sentence in any of the scripts of ``SENTENCE``.  Quotes,
+  dashes, brackets and the marks of a sentence are no noise, so dialogue stays, and as characters
+  are counted and not words, so do scripts without spaces;
 * navigation: ``SEPARATORS`` or more words are nothing but menu separators, or separators are a
-  quarter of its words;
-* boilerplate: it carries a notice such as a licence, cookie or copyright line.
+  quarter of its words; a closing quote is none where the line opens one;
+* boilerplate: notices, such as of licences, cookies or copyright, make up ``NOTICE_SHARE``
+  hundredths or more of a line of at most ``NOTICE_CHARS`` characters, so that prose that speaks
+  of a policy stays.  What calls upon the reader ("read more") counts where a line begins with it.
 
 Failing lines are removed, and a document that loses more than half of its characters goes.
 Counts over the whole text stand beside the verdict.
@@ -29,15 +34,24 @@ from pyspark.sql import functions as F
 
 #: A word and a run of white space, in both regular-expression dialects; symbols.
 WORD, SPACE, SYMBOLS = r"[^\x20\x09-\x0D]+", r"[\x20\x09-\x0D]+", "#*$%&|<>"
-#: A mark: neither letter, number nor white space.
-MARK = r"[^\p{L}\p{M}\p{N}\s]"
-SENTENCE = r"[.!?;:…。]"
-SEPARATOR = r"(?:^|[\x20\x09-\x0D])[|·»>/](?=[\x20\x09-\x0D]|$)"
+#: Marks of prose in common scripts; those of them that end or part a sentence.
+PROSE = r".,;:!?…\x27\x22“”‘’«»‹›„‚()¿¡\-–—·、。，；：！？「」『』（）《》〈〉・।॥؟،؛۔։።"
+SENTENCE = r"[.!?;:…。！？；：।॥؟؛۔։።]"
+DOUBLED = r"!!+|\?\?+|,,+|;;+"
+#: Neither letter, number, white space nor mark of prose; or marks that are doubled.
+PLAIN = rf"a-zA-Z\p{{L}}\p{{M}}\p{{N}}\p{{Z}}\p{{Cf}}\x09-\x0D{PROSE}"
+NOISE = rf"[^{PLAIN}]|{DOUBLED}"
+SEPARATOR = r"(?:^|[\x20\x09-\x0D])[|·>/](?=[\x20\x09-\x0D]|$)"
+CLOSING = r"(?:^|[\x20\x09-\x0D])»(?=[\x20\x09-\x0D]|$)"
+#: Most of a line's characters that may be noise, as one in so many.
+NOISE_PART = 4
 UNENDED_WORDS = 12
 SEPARATORS = 3
 #: Most of a text's characters that cleaning may remove, in hundredths.
 MOST_LOST = 50
 MIN_WORDS, MOST_REPEATED = 50, 50
+#: Least share of a line, in hundredths, that notices make up; characters of the longest such line.
+NOTICE_SHARE, NOTICE_CHARS = 20, 400
 #: Phrases of notices, lower case.
 NOTICES = (
     "all rights reserved",
@@ -54,13 +68,26 @@ NOTICES = (
     "released under the",
     "licensed under",
     "public license",
+    "powered by",
+    "alle rechte vorbehalten",
+    "datenschutzerklärung",
+    "verwendet cookies",
+    "tous droits réservés",
+    "politique de confidentialité",
+    "utilise des cookies",
+    "todos los derechos reservados",
+    "política de privacidad",
+    "utiliza cookies",
+)
+#: What calls upon the reader, lower case.
+CALLS = (
     "click here",
     "read more",
     "sign up for",
     "subscribe to",
     "log in to",
     "enable javascript",
-    "powered by",
+    "please enable javascript",
     "skip to content",
 )
 
@@ -80,17 +107,37 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+def _shape_fails(line: Column) -> Column:
+    """Punctuation and navigation.  Most lines have nothing odd and show a mark: two searches."""
+    words = F.size(words_of(line))
+    noise = F.length(line) - F.length(F.regexp_replace(line, NOISE, ""))
+    solid = F.length(F.regexp_replace(line, SPACE, ""))
+    bars = _count(line, SEPARATOR) + F.when(line.contains("«"), 0).otherwise(_count(line, CLOSING))
+    odd = (noise * NOISE_PART > solid) | (bars >= SEPARATORS) | (bars * 4 >= F.greatest(words, F.lit(1)))
+    # what a line must hold for noise or separators; a run of plain letters is passed over at once,
+    # which is far cheaper than a search for NOISE
+    some = ~line.rlike(rf"^(?:[a-zA-Z ,.]++|[{PLAIN}])*+$")
+    for n in ("·", "»", "!!", "??", ",,", ";;"):
+        some = some | line.contains(n)
+    return (~line.rlike(SENTENCE) & (words >= UNENDED_WORDS)) | (some & odd)
+
+
+def _notice_fails(line: Column) -> Column:
+    def share(low: Column) -> Column:
+        found = F.lit(0)
+        for n in NOTICES:
+            found = found + F.when(low.contains(n), len(n)).otherwise(0)
+        for n in CALLS:
+            found = found + F.when(low.startswith(n), len(n)).otherwise(0)
+        return found * 100 >= F.length(low) * NOTICE_SHARE
+
+    # an array of one, so that the lower-cased line is worked out once
+    return (F.length(line) <= NOTICE_CHARS) & F.exists(F.array(F.lower(F.btrim(line))), share)
+
+
 def line_fails(line: Column) -> Column:
     """Whether a line stands against any of the rules."""
-    low = F.lower(line)
-    words = F.size(words_of(line))
-    marks = F.length(line) - F.length(F.regexp_replace(line, MARK, ""))
-    bare = F.length(line) == F.length(F.regexp_replace(line, SENTENCE, ""))
-    bars = F.when(line.rlike(SEPARATOR), _count(line, SEPARATOR)).otherwise(0)
-    notice = F.lit(False)
-    for n in NOTICES:
-        notice = notice | low.contains(n)
-    return (marks > words) | ((words >= UNENDED_WORDS) & bare) | (bars >= SEPARATORS) | (bars * 4 >= F.greatest(words, F.lit(1))) | notice
+    return _shape_fails(line) | _notice_fails(line)
 
 
 def repeated_words(words: Column) -> Column:
@@ -142,8 +189,9 @@ def cleaned(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.withColumn(text, F.array_join(lines, "\n"))
 
 
-def _sql_like() -> str:
-    return " OR ".join(f"contains(lower(line), '{n}')" for n in NOTICES)
+def _sql_notices() -> str:
+    found = [f"CASE WHEN contains(low, '{n}') THEN {len(n)} ELSE 0 END" for n in NOTICES]
+    return " + ".join(found + [f"CASE WHEN starts_with(low, '{n}') THEN {len(n)} ELSE 0 END" for n in CALLS])
 
 
 #: DuckDB's form of ``inspect`` over ``documents``.
@@ -158,16 +206,17 @@ win AS (
 rep AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, w1, w2, w3) AS n FROM win) WHERE n > 1),
 cov AS (SELECT r, count(DISTINCT i + d) AS n_repeat_words FROM rep, range(3) AS g(d) GROUP BY r),
 lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM rows),
-worded AS (SELECT r, line FROM lines WHERE regexp_matches(line, '{WORD}')),
+worded AS (SELECT r, line, lower(trim(line, ' ')) AS low FROM lines WHERE regexp_matches(line, '{WORD}')),
 judged AS (
   SELECT r, line, len(regexp_extract_all(line, '{WORD}')) AS words,
-    length(line) - length(regexp_replace(line, '[^\p{{L}}\p{{M}}\p{{N}}\s]', '', 'g')) AS marks,
-    NOT regexp_matches(line, '[.!?;:\x{{2026}}\x{{3002}}]') AS bare,
-    len(list_filter(regexp_extract_all(line, '{WORD}'), lambda w: w IN ('|', '·', '»', '>', '/'))) AS bars,
-    ({_sql_like()}) AS notice
+    length(line) - length(regexp_replace(line, '{NOISE}', '', 'g')) AS noise,
+    length(regexp_replace(line, '{SPACE}', '', 'g')) AS solid,
+    NOT regexp_matches(line, '{SENTENCE}') AS bare,
+    len(list_filter(regexp_extract_all(line, '{WORD}'), lambda w: w IN ('|', '·', '>', '/') OR (w = '»' AND NOT contains(line, '«')))) AS bars,
+    length(line) <= {NOTICE_CHARS} AND ({_sql_notices()}) * 100 >= length(low) * {NOTICE_SHARE} AS notice
   FROM worded),
 verdict AS (
-  SELECT *, (marks > words OR (words >= {UNENDED_WORDS} AND bare) OR bars >= {SEPARATORS}
+  SELECT *, (noise * {NOISE_PART} > solid OR (words >= {UNENDED_WORDS} AND bare) OR bars >= {SEPARATORS}
     OR bars * 4 >= greatest(words, 1) OR notice) AS fails FROM judged),
 per AS (
   SELECT r, count(*) AS n_lines, count(*) FILTER (NOT fails) AS n_lines_kept,

@@ -520,13 +520,29 @@ def test_counts_of_texts(spark):
 
 @pytest.mark.parametrize(
     ("line", "fails"),
-    [("A plain sentence, as they go.", False), ("Short title", False), ("Home | News | About | Help", True), ("a | b", True), ("WHAT!! IS!! THIS!!", True), ("Released under the MIT License.", True), ("this line of thirteen words or more goes on without any mark at all", True)],
+    [("A plain sentence, as they go.", False), ("Short title", False), ("Home | News | About | Help", True), ("a | b", True), ("WHAT!! IS!! THIS!!", True), ("Released under the MIT License.", True), ("this line of thirteen words or more goes on without any mark at all", True)]
+    # dialogue, scripts without spaces, sentences ended by other marks
+    + [('"Yes," he said.', False), ('"Oh?" "No."', False), ("« Oui, dit-il. »", False), ("是的，他说。", False), ("「好。」", False), ("यह एक बहुत लंबा वाक्य है जो बिना किसी लैटिन चिह्न के चलता है।", False)]
+    # prose that speaks of what notices speak of, and notices
+    + [("Read more about the history of the town in the chapter that follows.", False), ("The company's privacy policy was debated in parliament for several days.", False), ("The town bought a public license for the fair, as it had done in each of the last years.", False)]
+    + [("Read more »", True), (" Subscribe to our newsletter", True), ("Tous droits réservés", True), ("© 2020 The Company. All rights reserved.", True), ("Home » News", True), ("to%%% ththwh$$$ oueand$$$ anthth$$$", True)],
 )
 def test_line_rules(spark, line, fails):
     df = spark.createDataFrame([(line,)], "line string").select(lineclean.line_fails(lineclean.F.col("line")))
     assert df.first()[0] == fails
 
 
+def test_dialogue_and_scripts_without_spaces_are_kept(spark):
+    said = ['"Yes," he said.', '"No," she said, "not now."', "They went on."] * 3
+    talk = "\n".join(f"{x[:-2]} {w}{x[-2:]}" for x, w in zip(said * 3, "abcdefghijklmnopqrstuvwxyz", strict=False))
+    chinese = "\n".join(f"他说，{i} 今天 天气 很好。" for i in range(30))
+    got = {r.doc_id: r for r in lineclean.inspect(spark.createDataFrame([(1, talk), (2, chinese)], "doc_id long, text string")).collect()}
+    assert got[1].n_lines_kept == got[1].n_lines == 26 and got[2].n_lines_kept == got[2].n_lines == 30
+    assert got[1].kept == (not got[1].base_failed) and got[2].kept == (not got[2].base_failed)
+    long = spark.createDataFrame([("é, ö. " * 200_000,), ("é, ## " * 200_000,)], "line string").select(lineclean.line_fails(lineclean.F.col("line")))
+    assert [r[0] for r in long.collect()] == [False, True]
+
+
 def test_cleaned_text_and_odd_rows(spark):
     df = spark.createDataFrame([(1, "Fine words here.\nHome | News | About | Help\n\nMore words."), (2, None)], "doc_id long, text string")
     assert [r.text for r in lineclean.cleaned(df).orderBy("doc_id").collect()] == ["Fine words here.\nMore words.", None]
