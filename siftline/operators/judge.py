@@ -10,11 +10,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siftline.batches import slices
 from siftline.functions import scores as sc
 from siftline.functions import text as tx
 from siftline.profile import Profile
@@ -93,6 +94,9 @@ def ask(papers: DataFrame, scorer: Scorer, max_retries: int = 2, retry_sleep: fl
     A failed call becomes a row, never an exception.  With a ``journal`` each reply is kept as it
     comes, and a task that is tried again asks only for what is not there yet.  Callers write the
     result once before they split it.
+
+    A task holds some 2 MB of prompts as Python objects (or one prompt) and their replies, whatever
+    the table's size; the paper's columns pass as Arrow batches.
     """
     if max_retries < 1:
         raise ValueError("max_retries must be at least 1")
@@ -109,11 +113,11 @@ def ask(papers: DataFrame, scorer: Scorer, max_retries: int = 2, retry_sleep: fl
                     sleep(retry_sleep)
         return {"reply": None, "error": error}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept = journal.writer() if journal is not None else None
-        for batch in batches:
+        for batch in slices(batches, "prompt"):
             found = []
-            for prompt in batch["prompt"]:
+            for prompt in batch.column("prompt").to_pylist():
                 key = call_key(model, prompt)
                 answer = kept.find(key) if kept is not None else None
                 if answer is None:
@@ -121,9 +125,10 @@ def ask(papers: DataFrame, scorer: Scorer, max_retries: int = 2, retry_sleep: fl
                     if kept is not None:
                         kept.record(key, answer)
                 found.append(answer)
-            yield batch.assign(reply=[x["reply"] for x in found], error=[x["error"] for x in found])
+            new = [pa.array([x[n] for x in found], pa.string()) for n in ("reply", "error")]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], schema.names)
 
-    return papers.mapInPandas(run, schema)
+    return papers.mapInArrow(run, schema)
 
 
 def _variant(v: Column, path: str, kind: str) -> Column:

@@ -397,7 +397,8 @@ SELECT doc_id, CASE WHEN ok THEN 'none' WHEN n % 40 = 19 THEN 'quota' ELSE 'othe
   CASE WHEN ok THEN round(0.45 * fit + 0.4 * (a * 2.0 + c) / 4.2 + 0.15 * novelty, 4) ELSE 0 END::DOUBLE AS rank_score FROM s""",
 )
 def _(spark, sf):
-    asked = judge.ask(judge.prompts(papers(spark, sf), PROFILE), _stub, max_retries=2, retry_sleep=0)
+    # the result needs no other column of the papers, so none goes through Python
+    asked = judge.ask(judge.prompts(papers(spark, sf), PROFILE).select("doc_id", "prompt"), _stub, max_retries=2, retry_sleep=0)
     found = judge.judged(asked, PROFILE, "stub")
     failure = F.when(F.col("error").isNull(), "none").otherwise(errors.classify(F.col("error"))).alias("failure")
     return found.select("doc_id", failure, "is_suitable", "priority", "score_overall_fit", "score_method_novelty", "score_feasibility", "rank_score")

@@ -3,9 +3,12 @@
 import json
 import sys
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from siftline import batches
 from siftline import profile as pf
 from siftline.operators import judge, portal, ranking
 from siftline.sources import jsonl, sinks
@@ -254,3 +257,32 @@ def test_shown(spark):
 def test_checked_lines(spark):
     lines = spark.createDataFrame([("f", 0, i, raw) for i, raw in enumerate(('{"a": 1}', "[]", "null", '{"a": 1}x', "{"))], "file string, block long, id long, raw string")
     assert [r.kind for r in jsonl.checked(lines).orderBy("id").collect()] == ["object", "other", "other", "bad", "bad"]
+
+
+def test_slices():
+    column = pa.array(["a" * 6, None, "b" * 6, "c" * 30, "", "d"])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), column], ["n", "t"])
+    cut = list(batches.slices(iter([batch, batch.slice(0, 0)]), "t", 10))
+    assert [x.column("n").to_pylist() for x in cut] == [[0, 1], [2], [3], [4, 5]]
+    assert pa.Table.from_batches(cut).combine_chunks().equals(pa.Table.from_batches([batch]))
+
+
+def test_ask_in_slices():
+    # the first replies are out before the last prompts of a batch are read: no batch is Python objects as a whole
+    asked = []
+
+    class Papers:
+        schema = T.StructType().add("doc_id", "long").add("prompt", "string")
+        mapInArrow = staticmethod(lambda run, schema: run)
+
+    def answer(prompt: str) -> str:
+        asked.append(prompt[:1])
+        return prompt[:1]
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(50)), pa.array(["\u4e2d" + "x" * 200_000] * 50)], ["doc_id", "prompt"])
+    out = judge.ask(Papers, answer)(iter([batch]))
+    first = next(out)
+    assert len(asked) == first.num_rows < 50
+    rows = pa.Table.from_batches([first, *out])
+    assert rows.column_names == ["doc_id", "prompt", "reply", "error"] and len(asked) == 50
+    assert rows.column("reply").to_pylist() == ["\u4e2d"] * 50 and rows.column("doc_id").to_pylist() == list(range(50))
