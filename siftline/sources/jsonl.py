@@ -19,10 +19,11 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftline.batches import slices
 from siftline.sources import shared
 
 LINES = "file string, block long, id long, raw string"
@@ -70,14 +71,18 @@ def checked(lines: DataFrame) -> DataFrame:
     """Lines (file, block, id, raw) with ``kind`` (object, other, bad or blank), of bad ones what is
     wrong, and the numbers of lines and of objects before them in their split (file, block).
 
-    The lines of a split are expected to come in turn, as a scan gives them.
+    The lines of a split are expected to come in turn, as a scan gives them.  Some 2 MB of lines, or one
+    line, are Python objects at a time.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = [part.split()[0] for part in LINES.split(", ")]
+    kinds = {"kind": pa.string(), "bad": pa.string(), "plain": pa.string(), "at": pa.int64(), "nth": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder, split, at, nth = _Decoder(), None, 0, 0
-        for batch in batches:
+        for batch in slices(batches, "raw"):
             found = []
-            for file, block, raw in zip(batch["file"], batch["block"], batch["raw"], strict=True):
+            for file, block, raw in zip(*(batch.column(n).to_pylist() for n in ("file", "block", "raw")), strict=True):
                 if (file, block) != split:
                     split, at, nth = (file, block), 0, 0
                 text = (raw or "").strip()
@@ -85,9 +90,10 @@ def checked(lines: DataFrame) -> DataFrame:
                 found.append((kind, bad, plain, at, nth))
                 at += 1
                 nth += kind == "object"
-            yield batch.assign(**dict(zip(("kind", "bad", "plain", "at", "nth"), zip(*found, strict=True), strict=True))) if found else batch.assign(kind=[], bad=[], plain=[], at=[], nth=[])
+            new = [pa.array(x, k) for x, k in zip(zip(*found, strict=True), kinds.values(), strict=True)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), *new], [*names, *kinds])
 
-    return lines.mapInPandas(run, CHECKED)
+    return lines.mapInArrow(run, CHECKED)
 
 
 def placed(found: DataFrame) -> DataFrame:

@@ -286,3 +286,19 @@ def test_ask_in_slices():
     rows = pa.Table.from_batches([first, *out])
     assert rows.column_names == ["doc_id", "prompt", "reply", "error"] and len(asked) == 50
     assert rows.column("reply").to_pylist() == ["\u4e2d"] * 50 and rows.column("doc_id").to_pylist() == list(range(50))
+
+
+def test_checked_in_slices():
+    # lines are Python objects a slice at a time, and are numbered on from slice to slice and batch to batch
+    class Lines:
+        mapInArrow = staticmethod(lambda run, schema: run)
+
+    raw = [json.dumps({"n": i, "t": "x" * 200_000}) if i % 3 else "" for i in range(50)]
+    batch = pa.RecordBatch.from_arrays([pa.array(["f"] * 50), pa.array([0] * 50), pa.array(range(50)), pa.array(raw)], ["file", "block", "id", "raw"])
+    read = []
+    out = list(jsonl.checked(Lines)(read.append(b.num_rows) or b for b in (batch, batch)))
+    assert read == [50, 50] and len(out) > 4 and max(b.num_rows for b in out) < 25
+    rows = pa.Table.from_batches(out)
+    assert rows.column_names == [f.split()[0] for f in jsonl.CHECKED.split(", ")]
+    assert rows.column("at").to_pylist() == list(range(100)) and rows.column("raw").to_pylist() == raw * 2
+    assert rows.column("nth").to_pylist()[50] == 33 and rows.column("kind").to_pylist()[:3] == ["blank", "object", "object"]
