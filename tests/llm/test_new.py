@@ -177,6 +177,40 @@ def test_bounded_memory(peer, monkeypatch):
         assert ids == peer.encode_ordinary(t) and len(model.known) <= 5 + 9
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from(" ab\n\t\0\x1c\x85é京")))
+def test_cuts(text):
+    assert bytebpe.cut(text) == (bytebpe._CUT.split(text) if text else [])
+
+
+def test_new_pieces_go_together(peer, monkeypatch):
+    # thousands of new words are a few texts of the library, of long pieces nothing stays, and the most frequent ones stay
+    model = bytebpe.ByteBpe(PATH, PATTERN)
+    calls = []
+    real = model.tokenizer
+
+    class Counted:
+        def __getattr__(self, name):
+            return lambda texts, **k: calls.append(len(texts)) or getattr(real, name)(texts, **k)
+
+    model.tokenizer = Counted()
+    rng = random.Random(7)
+    texts = [" ".join("".join(rng.choice("abcdeé京") for _ in range(rng.randrange(1, 9))) for _ in range(900)) for _ in range(9)] + ["", "x" * 3000 + " b" + "y" * 400 + "  c \n", " "]
+    want = [peer.encode_ordinary(t) for t in texts]
+    assert [ids for ids, _ in model.encode(texts)] == want
+    assert sum(calls) < 50 and max(map(len, model.places)) <= bytebpe.PIECE_BYTES
+    calls.clear()
+    assert [ids for ids, _ in model.encode(texts)] == want and sum(calls) < 6
+    monkeypatch.setattr(bytebpe, "MAX_PIECES", 600)
+    for t, ids in zip(texts * 2, want * 2, strict=True):
+        found, ends = model.ids([t, "a of", t])
+        assert found.tolist() == ids + peer.encode_ordinary("a of") + ids and ends.tolist() == [len(ids), len(found) - len(ids), len(found)]
+        assert len(model.places) <= 600 + 902
+    model._thin()
+    assert 0 < len(model.places) <= 200 and "a" in model.places and model.used == int(model.lens[: len(model.places)].sum())
+    assert [ids for ids, _ in model.encode(texts)] == want
+
+
 def odd_docs(spark):
     rows = [(1, "The end of it.", "en", "a", 14), (1, "The end of it.", "en", "a", 14), (2, None, None, None, None), (None, "", "en", None, 0), (4, "x " * 300_000, None, "b", 600_000), (5, " \n\t ", "en", "a", 5), (6, "a<P>b", "de", "a", 5), (7, "京都😀 é", None, None, None)]
     df = spark.createDataFrame(rows, DOCS)
