@@ -52,15 +52,6 @@ def windows(data: bytes, steps: int = STEPS) -> np.ndarray:
     return np.frombuffer(data + bytes(n * steps - len(data)), np.uint8).reshape(n, steps)
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    # in place: 1 / (1 + exp(-x)) by tanh, which numpy vectorises
-    x *= np.float32(0.5)
-    np.tanh(x, out=x)
-    x *= np.float32(0.5)
-    x += np.float32(0.5)
-    return x
-
-
 class Network:
     """Two gated recurrent layers, one each way, and a softmax at every position.
 
@@ -82,37 +73,48 @@ class Network:
     def _run(self, x: np.ndarray, d: str, keep: list | None = None) -> np.ndarray:
         """States (steps, rows, H) of direction ``d`` over ``x`` (rows, steps)."""
         h_, e, u = self.units, self.p[f"e{d}"], self.p[f"u{d}"]
-        uzr, un = np.ascontiguousarray(u[:, : 2 * h_]), np.ascontiguousarray(u[:, 2 * h_ :])
+        # gates and candidate apart, so that every array is contiguous; 1 / (1 + exp(-x)) is (1 + tanh(x / 2)) / 2
+        (ez, uz), (er, ur), (en, un) = ([np.ascontiguousarray(v[:, i * h_ : (i + 1) * h_]) * np.float32(k) for v in (e, u)] for i, k in enumerate((0.5, 0.5, 1)))
         n, steps = x.shape
         out = np.empty((steps, n, h_), np.float32)
         h = np.zeros((n, h_), np.float32)
+        a, z, r, s, c = (np.empty_like(h) for _ in range(5))
+        columns = np.ascontiguousarray(x.T)
         for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            a = e[x[:, t]]
-            zr = _sigmoid(h @ uzr + a[:, : 2 * h_])
-            z, r = zr[:, :h_], zr[:, h_:]
-            s = h @ un
-            c = s * r
-            c += a[:, 2 * h_ :]
+            at = columns[t].astype(np.intp)
+            if keep is not None:
+                z, r, s, c = (np.empty_like(h) for _ in range(4))
+            for gate, eg, ug in ((z, ez, uz), (r, er, ur)):
+                np.matmul(h, ug, out=gate)
+                gate += np.take(eg, at, axis=0, out=a, mode="clip")
+                np.tanh(gate, out=gate)
+                gate *= np.float32(0.5)
+                gate += np.float32(0.5)
+            np.matmul(h, un, out=s)
+            np.multiply(s, r, out=c)
+            c += np.take(en, at, axis=0, out=a, mode="clip")
             np.tanh(c, out=c)
             if keep is not None:
                 keep.append((t, h, z, r, s, c))
             # h' = c + z (h - c)
-            new = h - c
+            new = out[t]
+            np.subtract(h, c, out=new)
             new *= z
             new += c
-            h = out[t] = new
+            h = new
         return out
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         """(rows, steps, languages): every position's label probabilities."""
         w, h = self.p["w"], self.units
-        logits = self._run(x, "f") @ w[:h]
-        logits += self._run(x, "b") @ w[h:]
-        logits += self.p["b"]
-        logits -= logits.max(axis=-1, keepdims=True)
+        # languages first, so that sums over them go along whole rows
+        logits = w[:h].T @ self._run(x, "f").reshape(-1, h).T
+        logits += w[h:].T @ self._run(x, "b").reshape(-1, h).T
+        logits += self.p["b"][:, None]
+        logits -= logits.max(axis=0)
         np.exp(logits, out=logits)
-        logits /= logits.sum(axis=-1, keepdims=True)
-        return logits.transpose(1, 0, 2)
+        logits /= logits.sum(axis=0)
+        return logits.reshape(-1, x.shape[1], len(x)).transpose(2, 1, 0)
 
     def gradients(self, x: np.ndarray, y: np.ndarray, mask: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean loss over the masked positions and its gradients, through time."""

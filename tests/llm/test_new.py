@@ -117,6 +117,39 @@ def test_negatives_twin(spark):
     same_as_twin(spark, "op11_bit_sliced", "/root/testdata/sf0.01")
 
 
+# -- language -------------------------------------------------------------------------------
+
+
+def plain_states(net, x, d):
+    """The recurrence as it is written in books, gates side by side."""
+    h_, e, u = net.units, net.p[f"e{d}"], net.p[f"u{d}"]
+    h, out = np.zeros((len(x), h_), np.float32), np.empty((x.shape[1], len(x), h_), np.float32)
+    for t in range(x.shape[1]) if d == "f" else range(x.shape[1] - 1, -1, -1):
+        a = e[x[:, t]]
+        zr = 1 / (1 + np.exp(-(h @ u[:, : 2 * h_] + a[:, : 2 * h_])))
+        z, r = zr[:, :h_], zr[:, h_:]
+        c = np.tanh((h @ u[:, 2 * h_ :]) * r + a[:, 2 * h_ :])
+        h = out[t] = c + z * (h - c)
+    return out
+
+
+def test_states_and_probabilities():
+    net = langid.Network(["a", "b", "c"])
+    net.p["b"] += np.array([0.1, 0, -0.2], np.float32)
+    x = np.random.default_rng(3).integers(0, 256, (37, 64), np.uint8)
+    states = [plain_states(net, x, d) for d in "fb"]
+    for d, want in zip("fb", states, strict=True):
+        kept = []
+        assert np.allclose(net._run(x, d), want, atol=1e-5) and np.array_equal(net._run(x, d, kept), net._run(x, d))
+        # what training keeps of a step is not written over by later ones
+        assert len(kept) == 64 and all(np.allclose(c + z * (h - c), want[t], atol=1e-5) for t, h, z, r, s, c in kept)
+    logits = np.exp(np.concatenate(states, axis=2) @ net.p["w"] + net.p["b"])
+    got = net.probabilities(x)
+    assert got.shape == (37, 64, 3) and np.allclose(got, (logits / logits.sum(axis=2, keepdims=True)).transpose(1, 0, 2), atol=1e-5)
+    # one language's probabilities lie together, so that sums over languages and steps go along whole rows
+    assert got[:, :, 0].transpose(1, 0).flags.c_contiguous
+
+
 # -- byte-level BPE -----------------------------------------------------------------------
 
 PATH, PATTERN = wordtok.vocabulary(registry.RANKS), bytebpe.pattern()
